@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from massweave.llm import html_density, media_wav
+from massweave.llm import best_fit_packing, html_density, line_quality, media_wav, string_kernel
 
 QUERIES = {
+    "op1_best_fit_packing": best_fit_packing.op1_best_fit_packing,
+    "op2_line_quality": line_quality.op2_line_quality,
+    "op4_string_kernel": string_kernel.op4_string_kernel,
     "op7_html_density": html_density.op7_html_density,
     "op8_wav_peaks": media_wav.op8_wav_peaks,
 }
