@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from massweave.llm import best_fit_packing, html_density, kneser_ney, line_quality, media_wav, string_kernel
+from massweave.llm import best_fit_packing, html_density, kneser_ney, line_quality, media_wav, pii_bootstrap, string_kernel
 
 QUERIES = {
+    "op3_pii_bootstrap": pii_bootstrap.op3_pii_bootstrap,
     "op10_kneser_ney": kneser_ney.op10_kneser_ney,
     "op1_best_fit_packing": best_fit_packing.op1_best_fit_packing,
     "op2_line_quality": line_quality.op2_line_quality,
