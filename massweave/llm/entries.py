@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from massweave.llm import best_fit_packing, html_density, kneser_ney, line_quality, media_wav, pii_bootstrap, string_kernel
+from massweave.llm import best_fit_packing, html_density, kneser_ney, line_quality, media_wav, pii_bootstrap, piece_sampling, string_kernel, warc_derivatives
 
 QUERIES = {
+    "op5_warc_derivatives": warc_derivatives.op5_warc_derivatives,
+    "op9_piece_sampling": piece_sampling.op9_piece_sampling,
     "op3_pii_bootstrap": pii_bootstrap.op3_pii_bootstrap,
     "op10_kneser_ney": kneser_ney.op10_kneser_ney,
     "op1_best_fit_packing": best_fit_packing.op1_best_fit_packing,
