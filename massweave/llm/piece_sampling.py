@@ -1,6 +1,6 @@
 """Operator 9: sampled SentencePiece segmentations by forward filtering and backward sampling.
 
-A text is cut before spaces and around newlines; no piece crosses such a cut, so the lattice of a
+A text is cut before spaces, around newlines and between words and signs; no piece crosses such a cut, so the lattice of a
 text is the chain of its chunks' lattices. Forward filtering sums the weights of all segmentations
 up to each place of a distinct chunk once; backward sampling then walks from the ends of all chunk
 occurrences of a batch at once, drawing the last piece in proportion to its share. Draws are a hash
@@ -26,9 +26,9 @@ from massweave.llm.common import documents, map_rows
 
 ALPHA = 1.0
 META = "▁"
-CHUNK = re.compile(r" ?[^ \n]+|\n| ")
+CHUNK = re.compile(r" ?\w+| ?[^\w \n]+|\n| ")
 #: A task keeps lattices of distinct chunks of so many characters.
-TASK_CHARS = 800_000
+TASK_CHARS = 2_000_000
 SLOT_BITS = 20
 #: The log-weight of a character by its bytes.
 BYTES_WEIGHT = -14.0
@@ -92,7 +92,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Forward tables of distinct chunks: for each place, cumulative shares and ids of its last pieces by length."""
+    """Forward tables of distinct chunks. Each place has arcs, its possible last pieces: cumulative shares, lengths, ids."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -102,60 +102,73 @@ class Lattices:
         self.at: dict[str, int] = {}
         self.size = np.empty(0, np.int64)
         self.base = np.empty(0, np.int64)
-        self.cum = np.empty((0, self.pieces.longest), np.float32)
-        self.ids = np.empty((0, self.pieces.longest), np.int32)
-
-    def add(self, chunks: list[str]) -> None:
-        """Forward filtering of new chunks, all at once: place by place, piece length by piece length."""
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        base = np.cumsum(size) - size
-        cp = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n, longest = len(cp), self.pieces.longest
-        place = np.arange(n) - np.repeat(base, size)  # from 0 in its chunk
-        logw = np.full((n, longest), -np.inf, np.float32)
-        ids = np.zeros((n, longest), np.int32)
-        live = np.arange(n)  # starts of substrings that stay inside their chunk
-        room = np.repeat(size, size) - place
-        h = np.zeros(n, np.uint64)
+        self.first = np.empty(0, np.int64)
+        self.cum = np.empty(0, np.float32)
+        self.step = np.empty(0, np.int8)
+        self.ids = np.empty(0, np.int32)
+
+    def arcs(self, cp: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(last character, length, log-weight, id) of all pieces in the chunks; room: characters from here to the chunk's end."""
+        found, live, h = [], np.arange(len(cp)), np.zeros(len(cp), np.uint64)
+        alone = np.ones(len(cp), bool)
         for k, (keys, own, weight, slots) in enumerate(self.pieces.tables):
-            inside = room[live] > k
-            live, h = live[inside], h[inside]
+            if k:
+                inside = room[live] > k
+                live, h = live[inside], h[inside]
             if not len(live):
                 break
             h = roll(h, cp[live + k])
             maybe = np.flatnonzero(slots[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(keys, h[maybe]), max(len(keys) - 1, 0))
-            if len(keys):
-                hit = keys[at] == h[maybe]
-                end = live[maybe[hit]] + k
-                logw[end, k], ids[end, k] = weight[at[hit]], own[at[hit]]
-        alone = np.isneginf(logw[:, 0])
-        logw[alone, 0], ids[alone, 0] = BYTES_WEIGHT, -1 - cp[alone].astype(np.int64)
-        total = np.zeros(n)
-        order = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[order], np.arange(int(size.max()) + 1))
-        for p in range(int(size.max())):
-            here = order[cuts[p] : cuts[p + 1]]
-            width = min(p + 1, longest)
-            before = here[:, None] - np.arange(1, width + 1)
-            m = logw[here, :width] + np.where(np.arange(1, width + 1) == p + 1, 0.0, total[before])
-            top = m.max(1)
-            e = np.exp(m - top[:, None])
-            c = np.cumsum(e, 1)
-            total[here] = top + np.log(c[:, -1])
-            logw[here, :width] = c / c[:, -1:]
-            logw[here, width - 1 :] = 1.0
-        first = len(self.cum)
+            if not len(maybe):
+                continue
+            at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == h[maybe])
+            found.append((live[maybe[hit]] + k, np.full(len(hit), k + 1), weight[at[hit]], own[at[hit]].astype(np.int64)))
+            if not k:
+                alone[live[maybe[hit]]] = False
+        odd = np.flatnonzero(alone)
+        found.append((odd, np.ones(len(odd), np.int64), np.full(len(odd), BYTES_WEIGHT), -1 - cp[odd].astype(np.int64)))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def add(self, chunks: list[str]) -> None:
+        """Forward filtering of new chunks, all at once, place by place."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        base = np.cumsum(size) - size
+        cp = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        place = np.arange(len(cp)) - np.repeat(base, size)  # from 0 in its chunk
+        end, step, weight, ids = self.arcs(cp, np.repeat(size, size) - place)
+        order = np.lexsort((step, end, place[end]))
+        end, step, weight, ids = end[order], step[order], weight[order], ids[order]
+        level = place[end]
+        cuts = np.searchsorted(level, np.arange(int(size.max()) + 1))
+        total, share, first = np.zeros(len(cp)), np.empty(len(end), np.float32), np.empty(len(cp), np.int64)
+        for p in range(len(cuts) - 1):
+            part = slice(cuts[p], cuts[p + 1])
+            here = end[part]
+            starts = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
+            seg = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(here))))
+            m = weight[part] + np.where(step[part] == p + 1, 0.0, total[here - step[part]])
+            top = np.maximum.reduceat(m, starts)
+            c = np.cumsum(np.exp(m - top[seg]))
+            before = np.concatenate(([0.0], c))[starts]
+            whole = np.append(before[1:], c[-1]) - before
+            share[part] = (c - before[seg]) / whole[seg]
+            total[here[starts]] = top + np.log(whole)
+            first[here[starts]] = starts + cuts[p]
+        last = np.append(end[1:] != end[:-1], True)
+        share[last] = 1.0
+        places, arcs = len(self.first), len(self.cum)
         self.at.update(zip(chunks, range(len(self.size), len(self.size) + len(chunks))))
-        self.size, self.base = np.concatenate((self.size, size)), np.concatenate((self.base, base + first))
-        self.cum, self.ids = np.concatenate((self.cum, logw)), np.concatenate((self.ids, ids))
+        self.size, self.base = np.concatenate((self.size, size)), np.concatenate((self.base, base + places))
+        self.first = np.concatenate((self.first, first + arcs))
+        self.cum, self.step, self.ids = np.concatenate((self.cum, share)), np.concatenate((self.step, step.astype(np.int8))), np.concatenate((self.ids, ids.astype(np.int32)))
 
     def sample(self, keys: list[int], texts: list[str | None]) -> list[np.ndarray | None]:
         """Backward sampling: all chunk occurrences of the batch step at once."""
         split = [CHUNK.findall(t) if t else [] for t in texts]
-        if len(self.cum) > TASK_CHARS:
+        if len(self.first) > TASK_CHARS:
             self.clear()
-        fresh = list({c for own in split for c in own if c not in self.at})
+        fresh = list(set().union(*split).difference(self.at))
         if fresh:
             self.add(fresh)
         counts = np.fromiter(map(len, split), np.int64, len(split))
@@ -163,7 +176,7 @@ class Lattices:
         if not n:
             return [None if t is None else np.empty(0, np.int32) for t in texts]
         known = self.at
-        which = np.fromiter((known[c] for own in split for c in own), np.int64, n)
+        which = np.array([k for own in split for k in map(known.__getitem__, own)], np.int64)
         row = np.repeat(np.arange(len(texts)), counts)
         nth = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = mix(mix(np.array(keys, np.int64).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))[row] ^ mix(nth.astype(np.uint64)))
@@ -171,11 +184,14 @@ class Lattices:
         draws, took = np.zeros(n, np.int64), []
         while len(live):
             u = (mix(seed[live] + np.uint64(len(took))) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            cell = base[live] + place[live] - 1
-            step = (self.cum[cell] <= u[:, None]).sum(1)
-            took.append((live, self.ids[cell, step]))
+            arc = self.first[base[live] + place[live] - 1]
+            on = np.flatnonzero(self.cum[arc] <= u)
+            while len(on):
+                arc[on] += 1
+                on = on[self.cum[arc[on]] <= u[on]]
+            took.append((live, self.ids[arc]))
             draws[live] += 1
-            place[live] -= step + 1
+            place[live] -= self.step[arc]
             live = live[place[live] > 0]
         ends = np.cumsum(draws)
         out = np.empty(int(ends[-1]), np.int64)
