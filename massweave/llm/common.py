@@ -84,3 +84,14 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict[st
             yield pa.RecordBatch.from_arrays([v if isinstance(v := got[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def filtered(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows, whatever their columns, for which the per-batch function says True."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = fn()
+        for batch in batches:
+            yield batch.filter(pa.array(each(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

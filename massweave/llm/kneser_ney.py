@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import WORD, checked_join, crc_mod, documents, map_rows, table, written
+from massweave.llm.common import WORD, checked_join, crc_mod, documents, filtered, map_rows, table, written
 
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 1
 ORDER, BITS, BUCKETS = 5, 6, 1 << 20
@@ -225,26 +225,37 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     return {"tables": model, "weights": weights, "bias": bias}
 
 
-def rate(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, score (with the columns in ``keep``) of every document."""
+def score(scorer: Scorer | None, model: dict | None, texts: list[str | None]) -> np.ndarray:
+    if scorer is None or model is None:
+        return np.zeros(len(texts))
+    z = scorer.evidence(texts) @ model["weights"] + model["bias"]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def rate(docs: DataFrame, model: dict | None) -> DataFrame:
+    """doc_id, score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task():
         scorer = Scorer(shared.value["tables"]) if shared.value else None
 
         def each(x: dict[str, list]) -> dict:
-            if scorer is None:
-                scores = [0.0] * len(x["text"])
-            else:
-                z = scorer.evidence(x["text"]) @ shared.value["weights"] + shared.value["bias"]
-                scores = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
-            return {"doc_id": x["doc_id"], "score": scores} | {k: x[k] for k in keep or ()}
+            return {"doc_id": x["doc_id"], "score": score(scorer, shared.value, x["text"]).tolist()}
 
         return each
 
-    kinds = dict(docs.dtypes)
-    more = "".join(f", {k} {kinds[k]}" for k in keep or ())
-    return map_rows(docs.select("doc_id", *{"text", *(keep or ())}), task, "doc_id long, score double" + more)
+    return map_rows(docs.select("doc_id", "text"), task, "doc_id long, score double")
+
+
+def harmless(docs: DataFrame, model: dict | None, limit: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score less than ``limit``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def task():
+        scorer = Scorer(shared.value["tables"]) if shared.value else None
+        return lambda batch: score(scorer, shared.value, batch.column("text").to_pylist()) < limit
+
+    return filtered(docs, task)
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

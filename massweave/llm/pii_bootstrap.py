@@ -122,7 +122,7 @@ def label(spans: list[tuple[int, int, int]]) -> str:
 
 
 MENTIONS = "array<struct<kind:int,start:int,end:int,seed:boolean,instance:string,patterns:array<string>>>"
-SCHEMA = f"row long, doc_id long, base string, mentions {MENTIONS}"
+SCHEMA = f"row long, doc_id long, th long, base string, mentions {MENTIONS}"
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -142,10 +142,10 @@ def mentions(docs: DataFrame) -> DataFrame:
                 every = [(k, s, e, True) for k, s, e in own] + [(k, s, e, False) for k, s, e in loose_spans(text, own)]
                 found.append([{"kind": k, "start": s, "end": e, "seed": seed, "instance": text[s:e].lower(), "patterns": contexts(text, s, e)} for k, s, e, seed in every])
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array(base, pa.string()), pa.array(found, fields)], names=["row", "doc_id", "base", "mentions"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(base, pa.string()), pa.array(found, fields)], names=["row", "doc_id", "th", "base", "mentions"])
             row += n
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, SCHEMA)
 
 
 def trusted_patterns(edges: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = ROUNDS) -> DataFrame:
@@ -162,20 +162,50 @@ def trusted_patterns(edges: DataFrame, trust: float = TRUST, seeds: int = SEEDS,
     return good.select("kind", "pattern")
 
 
-def find(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """row, doc_id, base (string), spans (array of kind number, start, end) of every document."""
+def extract(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """The written mentions of every document, and (row, kind, start, end) of the spans that patterns add."""
     found = written(mentions(docs), "mentions")
     each = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*").withColumn("pattern", F.explode("patterns"))
     edges = written(each.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-edges")
     good = written(trusted_patterns(edges, trust, seeds, rounds), "patterns")
     dropped(edges)
-    added = checked_join(each.where(~F.col("seed")), good, ["kind", "pattern"]).select("row", "kind", "start", "end").distinct().groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    return found, checked_join(each.where(~F.col("seed")), good, ["kind", "pattern"]).select("row", "kind", "start", "end").distinct()
+
+
+def find(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = ROUNDS) -> DataFrame:
+    """row, doc_id, base (string), spans (array of kind number, start, end) of every document."""
+    found, more = extract(docs, trust, seeds, rounds)
+    added = more.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     base = F.transform(F.filter("mentions", lambda m: m["seed"]), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     return checked_join(found.select("row", "doc_id", "base", base.alias("own")), added, "row", "left").select(
         "row", "doc_id", "base", F.array_sort(F.concat("own", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans")
     )
 
 
+def masked(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, with personal data replaced by its kind; n_chars follows where it exists."""
+    found, more = extract(docs)
+    # Rows of equal id and text have equal spans, so the pair finds them again.
+    spans = checked_join(more, found.select("row", "doc_id", "th"), "row").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("kind", "start", "end")).alias("_spans"))
+    spans = written(spans, "added")
+    small = spans.limit(1_000_001).count() <= 1_000_000
+    joined = docs.join(F.broadcast(spans) if small else spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left").select(*[docs[c] for c in docs.columns], "_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, more in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+                own = base_spans(text) if text else []
+                texts.append(mask(text, own + [(m["kind"], m["start"], m["end"]) for m in more or ()]))
+            new = {"text": pa.array(texts, batch.schema.field("text").type)}
+            if "n_chars" in batch.schema.names:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
+            names = [n for n in batch.schema.names if n != "_spans"]
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], schema=pa.schema([batch.schema.field(n) for n in names]))
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def digests(found: DataFrame) -> DataFrame:
     count = [F.regexp_count("base", F.lit(f"{k}:")).cast("long").alias(f"n_{k}") for k in KINDS]
     name = lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))

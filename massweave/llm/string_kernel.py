@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import crc_mod, documents, map_rows
+from massweave.llm.common import crc_mod, documents, filtered, map_rows
 
 DIMS, ORDERS, LANDMARKS, PER_LANG, RIDGE, SHARPNESS = 8192, 4, 256, 500, 1e-2, 6.0
 FOLDS, HELD_OUT = 4, 2
@@ -110,20 +110,32 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> pd.DataFrame:
     return got.sort_values(["o", "h", "lang"], kind="stable").groupby("lang", sort=False).head(per_lang).reset_index(drop=True)
 
 
-def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score (with the columns in ``keep``) of every document."""
+def identify(docs: DataFrame, model: dict | None) -> DataFrame:
+    """doc_id, lang_pred, score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task():
         def each(x: dict[str, list]) -> dict:
             langs, scores = score(shared.value, x["text"])
-            return {"doc_id": x["doc_id"], "lang_pred": langs, "score": scores} | {k: x[k] for k in keep or ()}
+            return {"doc_id": x["doc_id"], "lang_pred": langs, "score": scores}
 
         return each
 
-    kinds = dict(docs.dtypes)
-    more = "".join(f", {k} {kinds[k]}" for k in keep or ())
-    return map_rows(docs.select("doc_id", *{"text", *(keep or ())}), task, "doc_id long, lang_pred string, score double" + more)
+    return map_rows(docs.select("doc_id", "text"), task, "doc_id long, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: dict | None, least: float) -> DataFrame:
+    """The rows, with all their columns, whose language is told with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def task():
+        def each(batch) -> list[bool]:
+            langs, scores = score(shared.value, batch.column("text").to_pylist())
+            return [k != "und" and s >= least for k, s in zip(langs, scores)]
+
+        return each
+
+    return filtered(docs, task)
 
 
 def train(docs: DataFrame) -> dict | None:

@@ -319,5 +319,16 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row, with all its columns, of each component: that of the smallest doc_id. Rows without an id stay."""
+    own = join_components(docs)
+    keep = written(own.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
+    rows = checked_join(docs, keep.where("_n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    again = keep.where("_n > 1").select("doc_id")
+    if again.take(1):
+        rows = rows.union(checked_join(docs, again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return rows.union(docs.where(F.col("doc_id").isNull()))
+
+
 def op6_t_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(documents(spark, sf_dir))
