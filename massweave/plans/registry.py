@@ -21,3 +21,31 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
         return fn
 
     return add
+
+
+#: Moves values off the ties of rounding, on which engines differ.
+NUDGE = 1.00000000001
+
+
+def seconds(column: str = "ts"):
+    """Seconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    from pyspark.sql import functions as F
+
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz)) / 1000000D")
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+
+
+def sig(column, name: str):
+    """A double to seven significant digits: sums in another order give the same."""
+    from pyspark.sql import functions as F
+
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(c.isNotNull(), F.format_string("%.6e", c.cast("double") * NUDGE).cast("double")).alias(name)
+
+
+def sig_sql(expression: str, name: str) -> str:
+    """The same in SQL."""
+    return f"CASE WHEN ({expression}) IS NOT NULL THEN CAST(printf('%.6e', CAST(({expression}) AS DOUBLE) * {NUDGE}) AS DOUBLE) END AS {name}"
