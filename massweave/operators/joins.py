@@ -57,7 +57,8 @@ def nearest_join(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: f
     both = a.unionByName(b)
     w = Window.partitionBy(*[f"_{k}" for k in keys])
     before = F.last("_b", ignorenulls=True).over(w.orderBy("_x", "_left").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_b", ignorenulls=True).over(w.orderBy("_x", F.col("_left").desc()).rowsBetween(0, Window.unboundedFollowing))
+    # Looking back in descending order: a frame to the end of the partition would be read anew for every row.
+    after = F.last("_b", ignorenulls=True).over(w.orderBy(F.col("_x").desc(), "_left").rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumns({"_p": before, "_n": after}).where("_left = 1")
     down, up = F.col("_x") - F.col(f"_p.{y}"), F.col(f"_n.{y}") - F.col("_x")
     upper = F.col("_p").isNull() | (F.col("_n").isNotNull() & ((up <= down) if upper_tie else (up < down)))
