@@ -8,9 +8,10 @@ size and position filters is searched exactly: against the members of a candidat
 local index of whole sets answers T-occurrence queries with DivideSkip - short lists are merged on
 a heap with skips, long ones are probed by binary search.
 
-The search runs twice. First each list's texts against the list's first text; the links found
-give components. Then texts against the components, other than their own, of the texts that they
-meet in a list, which loses no link between components, but never expands a group into its pairs.
+The search runs three times. First each list's texts against the list's first text; the links found
+give components. Then texts against the largest component that they meet in a list, and at last
+against all larger components that they meet, which loses no link between components, but never
+expands a group into its pairs.
 
 Cases: null texts and texts without words have an empty set and link with nothing; fewer words than
 a shingle are one token. Repeated rows are one class. A null doc_id is not a component's
@@ -236,6 +237,21 @@ def search_block(members: list[tuple[int, np.ndarray]], queries: list[tuple[int,
     return out
 
 
+def meetings(lists: DataFrame, comps: DataFrame, percent: int, largest: bool) -> DataFrame:
+    """(x, c): texts and the larger components, or the largest one only, that they meet in a list and may be similar to.
+
+    A component stands in a list with one entry for each size of its texts, so no pairs of texts are made.
+    """
+    sized = comps.join(comps.groupBy("c").agg(F.count("*").alias("k")), "c")
+    here = lists.join(sized, "cid")
+    there = here.groupBy("token", "c", "k", "n").agg(F.min("i").alias("j")).groupBy("token", F.col("c").alias("d"), F.col("k").alias("l")).agg(F.collect_list(F.struct(F.col("n").alias("m"), "j")).alias("sizes"))
+    if largest:
+        there = there.groupBy("token").agg(F.max(F.struct("l", (-F.col("d")).alias("o"), "d", "sizes")).alias("t")).select("token", "t.d", "t.l", "t.sizes")
+    less = (F.col("k") < F.col("l")) | ((F.col("k") == F.col("l")) & (F.col("c") > F.col("d")))
+    near = F.exists("sizes", lambda e: possible(F.col("n"), F.col("i"), e["m"], e["j"], percent))
+    return here.join(there, "token").where((F.col("c") != F.col("d")) & less & near).select(F.col("cid").alias("x"), F.col("d").alias("c")).distinct()
+
+
 def whole_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """cid, tokens of the classes in ``needed`` (cid, th, h1, h2), from their texts."""
 
@@ -300,18 +316,17 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     tokens = written(whole_sets(docs, needed, size), "tokens")
     alone = needed.select("cid", F.col("cid").alias("c"))
     links = written(search(queries, alone, tokens, percent), "found")
-    # The second: texts against the other components that they meet.
-    now = components(links)
-    comps = written(alone.select("cid").join(now.withColumnRenamed("v", "cid"), "cid", "left").select("cid", F.coalesce("c", "cid").alias("c")), "components")
-    sized = comps.join(comps.groupBy("c").agg(F.count("*").alias("k")), "c")
-    here = lists.join(sized, "cid")
-    there = here.groupBy("token", F.col("c").alias("d"), F.col("k").alias("l"), F.col("n").alias("m")).agg(F.min("i").alias("j"))
-    less = (F.col("k") < F.col("l")) | ((F.col("k") == F.col("l")) & (F.col("c") < F.col("d")))
-    met = here.join(there, "token").where((F.col("c") != F.col("d")) & less & possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
-    more = written(met.select(F.col("cid").alias("x"), F.col("d").alias("c")).distinct(), "queries")
-    every = written(links.union(search(more, comps, tokens, percent)), "found")
-    ends = components(every)
-    dropped(queries, more, tokens, needed, lists, links, comps)
+    dropped(queries)
+    # Then against components: first the largest of each list, which gathers most texts, then all others.
+    for largest in (True, False):
+        now = components(links)
+        comps = written(alone.select("cid").join(now.withColumnRenamed("v", "cid"), "cid", "left").select("cid", F.coalesce("c", "cid").alias("c")), "components")
+        queries = written(meetings(lists, comps, percent, largest), "queries")
+        every = written(links.union(search(queries, comps, tokens, percent)), "found")
+        dropped(queries, links, comps)
+        links = every
+    ends = components(links)
+    dropped(tokens, needed, lists)
     named = checked_join(classes, ends.withColumnRenamed("v", "cid"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     lowest = named.groupBy("c").agg(F.min("low").alias("component"))
     named = written(checked_join(named, lowest, "c").select("h1", "h2", "component"), "named")
