@@ -103,10 +103,11 @@ def tables(counts: DataFrame) -> dict[str, np.ndarray]:
     def hashed(g):
         return F.when(g < 1 << 18, g).otherwise((g.bitwiseAND(BUCKETS - 1) * MIX[0] + F.shiftright(g, 20) * MIX[1]).bitwiseAND(BUCKETS - 1))
 
-    parts = []
+    parts, names = [], []
 
     def put(name: str, df: DataFrame, g, value) -> None:
-        parts.append(df.select(F.lit(name).alias("t"), hashed(g).alias("b"), value.cast("double").alias("v")))
+        names.append(name)
+        parts.append(df.select(F.lit(len(names) - 1).alias("t"), hashed(g).cast("int").alias("b"), value.cast("double").alias("v")))
 
     for label in (0, 1):
         own = counts.where(F.col("label") == label)
@@ -123,10 +124,10 @@ def tables(counts: DataFrame) -> dict[str, np.ndarray]:
     union = parts[0]
     for p in parts[1:]:
         union = union.union(p)
-    got = union.groupBy("t", "b").agg(F.sum("v").alias("v")).toPandas()
+    got = union.groupBy("t", "b").agg(F.sum("v").cast("float").alias("v")).toPandas()
     out = {}
-    for name, part in got.groupby("t"):
-        b = part.b.to_numpy(np.int64)
+    for t, part in got.groupby("t"):
+        name, b = names[t], part.b.to_numpy()
         out[name] = np.zeros(BUCKETS if b.max() >= 1 << 18 else 1 << 18 if b.max() >= 1 << 12 else 1 << 12, np.float32)
         out[name][b] = part.v.to_numpy()
     return out
