@@ -8,10 +8,11 @@ size and position filters is searched exactly: against the members of a candidat
 local index of whole sets answers T-occurrence queries with DivideSkip - short lists are merged on
 a heap with skips, long ones are probed by binary search.
 
-The search runs three times. First each list's texts against the list's first text; the links found
-give components. Then texts against the largest component that they meet in a list, and at last
-against all larger components that they meet, which loses no link between components, but never
-expands a group into its pairs.
+The search runs twice. First each list's texts against the list's first text: similar ones are links,
+those of half the similarity loose links, which only gather texts that are searched together. Then texts
+against the loose groups that they meet in a list, in blocks; a block keeps the components it knows and
+returns a link only between two of them. So no link between components is lost, but a group is never
+expanded into its pairs, even where its texts stand on both sides of the limit.
 
 Cases: null texts and texts without words have an empty set and link with nothing; fewer words than
 a shingle are one token. Repeated rows are one class. A null doc_id is not a component's
@@ -38,8 +39,10 @@ from massweave.llm.components import components
 SHINGLE, PERCENT = 5, 80
 #: Prefixes hold a tenth of the set more than needed, so that as many frequent tokens can be left out.
 SPARE = 10
-#: Texts of a component, and queries against it, that meet in one search.
-BLOCK = 1000
+#: Sets that share so much belong to one group for the search.
+LOOSE_PERCENT = 50
+#: Texts of a group, and queries against it, that meet in one search, and their tokens, about.
+BLOCK, BLOCK_TOKENS = 1000, 300_000
 #: Rows of a task of the search, about.
 GROUP_ROWS = 1500
 WORDS = re.compile(WORD.encode())
@@ -203,22 +206,30 @@ def divide_skip(lists: list[list[int]], least: int, weight: float = 0.0085) -> I
                 heapq.heappush(heap, (x[at], k, at))
 
 
-def search_block(members: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """One link of each query that has any: (query, member)."""
+def search_block(members: list[tuple[int, int, np.ndarray]], queries: list[tuple[int, int, np.ndarray]], percent: int, loose: int = LOOSE_PERCENT) -> list[tuple[int, int, bool]]:
+    """(query, member, similar): links that join components (sides: number, component, tokens). Against one member, loose links too."""
     out = []
     if len(members) == 1:
-        (y, b), = members
-        for x, a in queries:
-            if len(np.intersect1d(a, b, assume_unique=True)) >= overlap(len(a), len(b), percent):
-                out.append((x, y))
+        (y, _, b), = members
+        for x, _, a in queries:
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            if shared >= overlap(len(a), len(b), loose):
+                out.append((x, y, shared >= overlap(len(a), len(b), percent)))
         return out
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (d := up.get(c, c)) != c:
+            up[c] = c = up.get(d, d)
+        return c
+
     index: dict[int, list[int]] = {}
-    members = sorted(members, key=lambda m: len(m[1]))
-    for k, (_, b) in enumerate(members):
+    members = sorted(members, key=lambda m: len(m[2]))
+    for k, (_, _, b) in enumerate(members):
         for t in b.tolist():
             index.setdefault(t, []).append(k)
-    sizes = [len(b) for _, b in members]
-    for x, a in queries:
+    sizes = [len(b) for _, _, b in members]
+    for x, c, a in queries:
         n = len(a)
         low, high = bisect_left(sizes, at_least(n, percent)), bisect_left(sizes, n * 100 // percent + 1)
         if low == high:
@@ -231,25 +242,34 @@ def search_block(members: list[tuple[int, np.ndarray]], queries: list[tuple[int,
                     own = own[bisect_left(own, low) : bisect_left(own, high)]
                 lists.append(own)
         for k, count in divide_skip(lists, overlap(n, sizes[low], percent)):
-            if count >= overlap(n, sizes[k], percent):
-                out.append((x, members[k][0]))
-                break
+            if count >= overlap(n, sizes[k], percent) and (one := top(c)) != (other := top(members[k][1])):
+                up[max(one, other)] = min(one, other)
+                out.append((x, members[k][0], True))
     return out
 
 
-def meetings(lists: DataFrame, comps: DataFrame, percent: int, largest: bool) -> DataFrame:
-    """(x, c): texts and the larger components, or the largest one only, that they meet in a list and may be similar to.
+def meetings(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(x, c, g): texts, their components, and the groups that they meet in a list and may be similar to.
 
-    A component stands in a list with one entry for each size of its texts, so no pairs of texts are made.
+    Of a similar pair the smaller set has the shared token so early in its prefix that it could be similar to a
+    set of its own size; one side of each join has only such entries. A group stands in a list with one
+    entry for each size of its texts, so no pairs of texts are made. Smaller groups ask larger ones, and within
+    a group all components but the largest ask.
     """
-    sized = comps.join(comps.groupBy("c").agg(F.count("*").alias("k")), "c")
-    here = lists.join(sized, "cid")
-    there = here.groupBy("token", "c", "k", "n").agg(F.min("i").alias("j")).groupBy("token", F.col("c").alias("d"), F.col("k").alias("l")).agg(F.collect_list(F.struct(F.col("n").alias("m"), "j")).alias("sizes"))
-    if largest:
-        there = there.groupBy("token").agg(F.max(F.struct("l", (-F.col("d")).alias("o"), "d", "sizes")).alias("t")).select("token", "t.d", "t.l", "t.sizes")
-    less = (F.col("k") < F.col("l")) | ((F.col("k") == F.col("l")) & (F.col("c") > F.col("d")))
-    near = F.exists("sizes", lambda e: possible(F.col("n"), F.col("i"), e["m"], e["j"], percent))
-    return here.join(there, "token").where((F.col("c") != F.col("d")) & less & near).select(F.col("cid").alias("x"), F.col("d").alias("c")).distinct()
+    here = lists.join(placed, "cid").withColumn("early", possible(F.col("n"), F.col("i"), F.col("n"), F.col("i"), percent))
+
+    def groups(rows: DataFrame) -> DataFrame:
+        sized = rows.groupBy("token", "g", "k", F.col("n").alias("m")).agg(F.min("i").alias("j"), F.min("c").alias("low"), F.max("c").alias("high"))
+        return sized.groupBy("token", F.col("g").alias("d"), F.col("k").alias("l")).agg(F.collect_list(F.struct("m", "j")).alias("sizes"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    def asked(rows: DataFrame, there: DataFrame, ordered) -> DataFrame:
+        other = (F.col("g") != F.col("d")) & ((F.col("k") < F.col("l")) | ((F.col("k") == F.col("l")) & (F.col("g") > F.col("d"))))
+        same = (F.col("g") == F.col("d")) & ~F.col("main") & ((F.col("low") != F.col("c")) | (F.col("high") != F.col("c")))
+        near = F.exists("sizes", lambda e: ordered(F.col("n"), e["m"]) & possible(F.col("n"), F.col("i"), e["m"], e["j"], percent))
+        return rows.join(there, "token").where((other | same) & near).select(F.col("cid").alias("x"), "c", F.col("d").alias("g"))
+
+    early = here.where("early")
+    return asked(here, groups(early), lambda n, m: n >= m).union(asked(early, groups(here), lambda n, m: n <= m)).distinct()
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -275,29 +295,46 @@ def whole_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     return checked_join(found, needed.select("cid", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["cid"]).select("cid", "tokens")
 
 
-def search(queries: DataFrame, comps: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """(u, v): a link of each query (x, c) whose text is similar to a member of component c. comps: cid, c."""
-    per_query = queries.groupBy("c").agg(F.count("*").alias("n_queries"))
-    plan = per_query.join(comps.groupBy("c").agg(F.count("*").alias("n_members")), "c")
-    plan = plan.select("c", F.ceil(F.col("n_queries") / BLOCK).alias("qb"), F.ceil(F.col("n_members") / BLOCK).alias("mb"))
+def search(queries: DataFrame, placed: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(u, v, similar): links of the queries (x, c, g) to members of group g. placed: cid, c, g; tokens: cid, n, tokens."""
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.join(tokens.select("cid", "n"), "cid").groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("mass"))
+        return own.select("g", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("mass") / BLOCK_TOKENS)).alias(name))
+
+    asking = queries.withColumnRenamed("x", "cid")
+    plan = blocks(asking, "qb").join(blocks(placed, "mb"), "g")
     rows = queries.count()
     groups = max(8, -(-2 * rows // GROUP_ROWS))
     # Blocks of members meet blocks of queries: each row goes to as many tasks as the other side has blocks.
-    m = comps.join(plan, "c").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("mb"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1))).select("c", "b", "q", "cid", F.lit(False).alias("asks"))
-    q = queries.join(plan, "c").withColumn("q", F.pmod(F.xxhash64("x"), F.col("qb"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1))).select("c", "b", "q", F.col("x").alias("cid"), F.lit(True).alias("asks"))
-    both = m.union(q).join(tokens, "cid").withColumn("g", F.pmod(F.xxhash64("c", "b", "q"), F.lit(groups)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    m = placed.join(plan, "g").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("mb"))).withColumn("q", every("qb")).select("g", "b", "q", "cid", "c", F.lit(False).alias("asks"))
+    q = asking.join(plan, "g").withColumn("q", F.pmod(F.xxhash64("cid"), F.col("qb"))).withColumn("b", every("mb")).select("g", "b", "q", "cid", "c", F.lit(True).alias("asks"))
+    both = m.union(q).join(tokens.select("cid", "tokens"), "cid").withColumn("task", F.pmod(F.xxhash64("g", "b", "q"), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        for _, part in pdf.groupby(["c", "b", "q"], sort=False):
+        out: list[tuple[int, int, bool]] = []
+        for _, part in pdf.groupby(["g", "b", "q"], sort=False):
             sides = ([], [])
-            for cid, asks, t in zip(part.cid, part.asks, part.tokens):
-                sides[asks].append((cid, t))
+            for cid, c, asks, t in zip(part.cid, part.c, part.asks, part.tokens):
+                sides[asks].append((cid, c, t))
             if sides[0] and sides[1]:
                 out += search_block(*sides, percent)
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        return pd.DataFrame(out, columns=["u", "v", "similar"]).astype({"u": "int64", "v": "int64", "similar": "bool"})
+
+    return both.groupBy("task").applyInPandas(run, "u long, v long, similar boolean")
+
+
+def grouped(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The nodes (cid) with the number of their component."""
+    return nodes.join(components(links.select("u", "v")).select(F.col("v").alias("cid"), F.col("c").alias(name)), "cid", "left").withColumn(name, F.coalesce(name, "cid"))
+
 
-    return both.groupBy("g").applyInPandas(run, "u long, v long")
+def placement(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """cid, c, g, k, main: a text's component, its loose group and that's size, and if the component is the group's largest."""
+    both = written(grouped(grouped(nodes, links.where("similar"), "c"), links, "g"), "placed")
+    per = both.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("k"), F.max(F.struct("n", "c"))["c"].alias("main"))
+    return both.join(per, "g").select("cid", "c", "g", "k", (F.col("c") == F.col("main")).alias("main"))
 
 
 def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -310,21 +347,18 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     # The first search: texts of a list against its first text.
     head = lists.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("cid", "n", "i")).alias("h")).where("df > 1").select("token", F.col("h.cid").alias("c"), F.col("h.n").alias("m"), F.col("h.i").alias("j"))
     met = lists.join(head, "token").where((F.col("cid") != F.col("c")) & possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
-    queries = written(met.select(F.col("cid").alias("x"), "c").distinct(), "queries")
+    queries = written(met.select(F.col("cid").alias("x"), F.col("cid").alias("c"), F.col("c").alias("g")).distinct(), "queries")
     involved = lists.select("cid").distinct()
     needed = written(checked_join(first.select("cid", "th", "h1", "h2"), involved, "cid", "left_semi"), "needed")
-    tokens = written(whole_sets(docs, needed, size), "tokens")
-    alone = needed.select("cid", F.col("cid").alias("c"))
-    links = written(search(queries, alone, tokens, percent), "found")
+    tokens = written(whole_sets(docs, needed, size).withColumn("n", F.size("tokens").cast("long")), "tokens")
+    alone = needed.select("cid", F.col("cid").alias("c"), F.col("cid").alias("g"))
+    near = written(search(queries, alone, tokens, percent), "found")
     dropped(queries)
-    # Then against components: first the largest of each list, which gathers most texts, then all others.
-    for largest in (True, False):
-        now = components(links)
-        comps = written(alone.select("cid").join(now.withColumnRenamed("v", "cid"), "cid", "left").select("cid", F.coalesce("c", "cid").alias("c")), "components")
-        queries = written(meetings(lists, comps, percent, largest), "queries")
-        every = written(links.union(search(queries, comps, tokens, percent)), "found")
-        dropped(queries, links, comps)
-        links = every
+    # Then against the groups that the links found make.
+    placed = written(placement(needed.select("cid"), near), "placed")
+    queries = written(meetings(lists, placed, percent), "queries")
+    links = written(near.union(search(queries, placed.select("cid", "c", "g"), tokens, percent)).where("similar").select("u", "v"), "found")
+    dropped(queries, near, placed)
     ends = components(links)
     dropped(tokens, needed, lists)
     named = checked_join(classes, ends.withColumnRenamed("v", "cid"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
