@@ -8,7 +8,7 @@ size and position filters is searched exactly: against the members of a candidat
 local index of whole sets answers T-occurrence queries with DivideSkip - short lists are merged on
 a heap with skips, long ones are probed by binary search.
 
-The search runs twice. First each list's texts against the list's first text: similar ones are links,
+The search runs twice. First each list's texts against the list's most central text: similar ones are links,
 those of half the similarity loose links, which only gather texts that are searched together. Then texts
 against the loose groups that they meet in a list, in blocks; a block keeps the components it knows and
 returns a link only between two of them. So no link between components is lost, but a group is never
@@ -344,8 +344,8 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     classes = written(full.groupBy("h1", "h2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("low")), "classes")
     first = checked_join(full, classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid")
     lists = written(inverted_lists(first, percent), "lists")
-    # The first search: texts of a list against its first text.
-    head = lists.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("cid", "n", "i")).alias("h")).where("df > 1").select("token", F.col("h.cid").alias("c"), F.col("h.n").alias("m"), F.col("h.i").alias("j"))
+    # The first search: texts of a list against the one with the fewest rarer tokens, the most central of near copies.
+    head = lists.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("i", "cid", "n")).alias("h")).where("df > 1").select("token", F.col("h.cid").alias("c"), F.col("h.n").alias("m"), F.col("h.i").alias("j"))
     met = lists.join(head, "token").where((F.col("cid") != F.col("c")) & possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
     queries = written(met.select(F.col("cid").alias("x"), F.col("cid").alias("c"), F.col("c").alias("g")).distinct(), "queries")
     involved = lists.select("cid").distinct()
