@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from massweave.llm.common import checked_join, documents, dropped, written
 
@@ -185,25 +186,27 @@ def find(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int
 def masked(docs: DataFrame) -> DataFrame:
     """The rows, with all their columns, with personal data replaced by its kind; n_chars follows where it exists."""
     found, more = extract(docs)
-    # Rows of equal id and text have equal spans, so the pair finds them again.
-    spans = checked_join(more, found.select("row", "doc_id", "th"), "row").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("kind", "start", "end")).alias("_spans"))
+    # Rows of equal id and text have equal spans, so the pair finds them again; its names are none of the rows'.
+    key, th, added = (max(docs.columns, key=len) + end for end in ("_id", "_th", "_spans"))
+    spans = checked_join(more, found.select("row", "doc_id", "th"), "row").groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.collect_set(F.struct("kind", "start", "end")).alias(added))
     spans = written(spans, "added")
     small = spans.limit(1_000_001).count() <= 1_000_000
-    joined = docs.join(F.broadcast(spans) if small else spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left").select(*[docs[c] for c in docs.columns], "_spans")
+    joined = docs.join(F.broadcast(spans) if small else spans, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(th)), "left").select(*[docs[c] for c in docs.columns], added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, more in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, more in zip(batch.column("text").to_pylist(), batch.column(added).to_pylist()):
                 own = base_spans(text) if text else []
                 texts.append(mask(text, own + [(m["kind"], m["start"], m["end"]) for m in more or ()]))
             new = {"text": pa.array(texts, batch.schema.field("text").type)}
             if "n_chars" in batch.schema.names:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
-            names = [n for n in batch.schema.names if n != "_spans"]
+            names = [n for n in batch.schema.names if n != added]
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], schema=pa.schema([batch.schema.field(n) for n in names]))
 
-    return joined.mapInArrow(run, docs.schema)
+    # A null text has no n_chars, whatever the column said before.
+    return joined.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 def digests(found: DataFrame) -> DataFrame:
