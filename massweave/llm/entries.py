@@ -18,4 +18,4 @@ QUERIES = {
     "op7_html_density": html_density.op7_html_density,
     "op8_wav_peaks": media_wav.op8_wav_peaks,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_t_occurrence": t_occurrence.ORACLE_SQL}

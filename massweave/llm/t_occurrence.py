@@ -381,3 +381,19 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def op6_t_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(documents(spark, sf_dir))
+
+
+#: The same rows by comparing all pairs of classes that share a shingle.
+ORACLE_SQL = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+shingles AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN w IS NULL OR len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+ ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END)) AS s FROM words),
+keyed AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS k, s FROM shingles),
+classes AS MATERIALIZED (SELECT k, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM keyed WHERE n > 0 GROUP BY k),
+posts AS MATERIALIZED (SELECT id, n, unnest(s) AS token FROM classes),
+links AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM posts a JOIN posts b ON a.token = b.token AND a.id < b.id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+ GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+both_ways AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached(id, c) AS (SELECT id, id FROM classes UNION SELECT r.id, e.v FROM reached r JOIN both_ways e ON e.u = r.c),
+low AS (SELECT id, min(c) AS c FROM reached GROUP BY id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(low.c, d.doc_id) AS component_id
+FROM keyed d LEFT JOIN classes ON classes.k = d.k AND d.n > 0 LEFT JOIN low ON low.id = classes.id"""
