@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massweave.llm.common import WORD, checked_join, crc_mod, documents, filtered, map_rows, table, written
@@ -103,33 +103,30 @@ def tables(counts: DataFrame) -> dict[str, np.ndarray]:
     def hashed(g):
         return F.when(g < 1 << 18, g).otherwise((g.bitwiseAND(BUCKETS - 1) * MIX[0] + F.shiftright(g, 20) * MIX[1]).bitwiseAND(BUCKETS - 1))
 
-    parts, names = [], []
+    names: list[str] = []
 
-    def put(name: str, df: DataFrame, g, value) -> None:
-        names.append(name)
-        parts.append(df.select(F.lit(len(names) - 1).alias("t"), hashed(g).cast("int").alias("b"), value.cast("double").alias("v")))
+    def cells(df: DataFrame, first: Column, made: dict[str, tuple[Column, Column]]) -> DataFrame:
+        """Each row's entries (t, b, v) of all its tables at once: one branch of the plan for them together."""
+        each = [F.struct((first + k).cast("int").alias("t"), hashed(g).cast("int").alias("b"), v.cast("double").alias("v")) for k, (g, v) in enumerate(made.values())]
+        return df.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
-    for label in (0, 1):
-        own = counts.where(F.col("label") == label)
-        put(f"n{label}", own, gram, F.col("n"))
-        put(f"c{label}", own, F.shiftright(gram, BITS), F.col("n"))
-        put(f"t{label}", own, F.shiftright(gram, BITS), F.lit(1))
+    context = F.shiftright(gram, BITS)
+    union = cells(counts, F.col("label") * 3, {"n": (gram, F.col("n")), "c": (context, F.col("n")), "t": (context, F.lit(1))})
+    names += [f"{x}{label}" for label in (0, 1) for x in "nct"]
     level = counts.select("gram").distinct()
     for order in range(ORDER - 1, 0, -1):
         # A gram whose context was cut at the word's edge keeps its zeros; each counts as one neighbour.
         level = level.groupBy(gram.bitwiseAND((1 << BITS * order) - 1).alias("gram")).agg(F.count("*").alias("n"))
-        put(f"s{order}", level, gram, F.col("n"))
-        put(f"d{order}", level, F.shiftright(gram, BITS), F.col("n"))
-        put(f"e{order}", level, F.shiftright(gram, BITS), F.lit(1))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.union(p)
-    got = union.groupBy("t", "b").agg(F.sum("v").cast("float").alias("v")).toPandas()
+        union = union.union(cells(level, F.lit(len(names)), {"s": (gram, F.col("n")), "d": (context, F.col("n")), "e": (context, F.lit(1))}))
+        names += [f"{x}{order}" for x in "sde"]
+    got = union.groupBy("t", "b").agg(F.sum("v").cast("float").alias("v")).toArrow()
+    t, b, v = (got.column(c).to_numpy() for c in ("t", "b", "v"))
     out = {}
-    for t, part in got.groupby("t"):
-        name, b = names[t], part.b.to_numpy()
-        out[name] = np.zeros(BUCKETS if b.max() >= 1 << 18 else 1 << 18 if b.max() >= 1 << 12 else 1 << 12, np.float32)
-        out[name][b] = part.v.to_numpy()
+    for k, name in enumerate(names):
+        own = b[t == k]
+        if len(own):
+            out[name] = np.zeros(BUCKETS if own.max() >= 1 << 18 else 1 << 18 if own.max() >= 1 << 12 else 1 << 12, np.float32)
+            out[name][own] = v[t == k]
     return out
 
 
@@ -206,10 +203,10 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     counts = written(count_grams(rows.where(F.col("fold") != CURVE_FOLD)), "grams")
     if counts.select("label").distinct().count() < 2:
         return None
-    model = tables(counts)
+    # The tables are shared once, for the curve and for all scoring; the driver doesn't keep them.
+    shared = docs.sparkSession.sparkContext.broadcast(tables(counts))
     held = rows.where(F.col("fold") == CURVE_FOLD)
     share = min(1.0, CURVE_ROWS / max(1, held.count()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task():
         scorer = Scorer(shared.value)
@@ -219,11 +216,12 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
 
         return each
 
-    got = map_rows(held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "label"), task, "label int, x array<double>").toPandas()
-    if got.label.nunique() < 2:
+    got = map_rows(held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "label"), task, "label int, x array<double>").toArrow()
+    y = got.column("label").to_numpy()
+    if len(np.unique(y)) < 2:
         return None
-    weights, bias = curve(np.array(got.x.tolist()), got.label.to_numpy(np.float64))
-    return {"tables": model, "weights": weights, "bias": bias}
+    weights, bias = curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES), y.astype(np.float64))
+    return {"tables": shared, "weights": weights, "bias": bias}
 
 
 def score(scorer: Scorer | None, model: dict | None, texts: list[str | None]) -> np.ndarray:
@@ -235,13 +233,12 @@ def score(scorer: Scorer | None, model: dict | None, texts: list[str | None]) ->
 
 def rate(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task():
-        scorer = Scorer(shared.value["tables"]) if shared.value else None
+        scorer = Scorer(model["tables"].value) if model else None
 
         def each(x: dict[str, list]) -> dict:
-            return {"doc_id": x["doc_id"], "score": score(scorer, shared.value, x["text"]).tolist()}
+            return {"doc_id": x["doc_id"], "score": score(scorer, model, x["text"]).tolist()}
 
         return each
 
@@ -250,11 +247,10 @@ def rate(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def harmless(docs: DataFrame, model: dict | None, limit: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that score less than ``limit``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task():
-        scorer = Scorer(shared.value["tables"]) if shared.value else None
-        return lambda batch: score(scorer, shared.value, batch.column("text").to_pylist()) < limit
+        scorer = Scorer(model["tables"].value) if model else None
+        return lambda batch: score(scorer, model, batch.column("text").to_pylist()) < limit
 
     return filtered(docs, task)
 
