@@ -50,8 +50,8 @@ def statistics(peaks: DataFrame, rated: DataFrame, good: float = 0.85) -> DataFr
 
 
 def entities(eic_peaks: DataFrame, max_rt_distance: float = 0.025) -> DataFrame:
-    """Ion peaks (sample, mz, apex_rt, intensity) chained by apex time: one entity each with its spectrum."""
-    from massweave.operators.suppress import gap_components
+    """Ion peaks (sample, mz, apex_rt, intensity) clustered by apex time (Ward's linkage): one entity each with its spectrum."""
+    from massweave.operators.suppress import ward
 
-    parts = gap_components(eic_peaks, "apex_rt", F.lit(max_rt_distance), ["sample"], "entity")
+    parts = ward(eic_peaks, ["sample"], "apex_rt", max_rt_distance, "entity")
     return parts.groupBy("sample", "entity").agg(F.max_by("apex_rt", "intensity").alias("rt"), F.sum("intensity").alias("tic"), F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("spectrum"))

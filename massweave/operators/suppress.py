@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -119,3 +122,45 @@ def dbscan(df: DataFrame, keys: list[str], dims: list[str], eps: float, min_poin
         return pdf.assign(cluster=label)
 
     return df.groupBy(*keys).applyInPandas(run, fields + ", cluster int")
+
+
+def ward(df: DataFrame, keys: list[str], x: str, limit: float, out: str = "cluster") -> DataFrame:
+    """Clusters of one dimension by Ward's linkage, merged while their distance is at most ``limit``.
+
+    No merge crosses a gap above the limit, so each run between such gaps is clustered alone; within it only
+    neighbours can be nearest. A cluster's number holds within its keys: the run's, then the cluster's.
+    Rows without a value get none.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    names = df.columns
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(x, kind="stable")
+        n = len(pdf)
+        total, size = pdf[x].to_numpy(float).copy(), np.ones(n)
+        left, right, version = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
+
+        def entry(i: int) -> tuple:
+            j = right[i]
+            return math.sqrt(2 * size[i] * size[j] / (size[i] + size[j])) * abs(total[i] / size[i] - total[j] / size[j]), i, j, version[i], version[j]
+
+        heap = [entry(i) for i in range(n - 1)]
+        heapq.heapify(heap)
+        gone = np.zeros(n, bool)
+        while heap:
+            d, i, j, vi, vj = heapq.heappop(heap)
+            if gone[i] or gone[j] or version[i] != vi or version[j] != vj:
+                continue
+            if d > limit:
+                break
+            total[i], size[i], gone[j], right[i] = total[i] + total[j], size[i] + size[j], True, right[j]
+            version[i] += 1
+            if right[i] < n:
+                left[right[i]] = i
+                heapq.heappush(heap, entry(i))
+            if left[i] >= 0:
+                heapq.heappush(heap, entry(left[i]))
+        return pdf[names].assign(**{out: [f"{c}.{k}" for c, k in zip(pdf["_c"], np.cumsum(~gone))]})
+
+    parts = gap_components(df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))), x, F.lit(limit), keys, "_c")
+    return parts.groupBy(*keys, "_c").applyInPandas(run, f"{fields}, `{out}` string")

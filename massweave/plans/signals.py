@@ -141,10 +141,10 @@ def q_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {sig_sql("1.274e7 * 12.0 * 0.768 * 0.618 / l_extendedprice", "rp")} FROM lineitem
-WHERE l_quantity * 10 >= (1 - 0.25) * (1.274e7 * 12.0 * 0.768 * 0.618 / l_extendedprice)""")
+WHERE l_quantity * 100 >= (1 - 0.25) * (1.274e7 * 12.0 * 0.768 * 0.618 / l_extendedprice)""")
 def q_resolving_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectrum(spark, sf_dir).withColumn("rp", sp.theoretical_resolving_power(F.col("mz"), 12.0, 0.768, apodization="Hanning"))
-    return rows.where(F.col("abundance") * 10 >= (1 - 0.25) * F.col("rp")).select("l_orderkey", "l_partkey", "l_suppkey", F.col("scan").alias("l_linenumber"), sig("rp", "rp"))
+    return rows.where(F.col("abundance") * 100 >= (1 - 0.25) * F.col("rp")).select("l_orderkey", "l_partkey", "l_suppkey", F.col("scan").alias("l_linenumber"), sig("rp", "rp"))
 
 
 @query(f"""WITH s AS (SELECT o_orderpriority, o_totalprice AS x, lag(o_totalprice) OVER w AS p FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice)),
@@ -208,3 +208,24 @@ def q_kendrick_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = spectrum(spark, sf_dir)
     return sp.kendrick_series(rows.withColumn("kmd", kendrick(F.col("mz"))[1]), ["scan"], "kmd").select("scan", "series", "odd", "n", sig("abundance", "abundance"))
+
+
+_Z = "power(i / 4.0, 2)"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity AS h, l_extendedprice / 100000.0 AS fwhm, l_extendedprice AS c FROM lineitem WHERE l_quantity >= 45), x AS (SELECT *, unnest(range(-8, 9)) AS i FROM p)
+SELECT l_orderkey, l_linenumber, {sig_sql("c + fwhm * i / 4", "mz")}, {sig_sql(f"h * exp(-4 * ln(2) * {_Z})", "gaussian")}, {sig_sql(f"h / (1 + 4 * {_Z})", "lorentzian")}, {sig_sql(f"0.5 * h / (1 + 4 * {_Z}) + 0.5 * h * exp(-4 * ln(2) * {_Z})", "pseudo_voigt")} FROM x""")
+def q_line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated profiles of the most abundant peaks at a resolving power of 100,000."""
+    from massweave.functions import lineshape as ls
+
+    rows = spectrum(spark, sf_dir).where("abundance >= 45").withColumn("fwhm", F.col("mz") / 100000.0)
+    peak = (F.col("mz"), F.col("fwhm"), F.col("abundance"))
+    points = rows.select("l_orderkey", "scan", *[c for c in ("mz", "fwhm", "abundance")], F.explode(ls.grid(*peak[:2])).alias("x"))
+    shapes = [sig(f(F.col("x"), *peak), f.__name__) for f in (ls.gaussian, ls.lorentzian, ls.pseudo_voigt)]
+    return points.select("l_orderkey", F.col("scan").alias("l_linenumber"), sig("x", "mz"), *shapes)
+
+
+@query()
+def q_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppress.ward(trace(spark, sf_dir), ["user_id"], "t", 24.0).select("event_id", "user_id", "cluster")
