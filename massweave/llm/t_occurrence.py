@@ -158,12 +158,24 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.col("t.token").alias("token"), "cid", "n", (F.col("alone") + F.col("k")).alias("i"))
 
 
+def common_prefix(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that similar sets of n and m have in common in their prefixes, at least."""
+    shares = F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
+    p, q = prefix_of(n, percent), prefix_of(m, percent)
+    return F.greatest(F.least(spare_of(n), spare_of(m)), F.least(shares - n + p, shares - m + q))
+
+
 def possible(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
     """Whether sets of n and m whose first common list is at places i and j can be similar."""
-    shares = F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
     p, q = prefix_of(n, percent), prefix_of(m, percent)
-    need = F.greatest(F.least(spare_of(n), spare_of(m)), F.least(shares - n + p, shares - m + q))
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.least(p - i, q - j) >= need)
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.least(p - i, q - j) >= common_prefix(n, m, percent))
+
+
+def last_places(sizes: DataFrame, percent: int) -> DataFrame:
+    """n, last: the last place of a prefix of n at which a list can be the first that it shares with a similar set of n or more."""
+    n = F.col("n")
+    larger = F.sequence(n, F.floor(n * 100 / percent))
+    return sizes.select("n", (prefix_of(n, percent) - F.array_min(F.transform(larger, lambda m: common_prefix(n, m, percent)))).alias("last"))
 
 
 def divide_skip(lists: list[list[int]], least: int, weight: float = 0.0085) -> Iterator[tuple[int, int]]:
@@ -251,12 +263,14 @@ def search_block(members: list[tuple[int, int, np.ndarray]], queries: list[tuple
 def meetings(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """(x, c, g): texts, their components, and the groups that they meet in a list and may be similar to.
 
-    Of a similar pair the smaller set has the shared token so early in its prefix that it could be similar to a
-    set of its own size; one side of each join has only such entries. A group stands in a list with one
+    Of a similar pair the smaller set has the first shared token early enough for the set of its size or more that
+    asks for the fewest common prefix tokens; one side of each join has only such entries. A group stands in a list with one
     entry for each size of its texts, so no pairs of texts are made. Smaller groups ask larger ones, and within
     a group all components but the largest ask.
     """
-    here = lists.join(placed, "cid").withColumn("early", possible(F.col("n"), F.col("i"), F.col("n"), F.col("i"), percent))
+    # Written: a filter pushed below the distinct would evaluate the places for every row.
+    last = written(last_places(lists.select("n").distinct(), percent), "sizes")
+    here = checked_join(lists.join(placed, "cid"), last, "n").withColumn("early", F.col("i") <= F.col("last"))
 
     def groups(rows: DataFrame) -> DataFrame:
         sized = rows.groupBy("token", "g", "k", F.col("n").alias("m")).agg(F.min("i").alias("j"), F.min("c").alias("low"), F.max("c").alias("high"))
