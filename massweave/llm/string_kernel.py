@@ -100,7 +100,7 @@ def score(model: dict | None, texts: list[str | None]) -> tuple[list[str], list[
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> pd.DataFrame:
     """At most ``per_lang`` labelled training rows of each language, in an order of their texts' hashes."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    counts = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return pd.DataFrame({"lang": [], "text": []})
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.5 * per_lang / r["n"]))])
