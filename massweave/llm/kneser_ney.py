@@ -2,12 +2,13 @@
 
 Two character models of words, one of toxic and one of ordinary training documents, share the
 counts of all lower orders, so that an expression rare in either class falls back to the same
-distribution. Counts cover every labelled training row and are made by Spark; the model holds
+distribution. Counts cover every labelled row that isn't held out and are made by Spark; the model holds
 them in tables of a fixed number of buckets, so its size doesn't follow the corpus.
 
 A document is compared at two lengths: the whole text and its most suspicious expressions
-(single words, the worst six), as log-likelihood differences, by character for the whole. A logistic curve, fitted on a
-bounded sample of training rows (``CURVE_ROWS``) that the counts leave out, turns them into a score.
+(single words, the worst six), as log-likelihood differences, by character for the whole. A logistic curve turns them into a score.
+It is fitted on at most a fifth of each class's distinct texts and ``CURVE_ROWS`` in all, rated by counts without them
+(a class's only text is in both).
 
 Cases: empty and null texts get the curve's value for no evidence. Without labels of both classes
 every score is 0. Repeated rows give repeated results; a doc_id labelled twice counts with its
@@ -25,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import WORD, checked_join, crc_mod, documents, filtered, map_rows, table, written
+from massweave.llm.common import WORD, checked_join, crc_mod, documents, dropped, filtered, map_rows, table, written
 
-FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 1
+FOLDS, HELD_OUT = 5, 0
 ORDER, BITS, BUCKETS = 5, 6, 1 << 20
 DISCOUNT = 0.75
 #: Odd factors of the low and high bits of a hashed n-gram.
 MIX = (648_391, 174_440_041)
 CURVE_ROWS = 20_000
+#: Part of a class's distinct texts that the curve is fitted on, and the texts below which they are counted off one by one.
+CURVE_PART, FEW = 5, 1000
 #: Per character: the whole text; the worst word. The worst words together; the evidence above chance; the length.
 FEATURES = 7
 #: A task keeps so many distinct words before it passes their n-grams on.
@@ -183,30 +186,42 @@ class Scorer:
         return out
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps."""
+def curve(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps; ``each``: the rows' weights."""
     a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
     keep = np.diag([1e-2] * x.shape[1] + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + keep, a.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((a * (each * p * (1 - p))[:, None]).T @ a + keep, a.T @ (each * (y - p)) - keep @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
 
 
+def curve_limit(texts: DataFrame, n: int) -> int:
+    """Hashes (u) below it are the curve's: at least one of the class's n texts."""
+    if n < FEW:
+        return sorted(r.u for r in texts.select("u").collect())[max(1, n // CURVE_PART) - 1] + 1
+    return int(min(1 / CURVE_PART, CURVE_ROWS / 2 / n) * (1 << 30))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
-    rows = checked_join(docs.select("doc_id", "text"), own, "doc_id").withColumn("fold", crc_mod(F.col("doc_id"), FOLDS))
-    counts = written(count_grams(rows.where(F.col("fold") != CURVE_FOLD)), "grams")
-    if counts.select("label").distinct().count() < 2:
+    rows = checked_join(docs.select("doc_id", "text"), own, "doc_id").select("text", "label", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("u"))
+    texts = written(rows.select("label", "u").distinct(), "texts")
+    n = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
         return None
-    # The tables are shared once, for the curve and for all scoring; the driver doesn't keep them.
-    shared = docs.sparkSession.sparkContext.broadcast(tables(counts))
-    held = rows.where(F.col("fold") == CURVE_FOLD)
-    share = min(1.0, CURVE_ROWS / max(1, held.count()))
+    limits = {label: curve_limit(texts.where(F.col("label") == label), n[label]) for label in (0, 1)}
+    dropped(texts)
+    held = F.col("u") < F.when(F.col("label") == 1, limits[1]).otherwise(limits[0])
+    only = F.col("label").isin([label for label in (0, 1) if n[label] == 1])
+    part = written(count_grams(rows.where(~held | only)), "grams")
+    counts = written(part.union(count_grams(rows.where(held & ~only))).groupBy("label", "gram").agg(F.sum("n").alias("n")), "grams")
+    # Tables are shared, first for the curve, then for all scoring; the driver doesn't keep them.
+    shared = docs.sparkSession.sparkContext.broadcast(tables(part))
 
     def task():
         scorer = Scorer(shared.value)
@@ -216,11 +231,12 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
 
         return each
 
-    got = map_rows(held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "label"), task, "label int, x array<double>").toArrow()
+    got = map_rows(rows.where(held).dropDuplicates(["label", "u"]).select("text", "label"), task, "label int, x array<double>").toArrow()
     y = got.column("label").to_numpy()
-    if len(np.unique(y)) < 2:
-        return None
-    weights, bias = curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES), y.astype(np.float64))
+    each = np.array([n[label] / max(1, (y == label).sum()) for label in (0, 1)]) * len(y) / sum(n.values())
+    weights, bias = curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES), y.astype(np.float64), each[y])
+    shared.destroy()
+    shared = docs.sparkSession.sparkContext.broadcast(tables(counts))
     return {"tables": shared, "weights": weights, "bias": bias}
 
 
