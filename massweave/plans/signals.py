@@ -217,9 +217,19 @@ _Z = "power(i / 4.0, 2)"
 SELECT l_orderkey, l_linenumber, {sig_sql("c + fwhm * i / 4", "mz")}, {sig_sql(f"h * exp(-4 * ln(2) * {_Z})", "gaussian")}, {sig_sql(f"h / (1 + 4 * {_Z})", "lorentzian")}, {sig_sql(f"0.5 * h / (1 + 4 * {_Z}) + 0.5 * h * exp(-4 * ln(2) * {_Z})", "pseudo_voigt")} FROM x""")
 def q_line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated profiles of the most abundant peaks at a resolving power of 100,000."""
+    return profiles(spectrum(spark, sf_dir).where("abundance >= 45"))
+
+
+@query()
+def q_line_shapes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated profiles of every peak."""
+    return profiles(spectrum(spark, sf_dir))
+
+
+def profiles(peaks: DataFrame) -> DataFrame:
     from massweave.functions import lineshape as ls
 
-    rows = spectrum(spark, sf_dir).where("abundance >= 45").withColumn("fwhm", F.col("mz") / 100000.0)
+    rows = peaks.withColumn("fwhm", F.col("mz") / 100000.0)
     peak = (F.col("mz"), F.col("fwhm"), F.col("abundance"))
     points = rows.select("l_orderkey", "scan", *[c for c in ("mz", "fwhm", "abundance")], F.explode(ls.grid(*peak[:2])).alias("x"))
     shapes = [sig(f(F.col("x"), *peak), f.__name__) for f in (ls.gaussian, ls.lorentzian, ls.pseudo_voigt)]
