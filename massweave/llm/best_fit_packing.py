@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from massweave.llm.common import checked_join, documents, written
+from massweave.llm.common import checked_join, documents, in_slices, small, written
 
 MAX_LEN = 2048
 #: Texts of other characters than these are left to the tokenizers library itself.
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return in_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
 
 def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, int, int, int, int, int]]:
@@ -137,10 +137,11 @@ def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN) -> Da
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.createDataFrame(plan(counts, max_len), "p_length long, p_from long, p_to long, p_each long, p_first long, p_offset long")
     ranked = checked_join(cuts, before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    # The plan has at most an entry for each length and room, whatever the rows: broadcasting it is safe.
+    # The plan has at most an entry for each length and room, whatever the rows; it is broadcast if it is small.
+    slots = F.broadcast(slots) if small(slots) else slots
     fits = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to"))
     nth = F.col("rank") - F.col("p_from")
-    return ranked.join(F.broadcast(slots), fits).select(
+    return ranked.join(slots, fits).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("p_first") + F.floor(nth / F.col("p_each"))).cast("long").alias("sequence_id"),
         (F.col("p_offset") + nth % F.col("p_each") * F.col("length")).cast("long").alias("offset"),

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: bounds a Python worker's memory where texts are long.
-BATCH_ROWS = 1000
-#: A side is broadcast only if it has been counted and has at most so many rows of at most 64 bytes.
-BROADCAST_ROWS = 500_000
+#: What Python works on at a time: rows and bytes of a batch, about. The batches themselves are bounded by the
+#: session's spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
+#: A side is broadcast only if counting shows at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Words of every operator: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Paths of tables written and values shared, by open scope.
+SCOPES: list[list] = [[]]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,18 +31,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir). A temporary one is made only for a local session that has none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='massweave-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -47,22 +52,78 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._massweave_path = path  # type: ignore[attr-defined]
+    SCOPES[-1].append(path)
     return out
 
 
+def shared(spark: SparkSession, value):
+    """A broadcast value that ends with its scope."""
+    out = spark.sparkContext.broadcast(value)
+    SCOPES[-1].append(out)
+    return out
+
+
+def deleted(path: str) -> None:
+    jvm, conf = SparkContext._active_spark_context._jvm, SparkContext._active_spark_context._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by ``written`` once nothing lazy refers to them."""
     for df in frames:
-        spark, path = df.sparkSession, df._massweave_path  # type: ignore[attr-defined]
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        path = df._massweave_path  # type: ignore[attr-defined]
+        deleted(path)
+        for scope in SCOPES:
+            if path in scope:
+                scope.remove(path)
+
+
+def closed(scope: list) -> None:
+    while scope:
+        made = scope.pop()
+        if isinstance(made, str):
+            deleted(made)
+        else:
+            made.destroy()
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written and values shared inside are deleted at the end, but for frames given to the yielded function."""
+    SCOPES.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        SCOPES[-1].remove(df._massweave_path)  # type: ignore[attr-defined]
+        SCOPES[-2].append(df._massweave_path)  # type: ignore[attr-defined]
+        return df
+
+    try:
+        yield keep
+    finally:
+        closed(SCOPES.pop())
+
 
+@atexit.register
+def leave() -> None:
+    """What lazy results still needed goes when the program ends, if its session still runs."""
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        for own in SCOPES:
+            closed(own)
 
-def checked_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join; ``right`` is broadcast only when counting shows at most ``rows`` rows, else both sides shuffle."""
-    small = len(right.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows if rows <= 1000 else right.count() <= rows
-    return left.join(F.broadcast(right) if small else right, on, how)
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether counting shows few enough rows and bytes to broadcast."""
+    wide = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
+    each = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in wide), F.lit(16 * len(df.columns)))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
+def checked_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join; ``right`` is broadcast only when counting its rows and bytes allows it, else both sides shuffle."""
+    return left.join(F.broadcast(right) if small(right) else right, on, how)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -70,6 +131,36 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to ``SLICE_ROWS`` rows and, by their mean row, ``SLICE_BYTES``."""
+    for batch in batches:
+        rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def released() -> None:
+    """Give a finished task's memory back to the system: Python workers live on and serve later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def in_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over bounded slices; a task's memory is given back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(slices(batches))
+        finally:
+            released()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]], schema: str) -> DataFrame:
     """Apply a per-batch function on Python lists. ``fn()`` runs once per task and returns it; state stays in the task."""
     fields = [(f.name, f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema]
@@ -83,7 +174,7 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict[st
             got = each({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns)})
             yield pa.RecordBatch.from_arrays([v if isinstance(v := got[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return in_slices(df, run, schema)
 
 
 def filtered(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
@@ -94,4 +185,4 @@ def filtered(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], list[boo
         for batch in batches:
             yield batch.filter(pa.array(each(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_slices(df, run, df.schema)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from massweave.llm import best_fit_packing, html_density, kneser_ney, line_quality, media_wav, pii_bootstrap, piece_sampling, string_kernel, t_occurrence, warc_derivatives
+from massweave.llm import best_fit_packing, html_density, kneser_ney, line_quality, media_wav, pii_bootstrap, piece_sampling, pipeline, string_kernel, t_occurrence, warc_derivatives
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op6_t_occurrence": t_occurrence.op6_t_occurrence,
     "op5_warc_derivatives": warc_derivatives.op5_warc_derivatives,
     "op9_piece_sampling": piece_sampling.op9_piece_sampling,

@@ -1,14 +1,21 @@
 """Operator 10: toxicity by class-conditional Kneser-Ney models.
 
-Two character models of words, one of toxic and one of ordinary training documents, share the
-counts of all lower orders, so that an expression rare in either class falls back to the same
-distribution. Counts cover every labelled row that isn't held out and are made by Spark; the model holds
-them in tables of a fixed number of buckets, so its size doesn't follow the corpus.
-
-A document is compared at two lengths: the whole text and its most suspicious expressions
-(single words, the worst six), as log-likelihood differences, by character for the whole. A logistic curve turns them into a score.
-It is fitted on at most a fifth of each class's distinct texts and ``CURVE_ROWS`` in all, rated by counts without them
-(a class's only text is in both).
+Two character models of words, one of toxic and one of ordinary training documents. Their highest
+order is counted by class; all lower orders are continuation counts (distinct left neighbours) that
+both share, so that an expression rare in either class falls back to the same distribution. Counts
+cover every labelled row that isn't held out. They are made and smoothed in Spark, keyed by the exact
+symbols: the model has a row for each distinct n-gram and context and grows with the corpus.
+
+For scoring it reduces to the logarithm of toxic over ordinary probability of each n-gram that was
+seen, and of each context for all that wasn't seen after it (there the shared part cancels). Up to
+``MODEL_ROWS`` rows are broadcast; a larger model is joined with the n-grams of the distinct words.
+
+A document is compared at several lengths, each as a log-likelihood difference over its length: the
+whole text by symbols, its 1, 2, 4 and 8 most suspicious words by words, and the logarithm of the word
+count, as larger texts have larger maxima. A logistic curve turns the comparisons into a score.
+It is fitted on at most a fifth of each class's distinct texts and ``CURVE_ROWS`` in all, rated by
+counts without them (a class's only text is in both). N-grams don't cross words: what is toxic only
+as a phrase is seen through its words.
 
 Cases: empty and null texts get the curve's value for no evidence. Without labels of both classes
 every score is 0. Repeated rows give repeated results; a doc_id labelled twice counts with its
@@ -17,6 +24,7 @@ larger label. Labels, lang, source and doc_id aren't read for a score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,53 +34,83 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import WORD, checked_join, crc_mod, documents, dropped, filtered, map_rows, table, written
+from massweave.llm.common import WORD, checked_join, crc_mod, documents, dropped, filtered, in_slices, map_rows, shared, table, written
 
 FOLDS, HELD_OUT = 5, 0
-ORDER, BITS, BUCKETS = 5, 6, 1 << 20
+#: Symbols are code points; three stand in ``lo``, the last one lowest, those before them in ``hi``.
+ORDER, BITS = 6, 21
+MASK = (1 << BITS) - 1
 DISCOUNT = 0.75
-#: Odd factors of the low and high bits of a hashed n-gram.
-MIX = (648_391, 174_440_041)
+#: The shared distribution's weight in every context: those seen less than a few times lean on it.
+PRIOR = 2.0
+#: A model of more rows (of 12 bytes) isn't broadcast but joined.
+MODEL_ROWS = 8_000_000
 CURVE_ROWS = 20_000
 #: Part of a class's distinct texts that the curve is fitted on, and the texts below which they are counted off one by one.
 CURVE_PART, FEW = 5, 1000
-#: Per character: the whole text; the worst word. The worst words together; the evidence above chance; the length.
-FEATURES = 7
-#: A task keeps so many distinct words before it passes their n-grams on.
-TASK_WORDS = 200_000
+#: Numbers of most suspicious words that are compared.
+WORST = (1, 2, 4, 8)
+FEATURES = len(WORST) + 2
+#: A task keeps so many distinct words before it passes their n-grams on, or forgets their ratios.
+TASK_WORDS = 100_000
 WORDS = re.compile(WORD)
-#: Symbols of the models: 0 is a word's edge, letters a-z, other letters by a hash, digits, the rest.
-SYMBOLS = np.array([1 + i - 97 if 97 <= i < 123 else 27 if chr(i).isdigit() else 30 + i % 34 if chr(i).isalpha() else 28 + (i % 2) for i in range(0x3000)], np.int64)
 
 
 def symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All words after each other with edges between them, and where each begins."""
+    """The lower-case code points of all words after each other with edges (0) between them, and where each begins. Digits are one symbol."""
     joined = ("\x00" + "\x00".join(words) + "\x00").lower() if words else "\x00"
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    out = np.where(cp < len(SYMBOLS), SYMBOLS[np.minimum(cp, len(SYMBOLS) - 1)], 30 + cp % 34)
-    out[cp == 0] = 0
+    out = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    out[(out >= 48) & (out < 58)] = 48
     return out, np.flatnonzero(out == 0)
 
 
-def grams(codes: np.ndarray, edges: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each symbol but the first edge, its context never before the word, and its word."""
-    n = len(codes)
+def grams(codes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hi, lo) of the n-gram that ends at each symbol but the first edge, its context never before the word, and its word."""
     word = np.cumsum(codes == 0) - 1
-    begin = edges[np.minimum(np.where(codes == 0, word - 1, word), len(edges) - 1)]
-    out = np.zeros(n, np.int64)
-    for k in range(order):
-        at = np.arange(n) - k
-        out |= np.where(at >= begin, codes[np.maximum(at, 0)], 0) << (BITS * k)
-    return out[1:], np.where(codes == 0, word - 1, word)[1:]
+    word = np.where(codes == 0, word - 1, word)
+    begin = edges[np.clip(word, 0, len(edges) - 1)]
+    hi, lo = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    for k in range(ORDER):
+        at = np.arange(len(codes)) - k
+        own = np.where(at >= begin, codes[np.maximum(at, 0)], 0)
+        if k < 3:
+            lo |= own << (BITS * k)
+        else:
+            hi |= own << (BITS * (k - 3))
+    return hi[1:], lo[1:], word[1:]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of an n-gram, for look-ups: of ten million, two are equal once in some hundred thousand models."""
+    return mixed(lo.view(np.uint64) + mixed(hi.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
 
 
-def bucket(gram: np.ndarray) -> np.ndarray:
-    """Exact up to three symbols, hashed above."""
-    return np.where(gram < 1 << 18, gram, ((gram & (BUCKETS - 1)) * MIX[0] + (gram >> 20) * MIX[1]) & (BUCKETS - 1))
+class Ratios:
+    """Sorted hashes with a value each; ``find`` gives the values of others, and whether they are there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], np.uint64(2**64 - 1)), np.append(values[order], np.float32(0))
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        self.first = np.searchsorted(self.keys, np.arange(1 << int(np.uint64(64) - self.shift), dtype=np.uint64) << self.shift)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.first[(wanted >> self.shift).astype(np.int64)]
+        on = np.flatnonzero(self.keys[at] < wanted)
+        while len(on):
+            at[on] += 1
+            on = on[self.keys[at[on]] < wanted[on]]
+        return self.values[at], self.keys[at] == wanted
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """label, gram, n over all (text, label) rows."""
+    """label, hi, lo, n over all (text, label) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -80,14 +118,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
         def passed() -> Iterator[pa.RecordBatch]:
             for label, words in enumerate(seen):
                 if words:
-                    codes, edges = symbols(list(words))
-                    gram, word = grams(codes, edges)
-                    found, place = np.unique(gram, return_inverse=True)
-                    n = np.bincount(place, weights=np.fromiter(words.values(), np.float64)[word])
+                    hi, lo, word = grams(*symbols(list(words)))
+                    _, first, place = np.unique(key(hi, lo), return_index=True, return_inverse=True)
+                    n = np.bincount(place, weights=np.fromiter(words.values(), np.float64)[word]).astype(np.int64)
                     words.clear()
-                    for at in range(0, len(found), 100_000):
-                        part = slice(at, at + 100_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[part]), label), pa.int32()), pa.array(found[part], pa.int64()), pa.array(n[part].astype(np.int64), pa.int64())], names=["label", "gram", "n"])
+                    for at in range(0, len(first), 100_000):
+                        own = first[at : at + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), label), pa.int32()), pa.array(hi[own]), pa.array(lo[own]), pa.array(n[at : at + 100_000])], names=["label", "hi", "lo", "n"])
 
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
@@ -96,96 +133,164 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 yield from passed()
         yield from passed()
 
-    return rows.select("text", "label").mapInArrow(run, "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    return in_slices(rows.select("text", "label"), run, "label int, hi long, lo long, n long").groupBy("label", "hi", "lo").agg(F.sum("n").alias("n"))
 
 
-def tables(counts: DataFrame) -> dict[str, np.ndarray]:
-    """Bucketed counts: of the top order by class, of lower orders by distinct left neighbours, shared."""
-    gram = F.col("gram")
+def suffix(order: int) -> list[Column]:
+    """(hi, lo) of the last symbols of an n-gram."""
+    hi, lo = F.col("hi"), F.col("lo")
+    if order > 3:
+        return [hi.bitwiseAND((1 << BITS * (order - 3)) - 1).alias("hi"), lo.alias("lo")]
+    return [F.lit(0).cast("long").alias("hi"), lo.bitwiseAND((1 << BITS * order) - 1).alias("lo")]
 
-    def hashed(g):
-        return F.when(g < 1 << 18, g).otherwise((g.bitwiseAND(BUCKETS - 1) * MIX[0] + F.shiftright(g, 20) * MIX[1]).bitwiseAND(BUCKETS - 1))
 
-    names: list[str] = []
+def context() -> list[Column]:
+    """(chi, clo) of an n-gram without its last symbol."""
+    hi, lo = F.col("hi"), F.col("lo")
+    return [F.shiftright(hi, BITS).alias("chi"), F.shiftright(lo, BITS).bitwiseOR(F.shiftleft(hi.bitwiseAND(MASK), 2 * BITS)).alias("clo")]
 
-    def cells(df: DataFrame, first: Column, made: dict[str, tuple[Column, Column]]) -> DataFrame:
-        """Each row's entries (t, b, v) of all its tables at once: one branch of the plan for them together."""
-        each = [F.struct((first + k).cast("int").alias("t"), hashed(g).cast("int").alias("b"), v.cast("double").alias("v")) for k, (g, v) in enumerate(made.values())]
-        return df.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
-    context = F.shiftright(gram, BITS)
-    union = cells(counts, F.col("label") * 3, {"n": (gram, F.col("n")), "c": (context, F.col("n")), "t": (context, F.lit(1))})
-    names += [f"{x}{label}" for label in (0, 1) for x in "nct"]
-    level = counts.select("gram").distinct()
+def shared_probability(top: DataFrame) -> DataFrame:
+    """hi, lo, p of all n-grams of one order less than the top's: interpolated Kneser-Ney over distinct left neighbours."""
+    levels = [top]
     for order in range(ORDER - 1, 0, -1):
         # A gram whose context was cut at the word's edge keeps its zeros; each counts as one neighbour.
-        level = level.groupBy(gram.bitwiseAND((1 << BITS * order) - 1).alias("gram")).agg(F.count("*").alias("n"))
-        union = union.union(cells(level, F.lit(len(names)), {"s": (gram, F.col("n")), "d": (context, F.col("n")), "e": (context, F.lit(1))}))
-        names += [f"{x}{order}" for x in "sde"]
-    got = union.groupBy("t", "b").agg(F.sum("v").cast("float").alias("v")).toArrow()
-    t, b, v = (got.column(c).to_numpy() for c in ("t", "b", "v"))
-    out = {}
-    for k, name in enumerate(names):
-        own = b[t == k]
-        if len(own):
-            out[name] = np.zeros(BUCKETS if own.max() >= 1 << 18 else 1 << 18 if own.max() >= 1 << 12 else 1 << 12, np.float32)
-            out[name][own] = v[t == k]
+        levels.append(levels[-1].groupBy(*suffix(order)).agg(F.count("*").alias("s")))
+    p = None
+    for order, level in enumerate(reversed(levels[1:]), start=1):
+        own = level.select("*", *context())
+        around = own.groupBy("chi", "clo").agg(F.sum("s").alias("d"), F.count("*").alias("e"))
+        if p is None:
+            # Below single symbols all are equally likely: those seen, and one for the others.
+            own = own.join(around, ["chi", "clo"]).withColumn("below", 1 / (F.col("e") + 1))
+        else:
+            below = [c.alias(f"b{n}") for c, n in zip(suffix(order - 1), ("hi", "lo"))]
+            own = own.select("*", *below).join(p.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.col("p").alias("below")), ["bhi", "blo"]).join(around, ["chi", "clo"])
+        p = own.select("hi", "lo", (F.greatest(F.col("s") - DISCOUNT, F.lit(0.0)) / F.col("d") + DISCOUNT * F.col("e") / F.col("d") * F.col("below")).alias("p"))
+    return p
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """kind, hi, lo, ratio: log of toxic over ordinary probability of n-grams seen (kind 0), and of others by context (kind 1)."""
+    per = [F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0)).alias(f"n{label}") for label in (0, 1)]
+    top = written(counts.groupBy("hi", "lo").agg(*per), "top")
+    own = top.select("*", *context())
+    around = written(own.groupBy("chi", "clo").agg(*[f(label) for label in (0, 1) for f in (lambda k: F.sum(f"n{k}").alias(f"c{k}"), lambda k: F.count(F.when(F.col(f"n{k}") > 0, 1)).alias(f"t{k}"))]), "contexts")
+    share = lambda k: F.least(DISCOUNT * F.col(f"t{k}"), F.col(f"c{k}")) + PRIOR
+    chance = lambda k: (F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) + share(k) * F.col("p")) / (F.col(f"c{k}") + PRIOR)
+    p = shared_probability(top).withColumnsRenamed({"hi": "bhi", "lo": "blo"})
+    below = [c.alias(f"b{n}") for c, n in zip(suffix(ORDER - 1), ("hi", "lo"))]
+    seen = own.select("*", *below).join(p, ["bhi", "blo"]).join(around, ["chi", "clo"]).select(F.lit(0).alias("kind"), "hi", "lo", F.log(chance(1) / chance(0)).cast("float").alias("ratio"))
+    unseen = around.select(F.lit(1), F.col("chi"), F.col("clo"), F.log(share(1) / (F.col("c1") + PRIOR) / (share(0) / (F.col("c0") + PRIOR))).cast("float"))
+    out = written(seen.union(unseen), "ratios")
+    dropped(top, around)
     return out
 
 
-def look(model: dict[str, np.ndarray], name: str, b: np.ndarray) -> np.ndarray:
-    values = model[name]
-    return values[np.minimum(b, len(values) - 1)] * (b < len(values))
+def held_in_memory(found: DataFrame, rows: int = MODEL_ROWS):
+    """The broadcast pair of look-ups, or None where the model is larger than ``rows``."""
+    if found.count() > rows:
+        return None
+    got = found.toArrow()
+    kind, hi, lo, ratio = (got.column(c).to_numpy() for c in ("kind", "hi", "lo", "ratio"))
+    return shared(found.sparkSession, tuple(Ratios(key(hi[kind == k], lo[kind == k]), ratio[kind == k]) for k in (0, 1)))
 
 
-def log_ratio(model: dict[str, np.ndarray], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def log_ratio(model: tuple[Ratios, Ratios], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each word: toxic minus ordinary log-likelihood, and symbols scored."""
-    codes, edges = symbols(words)
-    gram, word = grams(codes, edges)
-    shared = np.full(len(gram), 1.0 / (1 << BITS))
-    for order in range(1, ORDER):
-        g = gram & ((1 << BITS * order) - 1)
-        here, ctx = bucket(g), bucket(g >> BITS)
-        total, types = look(model, f"d{order}", ctx), look(model, f"e{order}", ctx)
-        known = np.maximum(total, 1)
-        shared = np.where(total > 0, np.maximum(look(model, f"s{order}", here) - DISCOUNT, 0) / known + DISCOUNT * types / known * shared, shared)
-    logs = []
-    here, ctx = bucket(gram), bucket(gram >> BITS)
-    for label in (0, 1):
-        total, types = look(model, f"c{label}", ctx), look(model, f"t{label}", ctx)
-        # Contexts seen less than a few times lean on the shared distribution: an absolute discount and a prior weight.
-        known = total + 2.0
-        logs.append(np.log(np.maximum(look(model, f"n{label}", here) - DISCOUNT, 0) / known + (np.minimum(DISCOUNT * types, total) + 2.0) / known * shared))
-    n = np.bincount(word, minlength=len(words))[: len(words)]
-    return np.bincount(word, weights=logs[1] - logs[0], minlength=len(words))[: len(words)], n
+    hi, lo, word = grams(*symbols(words))
+    value, there = model[0].find(key(hi, lo))
+    rest = np.flatnonzero(~there)
+    value, around = value.astype(np.float64), (hi[rest] >> BITS, lo[rest] >> BITS | (hi[rest] & MASK) << 2 * BITS)
+    other, known = model[1].find(key(*around))
+    value[rest] = other * known
+    n = len(words)
+    return np.bincount(word, weights=value, minlength=n)[:n], np.bincount(word, minlength=n)[:n]
+
+
+def compared(whole: np.ndarray, size: np.ndarray) -> list[float]:
+    """The log-likelihood differences by length of a text whose words have these differences and sizes."""
+    if not len(whole):
+        return [0.0] * FEATURES
+    most = max(WORST)
+    top = np.sort(np.partition(whole, -most)[-most:] if len(whole) > most else whole)[::-1]
+    return [20 * whole.sum() / size.sum(), *(top[:k].sum() / (5 * k) for k in WORST), math.log(len(whole)) / 5]
 
 
 class Scorer:
-    """Evidence of texts; words are scored once in a task."""
+    """Evidence of texts; words are scored once in a task, while their number is small."""
 
-    def __init__(self, model: dict[str, np.ndarray]) -> None:
-        self.model, self.known = model, {}
+    def __init__(self, model: tuple[Ratios, Ratios]) -> None:
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.whole, self.size = np.empty(0, np.float32), np.empty(0, np.float32)
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         split = [WORDS.findall(t.replace("\x00", " ")) if t else [] for t in texts]
-        if len(self.known) > 2 * TASK_WORDS:
-            self.known.clear()
-        fresh = list({w for words in split for w in words if w not in self.known})
-        if fresh:
-            ratio, n = log_ratio(self.model, fresh)
-            self.known.update(zip(fresh, zip(ratio.tolist(), n.tolist())))
-        out = np.zeros((len(texts), FEATURES))
+        if len(self.known) > TASK_WORDS:
+            self.clear()
         known = self.known
+        fresh = list({w for words in split for w in words if w not in known})
+        for at in range(0, len(fresh), TASK_WORDS):
+            part = fresh[at : at + TASK_WORDS]
+            whole, size = log_ratio(self.model, part)
+            known.update(zip(part, range(len(known), len(known) + len(part))))
+            self.whole, self.size = np.append(self.whole, whole.astype(np.float32)), np.append(self.size, size.astype(np.float32))
+        out = np.zeros((len(texts), FEATURES))
         for row, words in zip(out, split):
-            if words:
-                got = np.array([known[w] for w in words])
-                whole, size = got[:, 0], got[:, 1]
-                each = whole / size
-                top = np.sort(np.partition(whole, -6)[-6:] if len(whole) > 6 else whole)[::-1]
-                row[:] = 20 * whole.sum() / size.sum(), each.max(), top[0] / 5, top[:3].sum() / 15, top[3:].sum() / 15, 10 * np.maximum(whole - 2, 0).sum() / size.sum(), np.log(len(words)) / 5
+            own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            row[:] = compared(self.whole[own].astype(np.float64), self.size[own])
         return out
 
 
+def joined_evidence(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """th, x of distinct texts (th, text): the words' ratios come by joins, for a model of any size."""
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for th, text in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist()):
+                n = Counter(w.replace("\x00", " ") for w in WORDS.findall(text or ""))
+                yield pa.RecordBatch.from_arrays([pa.array([th] * len(n), pa.int64()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["th", "word", "n"])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word")
+            hi, lo, word = grams(*symbols(words.to_pylist()))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(word)), pa.array(hi), pa.array(lo)], names=["word", "hi", "lo"])
+
+    once = texts.dropDuplicates(["th"])
+    uses = in_slices(once, occurrences, "th long, word string, n long")
+    letters = in_slices(uses.select("word").distinct(), spelled, "word string, hi long, lo long").select("*", *context())
+    seen = found.where("kind = 0").select("hi", "lo", F.col("ratio").alias("a"))
+    around = found.where("kind = 1").select(F.col("hi").alias("chi"), F.col("lo").alias("clo"), F.col("ratio").alias("b"))
+    value = F.coalesce("a", "b", F.lit(0.0)).cast("double")
+    words = letters.join(seen, ["hi", "lo"], "left").join(around, ["chi", "clo"], "left").groupBy("word").agg(F.sum(value).cast("float").alias("whole"), F.count("*").cast("float").alias("size"))
+    each = uses.join(words, "word").groupBy("th").agg(F.collect_list("whole").alias("whole"), F.collect_list("size").alias("size"), F.collect_list("n").alias("n"))
+
+    def task():
+        def one(whole, size, n) -> list[float]:
+            return compared(np.repeat(np.array(whole, np.float64), n), np.repeat(np.array(size, np.float64), n)) if whole else [0.0] * FEATURES
+
+        return lambda x: {"th": x["th"], "x": [one(*v) for v in zip(x["whole"], x["size"], x["n"])]}
+
+    return map_rows(once.select("th").join(each, "th", "left"), task, "th long, x array<double>")
+
+
+def evidence(texts: DataFrame, found: DataFrame, lookups) -> DataFrame:
+    """th, x of texts (th, text)."""
+    if lookups is None:
+        return joined_evidence(texts, found)
+
+    def task():
+        scorer = Scorer(lookups.value)
+        return lambda x: {"th": x["th"], "x": scorer.evidence(x["text"]).tolist()}
+
+    return map_rows(texts.select("th", "text"), task, "th long, x array<double>")
+
+
 def curve(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton steps; ``each``: the rows' weights."""
     a = np.hstack([x, np.ones((len(x), 1))])
@@ -207,9 +312,13 @@ def curve_limit(texts: DataFrame, n: int) -> int:
     return int(min(1 / CURVE_PART, CURVE_ROWS / 2 / n) * (1 << 30))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict | None:
+def text_hash() -> Column:
+    return F.xxhash64("text")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows_in_memory: int = MODEL_ROWS) -> dict | None:
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
-    rows = checked_join(docs.select("doc_id", "text"), own, "doc_id").select("text", "label", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("u"))
+    rows = checked_join(docs.select("doc_id", "text"), own, "doc_id").select("text", "label", text_hash().alias("th")).withColumn("u", F.pmod("th", F.lit(1 << 30)))
     texts = written(rows.select("label", "u").distinct(), "texts")
     n = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
@@ -219,54 +328,63 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     held = F.col("u") < F.when(F.col("label") == 1, limits[1]).otherwise(limits[0])
     only = F.col("label").isin([label for label in (0, 1) if n[label] == 1])
     part = written(count_grams(rows.where(~held | only)), "grams")
-    counts = written(part.union(count_grams(rows.where(held & ~only))).groupBy("label", "gram").agg(F.sum("n").alias("n")), "grams")
-    # Tables are shared, first for the curve, then for all scoring; the driver doesn't keep them.
-    shared = docs.sparkSession.sparkContext.broadcast(tables(part))
+    counts = written(part.union(count_grams(rows.where(held & ~only))).groupBy("label", "hi", "lo").agg(F.sum("n").alias("n")), "grams")
+    fold = rows.where(held).dropDuplicates(["label", "u"]).select("th", "text", "label")
+    found = ratios(part)
+    lookups = held_in_memory(found, rows_in_memory)
+    rated = evidence(fold, found, lookups).dropDuplicates(["th"]).join(fold.select("th", "label"), "th")
+    got = rated.select("label", "x", "th").orderBy("label", "th").toArrow()
+    y = got.column("label").to_numpy()
+    each = np.array([n[label] / max(1, (y == label).sum()) for label in (0, 1)]) * len(y) / sum(n.values())
+    weights, bias = curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES), y.astype(np.float64), each[y])
+    if lookups is not None:
+        lookups.unpersist()
+    found = ratios(counts)
+    dropped(part, counts)
+    return {"found": found, "lookups": held_in_memory(found, rows_in_memory), "weights": weights, "bias": bias}
 
-    def task():
-        scorer = Scorer(shared.value)
 
-        def each(x: dict[str, list]) -> dict:
-            return {"label": x["label"], "x": scorer.evidence(x["text"]).tolist()}
+def chance(x: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
 
-        return each
 
-    got = map_rows(rows.where(held).dropDuplicates(["label", "u"]).select("text", "label"), task, "label int, x array<double>").toArrow()
-    y = got.column("label").to_numpy()
-    each = np.array([n[label] / max(1, (y == label).sum()) for label in (0, 1)]) * len(y) / sum(n.values())
-    weights, bias = curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES), y.astype(np.float64), each[y])
-    shared.destroy()
-    shared = docs.sparkSession.sparkContext.broadcast(tables(counts))
-    return {"tables": shared, "weights": weights, "bias": bias}
+def text_scores(docs: DataFrame, model: dict) -> DataFrame:
+    """th, score of distinct texts by joins."""
+    weights, bias = model["weights"], model["bias"]
 
+    def task():
+        return lambda x: {"th": x["th"], "score": chance(np.array(x["x"]).reshape(-1, FEATURES), weights, bias).tolist()}
 
-def score(scorer: Scorer | None, model: dict | None, texts: list[str | None]) -> np.ndarray:
-    if scorer is None or model is None:
-        return np.zeros(len(texts))
-    z = scorer.evidence(texts) @ model["weights"] + model["bias"]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return map_rows(joined_evidence(docs.select(text_hash().alias("th"), "text"), model["found"]), task, "th long, score double")
 
 
 def rate(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, score of every document."""
+    if model is None:
+        return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"))
+    lookups, weights, bias = model["lookups"], model["weights"], model["bias"]
+    if lookups is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th")).join(text_scores(docs, model), "th").select("doc_id", "score")
 
     def task():
-        scorer = Scorer(model["tables"].value) if model else None
-
-        def each(x: dict[str, list]) -> dict:
-            return {"doc_id": x["doc_id"], "score": score(scorer, model, x["text"]).tolist()}
-
-        return each
+        scorer = Scorer(lookups.value)
+        return lambda x: {"doc_id": x["doc_id"], "score": chance(scorer.evidence(x["text"]), weights, bias).tolist()}
 
     return map_rows(docs.select("doc_id", "text"), task, "doc_id long, score double")
 
 
 def harmless(docs: DataFrame, model: dict | None, limit: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that score less than ``limit``."""
+    if model is None:
+        return docs if limit > 0 else docs.limit(0)
+    lookups, weights, bias = model["lookups"], model["weights"], model["bias"]
+    if lookups is None:
+        toxic = text_scores(docs, model).where(F.col("score") >= limit).select(F.col("th").alias(th := max(docs.columns, key=len) + "_th"))
+        return docs.join(toxic, F.xxhash64(docs["text"]) == F.col(th), "left_anti")
 
     def task():
-        scorer = Scorer(model["tables"].value) if model else None
-        return lambda batch: score(scorer, model, batch.column("text").to_pylist()) < limit
+        scorer = Scorer(lookups.value)
+        return lambda batch: chance(scorer.evidence(batch.column("text").to_pylist()), weights, bias) < limit
 
     return filtered(docs, task)
 

@@ -1,7 +1,8 @@
 """Operator 9: sampled SentencePiece segmentations by forward filtering and backward sampling.
 
-A text is cut before spaces, around newlines and between words and signs; no piece crosses such a cut, so the lattice of a
-text is the chain of its chunks' lattices. Forward filtering sums the weights of all segmentations
+A text is cut before spaces, around newlines and between words and signs, but not beside the characters by which
+pieces of the vocabulary join words and signs (the underscore, mostly). So no piece crosses a cut, every piece can
+be drawn, and the lattice of a text is the chain of its chunks' lattices. Forward filtering sums the weights of all segmentations
 up to each place of a distinct chunk once; backward sampling then walks from the ends of all chunk
 occurrences of a batch at once, drawing the last piece in proportion to its share. Draws are a hash
 of the row's key, the chunk's number and the step, so a row always gets the same sample.
@@ -21,12 +22,12 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from massweave.llm.common import documents, map_rows
 
 ALPHA = 1.0
 META = "▁"
-CHUNK = re.compile(r" ?\w+| ?[^\w \n]+|\n| ")
 #: A task keeps lattices of distinct chunks of so many characters.
 TASK_CHARS = 2_000_000
 SLOT_BITS = 20
@@ -40,6 +41,19 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def chunk_pattern(names: list[str]) -> re.Pattern:
+    """Where texts may be cut, so that none of the names is: spaces go with what follows; words and signs part unless a joining character is beside."""
+    sort = lambda c: 0 if c == " " else 1 if re.match(r"\w", c) else 2
+    joining = {"_"}
+    for name in names:
+        for a, b in zip(name, name[1:]):
+            if sort(a) and sort(b) and sort(a) != sort(b) and not joining & {a, b}:
+                joining.add(a if sort(a) == 1 else b)
+    own = "".join(map(re.escape, sorted(joining)))
+    run = rf"[^\W{own}]+|[^\w \n{own}]+"
+    return re.compile(rf" *(?:{run}|(?=[{own}]))(?:[{own}]+(?:{run})?)*|\n| +")
+
+
 class Pieces:
     """Vocabulary and weights of a SentencePiece model with byte pieces."""
 
@@ -52,8 +66,9 @@ class Pieces:
         special = set(self.byte) | {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         names = {i: sp.id_to_piece(i) for i in range(n) if i not in special}
         self.bytes = {i: name.replace(META, " ").encode() for i, name in names.items()} | {i: bytes([b]) for b, i in enumerate(self.byte)}
-        # Pieces that chunks can hold: the meta symbol stands for a space, first or alone.
-        own = {i: " " + name[1:] if name[0] == META else name for i, name in names.items() if META not in name[1:] and "\n" not in name and " " not in name}
+        # The meta symbol stands for a space; in a text it is itself, and spelled in bytes.
+        own = {i: name.replace(META, " ") for i, name in names.items() if "\n" not in name and " " not in name}
+        self.chunk = chunk_pattern(list(own.values()))
         self.longest = max(map(len, own.values()))
         self.tables = []
         for k in range(1, self.longest + 1):
@@ -165,7 +180,7 @@ class Lattices:
 
     def sample(self, keys: list[int], texts: list[str | None]) -> list[np.ndarray | None]:
         """Backward sampling: all chunk occurrences of the batch step at once."""
-        split = [CHUNK.findall(t) if t else [] for t in texts]
+        split = [self.pieces.chunk.findall(t) if t else [] for t in texts]
         if len(self.first) > TASK_CHARS:
             self.clear()
         fresh = list(set().union(*split).difference(self.at))
@@ -224,7 +239,7 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = ALPHA) -> Da
 
         return each
 
-    return map_rows(docs.select("doc_id", "text"), task, "doc_id long, ids array<int>")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), task, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -262,7 +277,7 @@ def digests(docs: DataFrame, path: str | None = None, alpha: float = ALPHA) -> D
 
         return each
 
-    return map_rows(docs.select("doc_id", "text"), task, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), task, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")
 
 
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

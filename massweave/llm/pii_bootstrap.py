@@ -1,23 +1,26 @@
 """Operator 3: personal data by rules and by bootstrapped contexts.
 
 Base entities come from fixed patterns. Each is a seed: the words around it induce lexical
-patterns (kind, words before, words after). Loose candidates, which look like an identifier but
-fail the base rules, are the unlabelled instances. Spark scores the graph of patterns and
-instances in rounds: a pattern by the share of its instances that are trusted, an instance by
-the patterns that it stands in. Candidates in patterns of high confidence are added.
-
-Candidates are e-mail addresses spelled out (``name (at) host dot org``), dotted numbers that aren't an
-address, digit groups that fail the card check and telephone numbers without a plus.
-
-Cases: null and empty texts have no spans. A candidate that overlaps a base span is no candidate.
+patterns (kind, words before, words after). Candidates are the unlabelled instances: runs that look like
+an identifier of a kind but fail its rules, and any other word of letters and digits that holds five
+digits or an ``@``, which belongs to no kind until a pattern gives it one. Spark scores the graph of
+patterns and instances in rounds until no pattern changes: a pattern by the share of its instances that
+are trusted, an instance by the patterns that it stands in. Candidates in patterns of high confidence
+are added, so a trusted pattern proposes whatever identifier fills its slot.
+
+Candidates of a kind are e-mail addresses spelled out (``name (at) host dot org``), dotted numbers that
+aren't an address, digit groups that fail the card check and telephone numbers without a plus.
+
+Cases: null and empty texts have no spans. A candidate that overlaps a base span is no candidate; of
+several kinds for one, the kind of the pattern with the largest weight is taken, then the first kind.
 Repeated rows are repeated; the graph counts distinct instances, so that copies add no
-confidence. Texts are read whole; the graph holds only mentions and is joined, not collected.
+confidence. Texts are read whole in linear time; the graph holds only mentions and is joined, not collected.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,24 +28,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from massweave.llm.common import checked_join, documents, dropped, written
+from massweave.llm.common import checked_join, documents, dropped, in_slices, small, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match never begins inside a run of digits, so a run is tried once.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LOOSE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]+)+")),
-    ("ip", re.compile(r"(?<![\w.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![\w]|\.[0-9])")),
-    ("card", re.compile(r"(?<![\w.+-])[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}(?:[ .-]?[0-9]{1,3})?(?![\w]|[.-][0-9])")),
-    ("phone", re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\) ?)?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}(?![\w]|[.-][0-9])")),
+    re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]++)+"),
+    re.compile(r"(?<![\w.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![\w]|\.[0-9])"),
+    re.compile(r"(?<![\w.+-])[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}(?:[ .-]?[0-9]{1,3})?(?![\w]|[.-][0-9])"),
+    re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\) ?)?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}(?![\w]|[.-][0-9])"),
 )
+#: A filler of no kind: a word of these characters with so many digits, or with an @, and not longer than an identifier.
+FILLER = re.compile(r"(?<![^\s\"'(<\[=:])[A-Za-z0-9+][A-Za-z0-9@._%+/-]*+(?=[\s\"')>\],;:!?#&*$%]|$)")
+FILLER_DIGITS, FILLER_CHARS, ANY = 5, 64, -1
+IN_FILLER, SPACE = re.compile(r"[0-9@]"), re.compile(r"\s|$")
 CONTEXT = re.compile(r"[^\s]+")
-#: A pattern is trusted from this share of trusted instances on, with so many distinct seeds.
-TRUST, SEEDS, ROUNDS = 0.8, 3, 3
+#: A pattern is trusted from this share of trusted instances on, with so many distinct seeds; rounds end when none changes.
+TRUST, SEEDS, MAX_ROUNDS = 0.8, 3, 50
 CONTEXT_CHARS = 80
 
 
@@ -86,21 +94,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates outside the base spans and each other, earlier kinds first."""
-    taken = sorted((s, e) for _, s, e in base)
+    """Candidates outside the base spans and each other, earlier kinds first, those of no kind (``ANY``) last."""
+    if not DIGIT.search(text) and "@" not in text and not any(x in text for x in (" at ", "at)", "at]", "at}")):
+        return []
     out = []
-    digits = DIGIT.search(text) is not None
-    for k, (_, pattern) in enumerate(LOOSE):
-        if k and not digits or not k and " at " not in text and "at)" not in text and "at]" not in text and "at}" not in text:
-            continue
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if all(e <= a or s >= b for a, b in taken):
-                n = len(DIGIT.findall(m[0]))
-                if k == 3 and not 7 <= n <= 15:
-                    continue
-                out.append((k, s, e))
-                taken.append((s, e))
+    # Spans taken, as disjoint ranges in order.
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def candidates(k: int) -> Iterator[tuple[int, int]]:
+        if k == ANY:
+            end = 0
+            while one := IN_FILLER.search(text, end):
+                start = one.start()
+                while start > end and not text[start - 1].isspace():
+                    start -= 1
+                end = SPACE.search(text, one.end()).start()
+                for m in FILLER.finditer(text, start, end):
+                    if len(m[0]) <= FILLER_CHARS and ("@" in m[0] or len(DIGIT.findall(m[0])) >= FILLER_DIGITS):
+                        yield m.span()
+        else:
+            for m in LOOSE[k].finditer(text):
+                if k != 3 or 7 <= len(DIGIT.findall(m[0])) <= 15:
+                    yield m.span()
+
+    for k in (*range(len(KINDS)), ANY):
+        found = []
+        for s, e in candidates(k):
+            at = bisect_left(starts, e)  # the ranges before it begin before the end
+            if not at or ends[at - 1] <= s:
+                found.append((s, e))
+        out += [(k, s, e) for s, e in found]
+        if found:
+            both = sorted([*zip(starts, ends), *found])
+            starts, ends = [s for s, _ in both], [e for _, e in both]
     return out
 
 
@@ -146,34 +179,55 @@ def mentions(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(base, pa.string()), pa.array(found, fields)], names=["row", "doc_id", "th", "base", "mentions"])
             row += n
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, SCHEMA)
+    return in_slices(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), run, SCHEMA)
 
 
-def trusted_patterns(edges: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """kind, pattern of the patterns of high confidence. ``edges``: distinct kind, pattern, instance, seed."""
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    good = None
-    for _ in range(rounds):
-        good = scored.groupBy("kind", "pattern").agg(
-            F.sum("score").alias("sure"), F.count("*").alias("all"), F.sum(F.col("seed").cast("int")).alias("seeds")
-        ).where((F.col("seeds") >= seeds) & (F.col("sure") >= trust * F.col("all"))).select("kind", "pattern", (F.col("sure") / (F.col("all") + 1)).alias("weight"))
-        # An instance outside the seeds is as sure as its patterns together: 1 - prod(1 - weight).
-        sure = edges.where(~F.col("seed")).join(good, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("weight"))))).alias("found"))
-        scored = edges.join(sure, ["kind", "instance"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
-    return good.select("kind", "pattern")
-
+def trusted_patterns(edges: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """kind, pattern, weight of the patterns of high confidence, written. ``edges``: distinct kind, pattern, instance, seed.
 
-def extract(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    An instance of no kind counts in the patterns of every kind. Scores only grow from round to round, as
+    do the trusted patterns, so the rounds end.
+    """
+    names = edges.where("seed").select("kind", "pattern").distinct()
+    # Patterns without a seed can't be trusted and needn't be followed.
+    here = edges.where(F.col("kind") != ANY).join(names, ["kind", "pattern"], "left_semi")
+    free = edges.where(F.col("kind") == ANY).drop("kind").join(names, "pattern").select("kind", "pattern", "instance", "seed")
+    graph = written(here.union(free).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
+    per = graph.groupBy("kind", "pattern").agg(F.count("*").alias("all"), F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= seeds)
+    per = written(per, "pattern-counts")
+    good, n = None, 0
+    for _ in range(rounds):
+        if good is None:
+            sums = per.withColumn("sure", F.col("seeds").cast("double"))
+        else:
+            # An instance outside the seeds is as sure as its patterns together: 1 - prod(1 - weight).
+            sure = graph.where(~F.col("seed")).join(good, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("weight"))))).alias("found"))
+            more = graph.where(~F.col("seed")).join(sure, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.sum("found").alias("found"))
+            sums = per.join(more, ["kind", "pattern"], "left").withColumn("sure", F.col("seeds") + F.coalesce("found", F.lit(0.0)))
+        now = written(sums.where(F.col("sure") >= trust * F.col("all")).select("kind", "pattern", (F.col("sure") / (F.col("all") + 1)).alias("weight")), "patterns")
+        if good is not None:
+            dropped(good)
+        good, before, n = now, n, now.count()
+        if n == before:
+            break
+    dropped(graph, per)
+    return good
+
+
+def extract(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """The written mentions of every document, and (row, kind, start, end) of the spans that patterns add."""
     found = written(mentions(docs), "mentions")
     each = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*").withColumn("pattern", F.explode("patterns"))
     edges = written(each.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-edges")
-    good = written(trusted_patterns(edges, trust, seeds, rounds), "patterns")
+    good = trusted_patterns(edges, trust, seeds, rounds)
     dropped(edges)
-    return found, checked_join(each.where(~F.col("seed")), good, ["kind", "pattern"]).select("row", "kind", "start", "end").distinct()
+    named = good.select(F.col("kind").alias("by"), "pattern", "weight")
+    hits = checked_join(each.where(~F.col("seed")), named, "pattern").where((F.col("kind") == F.col("by")) | (F.col("kind") == ANY))
+    best = hits.groupBy("row", "start", "end").agg(F.max(F.struct("weight", (-F.col("by")).alias("by")))["by"].alias("by"))
+    return found, best.select("row", (-F.col("by")).alias("kind"), "start", "end")
 
 
-def find(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = MAX_ROUNDS) -> DataFrame:
     """row, doc_id, base (string), spans (array of kind number, start, end) of every document."""
     found, more = extract(docs, trust, seeds, rounds)
     added = more.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
@@ -190,8 +244,7 @@ def masked(docs: DataFrame) -> DataFrame:
     key, th, added = (max(docs.columns, key=len) + end for end in ("_id", "_th", "_spans"))
     spans = checked_join(more, found.select("row", "doc_id", "th"), "row").groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.collect_set(F.struct("kind", "start", "end")).alias(added))
     spans = written(spans, "added")
-    small = spans.limit(1_000_001).count() <= 1_000_000
-    joined = docs.join(F.broadcast(spans) if small else spans, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(th)), "left").select(*[docs[c] for c in docs.columns], added)
+    joined = docs.join(F.broadcast(spans) if small(spans) else spans, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(th)), "left").select(*[docs[c] for c in docs.columns], added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +259,7 @@ def masked(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], schema=pa.schema([batch.schema.field(n) for n in names]))
 
     # A null text has no n_chars, whatever the column said before.
-    return joined.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return in_slices(joined, run, StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 def digests(found: DataFrame) -> DataFrame:

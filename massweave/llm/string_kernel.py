@@ -6,7 +6,8 @@ the kernel to them, whitened by their own kernel (Nyström), is the input of one
 regression for each language against the rest. Scoring is two matrix products a batch.
 
 The fit uses a bounded sample of labelled rows (``PER_LANG`` a language, chosen by a hash
-of the text, so that copies of a text count once); every row is scored by its whole text.
+of the text, so that copies of a text count once), of which only the presence bits reach the driver; every
+row is scored by its whole text. The languages themselves are taken to be few: each has a regression.
 
 Cases: null texts and texts without a letter are ``und`` with score 0. With no labelled rows all
 others are ``und`` too. Equal best scores go to the first language in order. Repeated rows give
@@ -20,9 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import crc_mod, documents, filtered, map_rows
+from massweave.llm.common import checked_join, crc_mod, documents, filtered, map_rows, shared, written
 
-DIMS, ORDERS, LANDMARKS, PER_LANG, RIDGE, SHARPNESS = 8192, 4, 256, 500, 1e-2, 6.0
+DIMS, ORDERS, LANDMARKS, PER_LANG, RIDGE, SHARPNESS = 1 << 14, 4, 256, 500, 1e-2, 6.0
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -50,7 +51,7 @@ def presence(text: str | None) -> np.ndarray | None:
     gram = np.zeros(len(codes), np.uint64)
     for n in range(1, min(ORDERS, len(codes)) + 1):
         gram = gram[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
-        seen[((gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(51)] = True
+        seen[((gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - DIMS.bit_length() + 1)] = True
     return np.flatnonzero(seen)
 
 
@@ -61,9 +62,23 @@ def matrix(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed(text: str | None) -> bytes | None:
+    """The presence bits of a text."""
+    at = presence(text)
+    if at is None:
+        return None
+    bits = np.zeros(DIMS, bool)
+    bits[at] = True
+    return np.packbits(bits).tobytes()
+
+
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict | None:
-    """Landmarks and the regression's weights; texts come in a fixed order."""
-    rows = [(p, y) for p, y in ((presence(t), y) for t, y in zip(texts, langs)) if p is not None]
+    return fit_bits(list(map(packed, texts)), langs, landmarks, ridge)
+
+
+def fit_bits(bits: list[bytes | None], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict | None:
+    """Landmarks and the regression's weights from texts' bits, which come in a fixed order."""
+    rows = [(np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))), y) for b, y in zip(bits, langs) if b is not None]
     if not rows:
         return None
     names = sorted({y for _, y in rows})
@@ -87,8 +102,8 @@ def score(model: dict | None, texts: list[str | None]) -> tuple[list[str], list[
     sets = [presence(t) if model else None for t in texts]
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     at = [i for i, p in enumerate(sets) if p is not None]
-    for k in range(0, len(at), 256):
-        part = at[k : k + 256]
+    for k in range(0, len(at), 128):
+        part = at[k : k + 128]
         raw = (matrix([sets[i] for i in part]) @ model["marks"]) @ model["weights"] + model["bias"]
         e = np.exp(SHARPNESS * (raw - raw.max(1, keepdims=True)))
         best, prob = raw.argmax(1), e.max(1) / e.sum(1)
@@ -98,39 +113,38 @@ def score(model: dict | None, texts: list[str | None]) -> tuple[list[str], list[
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> pd.DataFrame:
-    """At most ``per_lang`` labelled training rows of each language, in an order of their texts' hashes."""
+    """lang, h (hash of the text), bits of at most ``per_lang`` labelled training texts of each language, in an order of their hashes."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not counts:
-        return pd.DataFrame({"lang": [], "text": []})
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.5 * per_lang / r["n"]))])
-    chosen = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).dropDuplicates(["h", "lang"])
-    got = pd.DataFrame(chosen.collect(), columns=["lang", "text", "h"])
-    got["o"] = got.h % (1 << 30)
+    # A little more than is needed passes by its hash; so much of a language as its distinct texts make 1.5 times the number.
+    rates = rows.select("lang", "h").distinct().groupBy("lang").agg((1.5 * per_lang * (1 << 30) / F.count("*")).alias("below"))
+    passing = checked_join(rows, written(rates, "rates"), "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("below")).select("lang", "text", "h")
+    made = map_rows(passing, lambda: lambda x: {"lang": x["lang"], "h": x["h"], "bits": list(map(packed, x["text"]))}, "lang string, h long, bits binary")
+    got = pd.DataFrame(made.dropDuplicates(["h", "lang"]).collect(), columns=["lang", "h", "bits"])
+    got["o"] = got.h.to_numpy(np.int64) % (1 << 30)
     return got.sort_values(["o", "h", "lang"], kind="stable").groupby("lang", sort=False).head(per_lang).reset_index(drop=True)
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred, score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = shared(docs.sparkSession, model)
 
     def task():
         def each(x: dict[str, list]) -> dict:
-            langs, scores = score(shared.value, x["text"])
+            langs, scores = score(own.value, x["text"])
             return {"doc_id": x["doc_id"], "lang_pred": langs, "score": scores}
 
         return each
 
-    return map_rows(docs.select("doc_id", "text"), task, "doc_id long, lang_pred string, score double")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), task, "doc_id long, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: dict | None, least: float) -> DataFrame:
     """The rows, with all their columns, whose language is told with a score of ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = shared(docs.sparkSession, model)
 
     def task():
         def each(batch) -> list[bool]:
-            langs, scores = score(shared.value, batch.column("text").to_pylist())
+            langs, scores = score(own.value, batch.column("text").to_pylist())
             return [k != "und" and s >= least for k, s in zip(langs, scores)]
 
         return each
@@ -140,7 +154,7 @@ def identified(docs: DataFrame, model: dict | None, least: float) -> DataFrame:
 
 def train(docs: DataFrame) -> dict | None:
     rows = sample(docs)
-    return fit(list(rows.text), list(rows.lang))
+    return fit_bits(list(rows.bits), list(rows.lang))
 
 
 def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ prefixes, the sets' smallest hashes; within the prefixes rare tokens come first,
 lists which every text has in common are searched last, and mostly not at all. What passes the
 size and position filters is searched exactly: against the members of a candidate component, a
 local index of whole sets answers T-occurrence queries with DivideSkip - short lists are merged on
-a heap with skips, long ones are probed by binary search.
+a heap with skips, long ones are probed by binary search (lists of one member alone are merged by counting).
 
 The search runs twice. First each list's texts against the list's most central text: similar ones are links,
 those of half the similarity loose links, which only gather texts that are searched together. Then texts
@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import WORD, checked_join, documents, dropped, written
+from massweave.llm.common import WORD, checked_join, documents, dropped, in_slices, written
 from massweave.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -43,8 +44,10 @@ SPARE = 10
 LOOSE_PERCENT = 50
 #: Texts of a group, and queries against it, that meet in one search, and their tokens, about.
 BLOCK, BLOCK_TOKENS = 1000, 300_000
-#: Rows of a task of the search, about.
-GROUP_ROWS = 1500
+#: Rows and tokens of a task of the search, about.
+TASK_ROWS, TASK_TOKENS = 1500, 1_500_000
+#: Parts that the rows of one group are dealt to where they meet a row of the group.
+SALT = 16
 WORDS = re.compile(WORD.encode())
 TASK_WORDS = 300_000
 
@@ -127,7 +130,7 @@ def sets(docs: DataFrame, percent: int, size: int) -> DataFrame:
             )
             row += n
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, kinds)
+    return in_slices(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), run, kinds)
 
 
 def ceil_share(n: Column, percent: int) -> Column:
@@ -184,6 +187,10 @@ def divide_skip(lists: list[list[int]], least: int, weight: float = 0.0085) -> I
     if len(lists) < least or least < 1:
         return
     longest = len(lists[-1])
+    if longest == 1:
+        # Nothing to skip to in lists of one number: merging them is counting.
+        yield from ((x, n) for x, n in Counter(x[0] for x in lists).items() if n >= least)
+        return
     n_long = min(least - 1, int(least / (weight * np.log2(longest + 1) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
     need = least - n_long
@@ -221,13 +228,8 @@ def divide_skip(lists: list[list[int]], least: int, weight: float = 0.0085) -> I
 def search_block(members: list[tuple[int, int, np.ndarray]], queries: list[tuple[int, int, np.ndarray]], percent: int, loose: int = LOOSE_PERCENT) -> list[tuple[int, int, bool]]:
     """(query, member, similar): links that join components (sides: number, component, tokens). Against one member, loose links too."""
     out = []
-    if len(members) == 1:
-        (y, _, b), = members
-        for x, _, a in queries:
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            if shared >= overlap(len(a), len(b), loose):
-                out.append((x, y, shared >= overlap(len(a), len(b), percent)))
-        return out
+    single = len(members) == 1
+    least_percent = loose if single else percent
     up: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -243,7 +245,7 @@ def search_block(members: list[tuple[int, int, np.ndarray]], queries: list[tuple
     sizes = [len(b) for _, _, b in members]
     for x, c, a in queries:
         n = len(a)
-        low, high = bisect_left(sizes, at_least(n, percent)), bisect_left(sizes, n * 100 // percent + 1)
+        low, high = bisect_left(sizes, at_least(n, least_percent)), bisect_left(sizes, n * 100 // least_percent + 1)
         if low == high:
             continue
         lists = []
@@ -253,8 +255,10 @@ def search_block(members: list[tuple[int, int, np.ndarray]], queries: list[tuple
                 if low or high < len(sizes):
                     own = own[bisect_left(own, low) : bisect_left(own, high)]
                 lists.append(own)
-        for k, count in divide_skip(lists, overlap(n, sizes[low], percent)):
-            if count >= overlap(n, sizes[k], percent) and (one := top(c)) != (other := top(members[k][1])):
+        for k, count in divide_skip(lists, overlap(n, sizes[low], least_percent)):
+            if single:
+                out.append((x, members[k][0], count >= overlap(n, sizes[k], percent)))
+            elif count >= overlap(n, sizes[k], percent) and (one := top(c)) != (other := top(members[k][1])):
                 up[max(one, other)] = min(one, other)
                 out.append((x, members[k][0], True))
     return out
@@ -305,7 +309,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["h1", "h2", "tokens"])
 
     texts = checked_join(docs.select("text", F.xxhash64("text").alias("th")), needed.select("th").distinct(), "th", "left_semi")
-    found = texts.mapInArrow(run, "h1 long, h2 long, tokens array<long>")
+    found = in_slices(texts, run, "h1 long, h2 long, tokens array<long>")
     return checked_join(found, needed.select("cid", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["cid"]).select("cid", "tokens")
 
 
@@ -313,17 +317,21 @@ def search(queries: DataFrame, placed: DataFrame, tokens: DataFrame, percent: in
     """(u, v, similar): links of the queries (x, c, g) to members of group g. placed: cid, c, g; tokens: cid, n, tokens."""
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
-        own = rows.join(tokens.select("cid", "n"), "cid").groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("mass"))
-        return own.select("g", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("mass") / BLOCK_TOKENS)).alias(name))
+        own = rows.join(tokens.select("cid", "n"), "cid").groupBy("g").agg(F.count("*").alias(f"{name}_rows"), F.sum("n").alias(f"{name}_mass"))
+        return own.withColumn(name, F.greatest(F.ceil(F.col(f"{name}_rows") / BLOCK), F.ceil(F.col(f"{name}_mass") / BLOCK_TOKENS)))
 
     asking = queries.withColumnRenamed("x", "cid")
-    plan = blocks(asking, "qb").join(blocks(placed, "mb"), "g")
-    rows = queries.count()
-    groups = max(8, -(-2 * rows // GROUP_ROWS))
+    plan = written(blocks(asking, "qb").join(blocks(placed, "mb"), "g"), "plan")
+    meet = lambda kind: F.sum(F.col(f"qb_{kind}") * F.col("mb") + F.col(f"mb_{kind}") * F.col("qb"))
+    rows, mass = plan.agg(meet("rows"), meet("mass")).first()
+    groups = max(8, -(-(rows or 0) // TASK_ROWS), -(-(mass or 0) // TASK_TOKENS))
     # Blocks of members meet blocks of queries: each row goes to as many tasks as the other side has blocks.
+    # A group's one row of the plan is there in SALT copies, so that a large group's rows don't meet it in one task.
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    m = placed.join(plan, "g").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("mb"))).withColumn("q", every("qb")).select("g", "b", "q", "cid", "c", F.lit(False).alias("asks"))
-    q = asking.join(plan, "g").withColumn("q", F.pmod(F.xxhash64("cid"), F.col("qb"))).withColumn("b", every("mb")).select("g", "b", "q", "cid", "c", F.lit(True).alias("asks"))
+    copies = plan.select("g", "qb", "mb", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    dealt = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT)).cast("int")).join(copies, ["g", "salt"])
+    m = dealt(placed).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("mb"))).withColumn("q", every("qb")).select("g", "b", "q", "cid", "c", F.lit(False).alias("asks"))
+    q = dealt(asking).withColumn("q", F.pmod(F.xxhash64("cid"), F.col("qb"))).withColumn("b", every("mb")).select("g", "b", "q", "cid", "c", F.lit(True).alias("asks"))
     both = m.union(q).join(tokens.select("cid", "tokens"), "cid").withColumn("task", F.pmod(F.xxhash64("g", "b", "q"), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

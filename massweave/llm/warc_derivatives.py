@@ -1,37 +1,49 @@
-"""Operator 5: WARC derivatives of captured pages.
-
-Each page is an archived response. From it two records are derived: a metadata record
-(application/warc-fields) and a conversion record (text/plain, all visible text). Both name the
-response in WARC-Refers-To and carry its URI, date and header fields on; digests are those of
-the new blocks, with the response's payload digest beside them. Identifiers are name-based
-(URI and payload digest), so a rerun after a lost executor makes the same records.
-
-Cases: null html is an empty payload, a null url the empty URI. Equal pages give equal
-identifiers, repeated rows are repeated. Records are made row by row: memory is that of a batch.
+"""Operator 5: WARC derivatives of archived responses.
+
+From each response record two records are derived: a metadata record (application/warc-fields) and a
+conversion record (text/plain, all visible text). Both name the response in WARC-Refers-To and carry
+its URI and date on. The metadata keep the response's status and all its HTTP headers in their order, as
+they were, with the payload's digest; digests are those of the new blocks, with the payload's beside
+them. Identifiers are name-based (the response's identifier), so a rerun after a lost executor makes the
+same records. ``derivatives`` takes any table of WARC records; a table of pages is made one first, by ``responses``.
+
+Headers in other encodings than UTF-8 are read as Latin-1; names without a value, folded lines and
+missing digests are accepted; chunked and compressed payloads are opened for the text; its encoding is
+the header's, the page's own or UTF-8.
+
+Cases: null html is an empty payload, a null url the empty URI. Records that are no response or
+resource, or no records at all, have no derivatives. Pages of one id and equal content have equal identifiers,
+repeated rows are repeated. Records are made row by row: memory is that of a slice.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
+import re
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from massweave.llm.common import map_rows, table
 from massweave.llm.html_density import visible_text
 
+#: The pages table has neither capture dates nor headers: its responses get these.
 DATE = "1970-01-01T00:00:00Z"
-SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "https://iipc.github.io/warc-specifications/")
 STATUS = ("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8")
+SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "https://iipc.github.io/warc-specifications/")
+CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(kind: str, uri: str, payload_digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {uri} {payload_digest}')}>"
+def record_id(kind: str, *of: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, ' '.join(map(str, (kind, *of))))}>"
 
 
 def record(kind: str, uri: str, identifier: str, content_type: str, block: bytes, extra: tuple[tuple[str, str], ...] = (), date: str = DATE) -> bytes:
@@ -45,69 +57,144 @@ def one_line(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
+def decoded(data: bytes) -> str:
+    try:
+        return data.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def headers(data: bytes) -> tuple[str, list[tuple[str, str]]]:
+    """The first line and the (name, value) fields of a header block, in order; folded lines are one."""
+    lines = decoded(data).replace("\r\n", "\n").split("\n")
+    fields: list[tuple[str, str]] = []
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1] = (fields[-1][0], f"{fields[-1][1]} {line.strip()}".strip())
+        elif line.strip():
+            name, _, value = line.partition(":")
+            fields.append((name.strip(), value.strip()))
+    return lines[0].strip(), fields
+
+
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The records of a WARC file's bytes: header fields and block."""
     out, at = [], 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
-        if not lines[0].startswith("WARC/"):
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0 or data[at : at + 5] != b"WARC/":
             raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        fields = dict(headers(data[at:end])[1])
         n = int(fields["Content-Length"])
         out.append((fields, data[end + 4 : end + 4 + n]))
         at = end + 4 + n + 4
     return out
 
 
-def response(url: str | None, html: str | None, date: str = DATE) -> bytes:
+def response(url: str | None, html: str | None, key: object = "", date: str = DATE) -> bytes:
     """The response record of a page."""
     uri, payload = one_line(url), (html or "").encode("utf-8", "surrogatepass")
     block = ("\r\n".join((*STATUS, f"Content-Length: {len(payload)}")) + "\r\n\r\n").encode() + payload
     own = digest(payload)
-    return record("response", uri, record_id("response", uri, own), "application/http; msgtype=response", block, (("WARC-Payload-Digest", own),), date)
+    return record("response", uri, record_id("response", key, uri, own), "application/http; msgtype=response", block, (("WARC-Payload-Digest", own),), date)
+
+
+def opened(payload: bytes, fields: dict[str, str]) -> bytes:
+    """The payload without its transfer and content codings; what can't be opened stays as it is."""
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        out, at = [], 0
+        while (end := payload.find(b"\r\n", at)) >= 0:
+            try:
+                n = int(payload[at:end].split(b";")[0], 16)
+            except ValueError:
+                break
+            if not n:
+                payload = b"".join(out)
+                break
+            out.append(payload[end + 2 : end + 2 + n])
+            at = end + 2 + n + 2
+    for coding in reversed(fields.get("content-encoding", "").lower().replace(" ", "").split(",")):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            for bits in (47, -15):
+                try:
+                    payload = zlib.decompress(payload, bits)
+                    break
+                except zlib.error:
+                    continue
+    return payload
+
+
+def page_text(payload: bytes, content_type: str) -> str:
+    """The payload's characters, by the charset of the header, of the page's head, UTF-8 or Latin-1."""
+    for found in (CHARSET.search(content_type.encode()), CHARSET.search(payload[:2048])):
+        if found:
+            try:
+                return payload.decode(codecs.lookup(found[1].decode()).name)
+            except (LookupError, UnicodeDecodeError):
+                continue
+    return decoded(payload)
 
 
 def derive(source: bytes) -> list[tuple[str, bytes]]:
-    """(kind, record) of the metadata and conversion records of a response record."""
-    (fields, block), = parse(source)
-    head, _, payload = block.partition(b"\r\n\r\n")
-    uri, refers, own = fields["WARC-Target-URI"], fields["WARC-Record-ID"], fields["WARC-Payload-Digest"]
-    html = payload.decode("utf-8", "surrogatepass")
-    text = visible_text(html).encode("utf-8", "surrogatepass")
-    headers = head.decode().split("\r\n")
-    facts = [("sourceStatus", headers[0]), *((f"sourceHeader-{h.split(': ', 1)[0]}", h.split(": ", 1)[1]) for h in headers[1:]), ("sourceDigest", own), ("sourceLength", str(len(payload))), ("conversionDigest", digest(text)), ("conversionLength", str(len(text)))]
-    about = "".join(f"{k}: {v}\r\n" for k, v in facts).encode()
-    extra = (("WARC-Refers-To", refers), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", fields["WARC-Date"]), ("WARC-Source-Payload-Digest", own))
-    conversion = record_id("conversion", uri, own)
+    """(kind, record) of the metadata and conversion records of a response or resource record; of others nothing."""
+    try:
+        (fields, block), *_ = parse(source)
+    except (ValueError, KeyError):
+        return []
+    kind = fields.get("WARC-Type", "").lower()
+    if kind not in ("response", "resource"):
+        return []
+    uri, date = fields.get("WARC-Target-URI", "").strip("<>"), fields.get("WARC-Date", DATE)
+    refers = fields.get("WARC-Record-ID") or record_id("source", digest(source))
+    status, own, payload = "", [], block
+    if kind == "response" and block.startswith(b"HTTP/"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        status, own = headers(head)
+    elif "Content-Type" in fields:
+        own = [("Content-Type", fields["Content-Type"])]
+    first = {k.lower(): v for k, v in reversed(own)}
+    paid = fields.get("WARC-Payload-Digest") or digest(payload)
+    page = page_text(opened(payload, first), first.get("content-type", ""))
+    is_text = first.get("content-type", "").lower().startswith("text/plain")
+    text = (page if is_text else visible_text(page)).encode("utf-8", "surrogatepass")
+    facts = [("sourceStatus", status), *((f"sourceHeader-{k}", v) for k, v in own), ("sourceDigest", paid), ("sourceLength", str(len(payload))), ("conversionDigest", digest(text)), ("conversionLength", str(len(text)))]
+    about = "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8", "surrogatepass")
+    extra = (("WARC-Refers-To", refers), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", paid))
+    conversion = record_id("conversion", refers)
     return [
-        ("metadata", record("metadata", uri, record_id("metadata", uri, own), "application/warc-fields", about, (*extra, ("WARC-Concurrent-To", conversion)), fields["WARC-Date"])),
-        ("conversion", record("conversion", uri, conversion, "text/plain; charset=utf-8", text, extra, fields["WARC-Date"])),
+        ("metadata", record("metadata", uri, record_id("metadata", refers), "application/warc-fields", about, (*extra, ("WARC-Concurrent-To", conversion)), date)),
+        ("conversion", record("conversion", uri, conversion, "text/plain; charset=utf-8", text, extra, date)),
     ]
 
 
 SCHEMA = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, block_digest string, source_digest string, content_length long, record binary"
 
 
-def derivatives(pages: DataFrame) -> DataFrame:
-    """Two rows a page: the record's header fields and its bytes."""
+def responses(pages: DataFrame) -> DataFrame:
+    """page_id, record: the response record of every page."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return map_rows(rows, lambda: lambda x: {"page_id": x["page_id"], "record": [response(u, h, "" if k is None else k) for k, u, h in zip(x["page_id"], x["url"], x["html"])]}, "page_id long, record binary")
+
+
+def derivatives(records: DataFrame) -> DataFrame:
+    """Two rows a response, of records (page_id, record) or pages: the derived record's header fields and its bytes."""
+    if "record" not in records.columns:
+        records = responses(records)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def task():
         def each(x: dict[str, list]) -> dict:
             rows = []
-            for page_id, url, html in zip(x["page_id"], x["url"], x["html"]):
-                for kind, data in derive(response(url, html)):
+            for page_id, source in zip(x["page_id"], x["record"]):
+                for kind, data in derive(source or b""):
                     (f, _), = parse(data)
                     rows.append((page_id, kind, f["WARC-Record-ID"], f["WARC-Refers-To"], f["WARC-Target-URI"], f["WARC-Block-Digest"], f["WARC-Source-Payload-Digest"], int(f["Content-Length"]), data))
             return dict(zip(names, zip(*rows) if rows else [()] * len(names)))
 
         return each
 
-    return map_rows(pages.select("page_id", "url", "html"), task, SCHEMA)
+    return map_rows(records.select("page_id", "record"), task, SCHEMA)
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return derivatives(table(spark, sf_dir, "pages")).select(*[x.split()[0] for x in SCHEMA.split(", ")[:-1]], F.sha2("record", 256).alias("record_sha256"))
