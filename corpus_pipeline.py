@@ -1,50 +1,5 @@
-"""A corpus pipeline: toxic documents go, then those of no told language, then near duplicates; personal
-data is masked; what is left is packed into sequences.
+"""The corpus pipeline: its stages, its run and its SQL (none). They are defined with the operators they call."""
 
-Each stage takes all rows that the one before kept and returns rows of the columns of documents; the last
-returns the pieces of the packing. Empty tables give empty results; texts of null or no letters go with
-the language stage.
-"""
+from massweave.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from massweave.llm import best_fit_packing, kneser_ney, pii_bootstrap, string_kernel, t_occurrence
-from massweave.llm.common import documents, table, written
-
-#: Scores from which a document is toxic, and up to which its language isn't told.
-TOXIC, LEAST_LANGUAGE_SCORE = 0.5, 0.3
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
-    return kneser_ney.harmless(docs, kneser_ney.train(docs, labels), TOXIC)
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return string_kernel.identified(docs, string_kernel.train(docs), LEAST_LANGUAGE_SCORE)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return t_occurrence.representatives(docs)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii_bootstrap.masked(docs)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing.pack(docs)
-
-
-STAGES = [("toxicity", toxicity), ("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packing)]
-#: SQL can't express the trained stages; tests compare the pipeline with plain versions of its stages.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
