@@ -3,8 +3,9 @@
 Two character models of words, one of toxic and one of ordinary training documents. Their highest
 order is counted by class; all lower orders are continuation counts (distinct left neighbours) that
 both share, so that an expression rare in either class falls back to the same distribution. Counts
-cover every labelled row that isn't held out. They are made and smoothed in Spark, keyed by the exact
-symbols: the model has a row for each distinct n-gram and context and grows with the corpus.
+cover every labelled row that isn't held out. They are made in Spark, keyed by the exact
+symbols: the model has a row for each distinct n-gram and context and grows with the corpus. Up to ``TASK_GRAMS``
+n-grams are smoothed in one task, more by joins, with the same formulas.
 
 For scoring it reduces to the logarithm of toxic over ordinary probability of each n-gram that was
 seen, and of each context for all that wasn't seen after it (there the shared part cancels). Up to
@@ -43,8 +44,8 @@ MASK = (1 << BITS) - 1
 DISCOUNT = 0.75
 #: The shared distribution's weight in every context: those seen less than a few times lean on it.
 PRIOR = 2.0
-#: A model of more rows (of 12 bytes) isn't broadcast but joined.
-MODEL_ROWS = 8_000_000
+#: A model of more rows (of 12 bytes) isn't broadcast but joined; of more n-grams it isn't smoothed in one task but by joins.
+MODEL_ROWS, TASK_GRAMS = 8_000_000, 2_000_000
 CURVE_ROWS = 20_000
 #: Part of a class's distinct texts that the curve is fitted on, and the texts below which they are counted off one by one.
 CURVE_PART, FEW = 5, 1000
@@ -170,10 +171,58 @@ def shared_probability(top: DataFrame) -> DataFrame:
     return p
 
 
-def ratios(counts: DataFrame) -> DataFrame:
+def numbered(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the distinct n-grams, and the number of each row's."""
+    _, first, number = np.unique(key(hi, lo), return_index=True, return_inverse=True)
+    return first, number
+
+
+def shortened(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams without their last symbol."""
+    return hi >> BITS, lo >> BITS | (hi & MASK) << 2 * BITS
+
+
+def smoothed(hi: np.ndarray, lo: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """kind, hi, lo, ratio as ``ratios`` has them, of all n-grams at once."""
+    levels, h, lw = [], hi, lo
+    for order in range(ORDER - 1, 0, -1):
+        h, lw = (h & ((1 << BITS * (order - 3)) - 1), lw) if order > 3 else (np.zeros_like(h), lw & ((1 << BITS * order) - 1))
+        first, number = numbered(h, lw)
+        h, lw = h[first], lw[first]
+        levels.append((h, lw, np.bincount(number), number))
+    p = above = None
+    for h, lw, s, number in reversed(levels):
+        _, around = numbered(*shortened(h, lw))
+        d, e = np.bincount(around, weights=s)[around], np.bincount(around)[around]
+        p = np.maximum(s - DISCOUNT, 0) / d + DISCOUNT * e / d * (1 / (e + 1) if above is None else p[above])
+        above = number
+    chi, clo = shortened(hi, lo)
+    first, around = numbered(chi, clo)
+    c = [np.bincount(around, weights=n) for n in (n0, n1)]
+    share = [np.minimum(DISCOUNT * np.bincount(around, weights=n > 0), k) + PRIOR for n, k in zip((n0, n1), c)]
+    chance = [(np.maximum(n - DISCOUNT, 0) + w[around] * p[above]) / (k[around] + PRIOR) for n, w, k in zip((n0, n1), share, c)]
+    unseen = share[1] / (c[1] + PRIOR) / (share[0] / (c[0] + PRIOR))
+    kind = np.repeat(np.array([0, 1], np.int32), (len(hi), len(first)))
+    return kind, np.append(hi, chi[first]), np.append(lo, clo[first]), np.log(np.append(chance[1] / chance[0], unseen)).astype(np.float32)
+
+
+def smoothed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``smoothed`` over the rows (hi, lo, n0, n1) of one task."""
+    every = pa.Table.from_batches(batches, pa.schema([(n, pa.int64()) for n in ("hi", "lo", "n0", "n1")]))
+    if every.num_rows:
+        got = smoothed(*(every.column(n).to_numpy() for n in ("hi", "lo", "n0", "n1")))
+        for at in range(0, len(got[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in got], names=["kind", "hi", "lo", "ratio"])
+
+
+def ratios(counts: DataFrame, in_task: int = TASK_GRAMS) -> DataFrame:
     """kind, hi, lo, ratio: log of toxic over ordinary probability of n-grams seen (kind 0), and of others by context (kind 1)."""
     per = [F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0)).alias(f"n{label}") for label in (0, 1)]
     top = written(counts.groupBy("hi", "lo").agg(*per), "top")
+    if top.count() <= in_task:
+        out = written(in_slices(top.coalesce(1), smoothed_rows, "kind int, hi long, lo long, ratio float"), "ratios")
+        dropped(top)
+        return out
     own = top.select("*", *context())
     around = written(own.groupBy("chi", "clo").agg(*[f(label) for label in (0, 1) for f in (lambda k: F.sum(f"n{k}").alias(f"c{k}"), lambda k: F.count(F.when(F.col(f"n{k}") > 0, 1)).alias(f"t{k}"))]), "contexts")
     share = lambda k: F.least(DISCOUNT * F.col(f"t{k}"), F.col(f"c{k}")) + PRIOR
@@ -201,8 +250,8 @@ def log_ratio(model: tuple[Ratios, Ratios], words: list[str]) -> tuple[np.ndarra
     hi, lo, word = grams(*symbols(words))
     value, there = model[0].find(key(hi, lo))
     rest = np.flatnonzero(~there)
-    value, around = value.astype(np.float64), (hi[rest] >> BITS, lo[rest] >> BITS | (hi[rest] & MASK) << 2 * BITS)
-    other, known = model[1].find(key(*around))
+    value = value.astype(np.float64)
+    other, known = model[1].find(key(*shortened(hi[rest], lo[rest])))
     value[rest] = other * known
     n = len(words)
     return np.bincount(word, weights=value, minlength=n)[:n], np.bincount(word, minlength=n)[:n]
@@ -316,7 +365,7 @@ def text_hash() -> Column:
     return F.xxhash64("text")
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_in_memory: int = MODEL_ROWS) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, rows_in_memory: int = MODEL_ROWS, in_task: int = TASK_GRAMS) -> dict | None:
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     rows = checked_join(docs.select("doc_id", "text"), own, "doc_id").select("text", "label", text_hash().alias("th")).withColumn("u", F.pmod("th", F.lit(1 << 30)))
     texts = written(rows.select("label", "u").distinct(), "texts")
@@ -330,7 +379,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_in_memory: int = MODEL_ROWS)
     part = written(count_grams(rows.where(~held | only)), "grams")
     counts = written(part.union(count_grams(rows.where(held & ~only))).groupBy("label", "hi", "lo").agg(F.sum("n").alias("n")), "grams")
     fold = rows.where(held).dropDuplicates(["label", "u"]).select("th", "text", "label")
-    found = ratios(part)
+    found = ratios(part, in_task)
     lookups = held_in_memory(found, rows_in_memory)
     rated = evidence(fold, found, lookups).dropDuplicates(["th"]).join(fold.select("th", "label"), "th")
     got = rated.select("label", "x", "th").orderBy("label", "th").toArrow()
@@ -339,7 +388,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_in_memory: int = MODEL_ROWS)
     weights, bias = curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES), y.astype(np.float64), each[y])
     if lookups is not None:
         lookups.unpersist()
-    found = ratios(counts)
+    found = ratios(counts, in_task)
     dropped(part, counts)
     return {"found": found, "lookups": held_in_memory(found, rows_in_memory), "weights": weights, "bias": bias}
 

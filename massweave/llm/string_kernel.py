@@ -82,13 +82,13 @@ def fit_bits(bits: list[bytes | None], langs: list[str], landmarks: int = LANDMA
     if not rows:
         return None
     names = sorted({y for _, y in rows})
-    x, y = matrix([p for p, _ in rows]), np.array([names.index(y) for _, y in rows])
+    y = np.array([names.index(y) for _, y in rows])
     turn = np.concatenate([np.flatnonzero(y == k)[: -(-landmarks // len(names))] for k in range(len(names))])
-    marks = x[turn]
+    marks = matrix([rows[i][0] for i in turn])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-4 * values[-1]
     white = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ marks.T).astype(np.float64) @ white
+    phi = np.vstack([(matrix([p for p, _ in rows[k : k + 128]]) @ marks.T).astype(np.float64) for k in range(0, len(rows), 128)]) @ white
     phi1 = np.hstack([phi, np.ones((len(phi), 1))])
     share = np.bincount(y) / len(y)
     weight = 1 / (len(names) * share[y])
