@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import checked_join, crc_mod, documents, filtered, map_rows, shared, written
+from massweave.llm.common import checked_join, crc_mod, documents, filtered, map_rows, shared, tidied, written
 
 DIMS, ORDERS, LANDMARKS, PER_LANG, RIDGE, SHARPNESS = 1 << 14, 4, 256, 500, 1e-2, 6.0
 FOLDS, HELD_OUT = 4, 2
@@ -95,16 +95,29 @@ def fit_bits(bits: list[bytes | None], langs: list[str], landmarks: int = LANDMA
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, 0.0)
     left = (phi1 * weight[:, None]).T @ phi1 + ridge * len(y) / 100 * np.eye(phi1.shape[1])
     beta = np.linalg.solve(left, (phi1 * weight[:, None]).T @ target)
-    return {"names": names, "marks": np.ascontiguousarray(marks.T), "weights": (white @ beta[:-1]).astype(np.float32), "bias": beta[-1].astype(np.float32)}
+    return {"names": names, "marks": np.packbits(marks > 0, axis=1), "weights": (white @ beta[:-1]).astype(np.float32), "bias": beta[-1].astype(np.float32)}
+
+
+def landmarks_of(model: dict) -> np.ndarray:
+    """The landmarks as columns; a model travels with their bits and a process unpacks them once."""
+    if id(model) not in UNPACKED:
+        UNPACKED.clear()
+        UNPACKED[id(model)] = (model, np.ascontiguousarray(matrix([np.flatnonzero(np.unpackbits(b)) for b in model["marks"]]).T))
+    return UNPACKED[id(model)][1]
+
+
+#: The model last used in this process, and its landmarks.
+UNPACKED: dict[int, tuple[dict, np.ndarray]] = {}
 
 
 def score(model: dict | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     sets = [presence(t) if model else None for t in texts]
+    marks = landmarks_of(model) if model else None
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     at = [i for i, p in enumerate(sets) if p is not None]
     for k in range(0, len(at), 128):
         part = at[k : k + 128]
-        raw = (matrix([sets[i] for i in part]) @ model["marks"]) @ model["weights"] + model["bias"]
+        raw = (matrix([sets[i] for i in part]) @ marks) @ model["weights"] + model["bias"]
         e = np.exp(SHARPNESS * (raw - raw.max(1, keepdims=True)))
         best, prob = raw.argmax(1), e.max(1) / e.sum(1)
         for i, b, p in zip(part, best, prob):
@@ -154,7 +167,9 @@ def identified(docs: DataFrame, model: dict | None, least: float) -> DataFrame:
 
 def train(docs: DataFrame) -> dict | None:
     rows = sample(docs)
-    return fit_bits(list(rows.bits), list(rows.lang))
+    model = fit_bits(list(rows.bits), list(rows.lang))
+    tidied(docs.sparkSession)
+    return model
 
 
 def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
