@@ -95,15 +95,17 @@ def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
             yield at, end, None, False, ""
         elif m := NAME.match(page, at + 1):
             close, tag = page[at + 1] == "/", m[1].lower()
-            rest = REST.match(page, m.end())
-            end = rest.end() if rest else page.find(">", m.end()) + 1
+            end = page.find(">", m.end()) + 1
             attributes = page[m.end() : end - 1]
-            if tag in RAW and not close and not attributes.rstrip().endswith("/"):
+            if ('"' in attributes or "'" in attributes) and (rest := REST.match(page, m.end())):
+                end = rest.end()
+                attributes = page[m.end() : end - 1]
+            if tag not in RAW:
+                yield at, end, tag, close, attributes
+            elif not close and not attributes.rstrip().endswith("/"):
                 done = RAW[tag].search(page, end)
                 end = done.end() if done else len(page)
                 yield at, end, None, False, ""
-            elif tag not in RAW:
-                yield at, end, tag, close, attributes
             else:
                 yield at, end, None, False, ""
         else:
@@ -160,7 +162,7 @@ def parse(page: str) -> Node:
                 up = up.up
             if up.tag in LIST_SCOPE[tag]:
                 at = up_to(up.up)
-        if attributes.rstrip().endswith("/") and tag not in BLOCK and tag != "a":
+        if attributes and attributes.rstrip().endswith("/") and tag not in BLOCK and tag != "a":
             continue
         child = Node(tag, at, noisy(tag, attributes, opened["article"] > 0))
         at.kids.append(child)

@@ -5,7 +5,7 @@ conversion record (text/plain, all visible text). Both name the response in WARC
 its URI and date on. The metadata keep the response's status and all its HTTP headers in their order, as
 they were, with the payload's digest; digests are those of the new blocks, with the payload's beside
 them. Identifiers are name-based (the response's identifier), so a rerun after a lost executor makes the
-same records. ``derivatives`` takes any table of WARC records; a table of pages is made one first, by ``responses``.
+same records. ``derivatives`` takes any table of WARC records; pages become such records first, as by ``responses``.
 
 Headers in other encodings than UTF-8 are read as Latin-1; names without a value, folded lines and
 missing digests are accepted; chunked and compressed payloads are opened for the text; its encoding is
@@ -137,6 +137,11 @@ def page_text(payload: bytes, content_type: str) -> str:
 
 def derive(source: bytes) -> list[tuple[str, bytes]]:
     """(kind, record) of the metadata and conversion records of a response or resource record; of others nothing."""
+    return [(kind, record(kind, *parts)) for kind, *parts in derived(source)]
+
+
+def derived(source: bytes) -> list[tuple]:
+    """The arguments of ``record`` for the two records."""
     try:
         (fields, block), *_ = parse(source)
     except (ValueError, KeyError):
@@ -162,38 +167,43 @@ def derive(source: bytes) -> list[tuple[str, bytes]]:
     extra = (("WARC-Refers-To", refers), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", paid))
     conversion = record_id("conversion", refers)
     return [
-        ("metadata", record("metadata", uri, record_id("metadata", refers), "application/warc-fields", about, (*extra, ("WARC-Concurrent-To", conversion)), date)),
-        ("conversion", record("conversion", uri, conversion, "text/plain; charset=utf-8", text, extra, date)),
+        ("metadata", uri, record_id("metadata", refers), "application/warc-fields", about, (*extra, ("WARC-Concurrent-To", conversion)), date),
+        ("conversion", uri, conversion, "text/plain; charset=utf-8", text, extra, date),
     ]
 
 
 SCHEMA = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, block_digest string, source_digest string, content_length long, record binary"
 
 
+def page_records(ids: list, urls: list, htmls: list) -> list[bytes]:
+    return [response(u, h, "" if k is None else k) for k, u, h in zip(ids, urls, htmls)]
+
+
 def responses(pages: DataFrame) -> DataFrame:
     """page_id, record: the response record of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return map_rows(rows, lambda: lambda x: {"page_id": x["page_id"], "record": [response(u, h, "" if k is None else k) for k, u, h in zip(x["page_id"], x["url"], x["html"])]}, "page_id long, record binary")
+    return map_rows(rows, lambda: lambda x: {"page_id": x["page_id"], "record": page_records(x["page_id"], x["url"], x["html"])}, "page_id long, record binary")
 
 
 def derivatives(records: DataFrame) -> DataFrame:
     """Two rows a response, of records (page_id, record) or pages: the derived record's header fields and its bytes."""
-    if "record" not in records.columns:
-        records = responses(records)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
+    made = "record" in records.columns
+    rows = records.select("page_id", "record") if made else records.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
 
     def task():
         def each(x: dict[str, list]) -> dict:
-            rows = []
-            for page_id, source in zip(x["page_id"], x["record"]):
-                for kind, data in derive(source or b""):
-                    (f, _), = parse(data)
-                    rows.append((page_id, kind, f["WARC-Record-ID"], f["WARC-Refers-To"], f["WARC-Target-URI"], f["WARC-Block-Digest"], f["WARC-Source-Payload-Digest"], int(f["Content-Length"]), data))
-            return dict(zip(names, zip(*rows) if rows else [()] * len(names)))
+            sources = x["record"] if made else page_records(x["page_id"], x["url"], x["html"])
+            out = []
+            for page_id, source in zip(x["page_id"], sources):
+                for kind, uri, own, content_type, block, extra, date in derived(source or b""):
+                    refers, paid = extra[0][1], extra[3][1]
+                    out.append((page_id, kind, own, refers, uri, digest(block), paid, len(block), record(kind, uri, own, content_type, block, extra, date)))
+            return dict(zip(names, zip(*out) if out else [()] * len(names)))
 
         return each
 
-    return map_rows(records.select("page_id", "record"), task, SCHEMA)
+    return map_rows(rows, task, SCHEMA)
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
