@@ -45,6 +45,19 @@ def interval_join(left: DataFrame, right: DataFrame, x: str, low: str, high: str
     return a.join(b, fits if extra is None else fits & extra, how).drop("_k")
 
 
+def window_join(left: DataFrame, right: DataFrame, windows: list[tuple[str, str, str, float]], on: list[str] | None = None) -> DataFrame:
+    """Pairs with ``low <= x <= high`` in every window (x, low, high, width): an equi-join on one bucket a dimension."""
+    a = left.withColumns({f"_k{i}": F.floor(F.col(x) / width) for i, (x, _, _, width) in enumerate(windows)})
+    b = right
+    for i, (_, low, high, width) in enumerate(windows):
+        b = b.withColumn(f"_k{i}", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    keys = [*(on or []), *[f"_k{i}" for i in range(len(windows))]]
+    out = a.join(b, keys)
+    for x, low, high, _ in windows:
+        out = out.where(F.col(x).between(F.col(low), F.col(high)))
+    return out.drop(*[f"_k{i}" for i in range(len(windows))])
+
+
 def nearest_join(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: float | None = None, on: list[str] | None = None, upper_tie: bool = True) -> DataFrame:
     """Each left row with the right row of nearest y; at equal distance the upper one if asked.
 

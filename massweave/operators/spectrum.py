@@ -56,6 +56,45 @@ def theoretical_resolving_power(mz: Column, field_t: float, time_s: float, charg
     return factor * (charge if charge is not None else F.lit(1)) / mz
 
 
+def numbered(peaks: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``peak_idx`` of every peak of its spectrum from 0, in the order given."""
+    return peaks.withColumn("peak_idx", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def without(peaks: DataFrame, drop: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The peaks whose (keys, peak_idx) aren't in ``drop``, numbered anew."""
+    return numbered(peaks.join(drop.select(*keys, "peak_idx").distinct(), [*keys, "peak_idx"], "left_anti"), keys, order)
+
+
+def below_resolving_power(peaks: DataFrame, field_t: float, time_s: float) -> DataFrame:
+    """Peaks whose resolving power a transient of that field and time can have."""
+    return peaks.where(F.col("resolving_power") < theoretical_resolving_power(F.col("mz"), field_t, time_s, F.col("ion_charge")))
+
+
+def nominal_ranges(peaks: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each nominal mass: first and last peak_idx and the number of peaks; ``odd`` tells its parity."""
+    nominal = F.floor("mz").cast("int")
+    return peaks.groupBy(*keys, nominal.alias("nominal")).agg(F.min("peak_idx").alias("first_idx"), F.max("peak_idx").alias("last_idx"), F.count("*").alias("n")).withColumn("odd", F.pmod("nominal", F.lit(2)))
+
+
+def half_height_widths(points: DataFrame, keys: list[str], order: str, value: str, reach: int = 64) -> DataFrame:
+    """Apexes with ``left``, ``right``: where the trace first falls below half the height on either side, on the line
+    between the points about it; ``resolving_power`` is the apex's place over the width. Null where it doesn't within ``reach`` points."""
+    apex = extremes(points, keys, order, value).select(*keys, F.col(order).alias("_at"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    around = lambda a, b: F.collect_list(F.struct(F.col(order).alias("x"), F.col(value).alias("y"))).over(w.rowsBetween(a, b))
+    rows = points.withColumns({"_before": F.reverse(around(-reach, 0)), "_after": around(0, reach)}).join(apex.withColumnRenamed("_at", order), [*keys, order], "left_semi")
+    half = F.col(value) / 2
+
+    def cross(side: str) -> Column:
+        low = F.array_position(F.transform(side, lambda p: p["y"] < half), True).cast("int")
+        out, inner = F.get(F.col(side), low - 1), F.get(F.col(side), low - 2)
+        return F.when(low > 1, out["x"] + (inner["x"] - out["x"]) * (half - out["y"]) / (inner["y"] - out["y"]))
+
+    found = rows.withColumns({"left": cross("_before"), "right": cross("_after")}).drop("_before", "_after")
+    return found.withColumn("resolving_power", F.col(order) / (F.col("right") - F.col("left")))
+
+
 def metric_filter(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
     """All rules {column: {value, operator}} hold; a missing metric fails."""
     ops = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "==": "__eq__", "!=": "__ne__"}

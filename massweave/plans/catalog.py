@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from massweave.plans import formulas, matching, signals, spectra
+from massweave.plans import formulas, matching, peaks, signals, spectra
 from massweave.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "formulas", "matching", "signals", "spectra"]
+__all__ = ["ORACLES", "QUERIES", "formulas", "matching", "peaks", "signals", "spectra"]

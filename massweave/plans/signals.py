@@ -230,10 +230,10 @@ def profiles(peaks: DataFrame) -> DataFrame:
     from massweave.functions import lineshape as ls
 
     rows = peaks.withColumn("fwhm", F.col("mz") / 100000.0)
-    peak = (F.col("mz"), F.col("fwhm"), F.col("abundance"))
-    points = rows.select("l_orderkey", "scan", *[c for c in ("mz", "fwhm", "abundance")], F.explode(ls.grid(*peak[:2])).alias("x"))
-    shapes = [sig(f(F.col("x"), *peak), f.__name__) for f in (ls.gaussian, ls.lorentzian, ls.pseudo_voigt)]
-    return points.select("l_orderkey", F.col("scan").alias("l_linenumber"), sig("x", "mz"), *shapes)
+    # Shapes are taken at the offset in widths: the difference of two near m/z values has no digits to spare.
+    points = rows.select("l_orderkey", "scan", "mz", "fwhm", "abundance", F.explode(ls.grid(F.lit(0.0), F.lit(1.0))).alias("x"))
+    shapes = [sig(f(F.col("x"), F.lit(0.0), F.lit(1.0), F.col("abundance")), f.__name__) for f in (ls.gaussian, ls.lorentzian, ls.pseudo_voigt)]
+    return points.select("l_orderkey", F.col("scan").alias("l_linenumber"), sig(F.col("mz") + F.col("fwhm") * F.col("x"), "mz"), *shapes)
 
 
 @query()
