@@ -97,3 +97,23 @@ def confidence(mz_part: Column, isotopologue_part: Column, mz_weight: float = 0.
 
 def elements() -> list[str]:
     return sorted(set(ELEMENT.values()))
+
+
+def subtracted(atoms: Column, other: Column) -> Column:
+    """Atoms left after another formula's are taken off; none where nothing is left of an element."""
+    return F.map_filter(F.transform_values(atoms, lambda k, n: n - F.coalesce(other[k], F.lit(0))), lambda _, n: n > 0)
+
+
+def class_atoms(atoms: Column) -> Column:
+    """The atoms that make a heteroatom class: all but carbon and hydrogen."""
+    return F.map_filter(atoms, lambda k, n: ~k.isin("C", "H") & (n > 0))
+
+
+def normalised_distance(distance: Column, low: float, high: float) -> Column:
+    """The distance's place between its least and largest value, from 0 to 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (distance - low) / (high - low)))
+
+
+def error_percent(observed: Column, calculated: Column) -> Column:
+    """Of an isotopologue's abundance or area: by how many percent it misses what was calculated."""
+    return (observed - calculated) / calculated * 100

@@ -12,8 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Standards of all ladders together, at most.
+LADDER_RUNGS = 100_000
+
+
 def band_join(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: float, ppm: bool = False, how: str = "inner", on: list[str] | None = None) -> DataFrame:
-    """Pairs with ``abs(x - y) <= tolerance``, or within so many parts per million of y. x and y are positive if ppm."""
+    """Pairs with ``abs(x - y) <= tolerance``, or within so many parts per million of y. x and y are positive if ppm.
+
+    Joins that keep the right side's unmatched rows are refused: those rows stand in several buckets.
+    """
+    if how.lower().replace("outer", "").strip("_ ") in ("right", "full"):
+        raise ValueError(f"a band join can't be {how}: join its pairs back to the right side")
     if ppm:
         width = math.log1p(tolerance * 1e-6) * 2
         place = lambda c: F.floor(F.ln(c) / width)
@@ -88,7 +97,9 @@ def ladder(points: DataFrame, rungs: DataFrame, x: str, at: str, value: str, out
     steps = rungs.select(*keys, F.col(at).alias("_l"), F.col(value).alias("_lv"), F.lead(at).over(w).alias("_r"), F.lead(value).over(w).alias("_rv"), F.row_number().over(w).alias("_n"), F.count("*").over(Window.partitionBy(*keys)).alias("_all"))
     steps = steps.where("_r is not null").select(*keys, F.when(F.col("_n") == 1, F.lit(-math.inf)).otherwise(F.col("_l")).alias("_low"), F.when(F.col("_n") == F.col("_all") - 1, F.lit(math.inf)).otherwise(F.col("_r")).alias("_high"), "_l", "_lv", "_r", "_rv")
     inside = (F.col(x) >= F.col("_low")) & (F.col(x) < F.col("_high"))
-    # A ladder is a few dozen standards: a fixed protocol, not data that grows.
+    # A ladder is a few dozen standards, a fixed protocol and not data that grows: that it is so is checked.
+    if rungs.limit(LADDER_RUNGS + 1).count() > LADDER_RUNGS:
+        raise ValueError(f"a ladder of more than {LADDER_RUNGS} rungs")
     joined = points.join(F.broadcast(steps), on=[inside] + [points[k] == steps[k] for k in keys] if keys else inside)
     line = F.col("_lv") + (F.col("_rv") - F.col("_lv")) * (F.col(x) - F.col("_l")) / (F.col("_r") - F.col("_l"))
     return joined.withColumn(out, line).select(*[points[c] for c in points.columns], out)

@@ -92,15 +92,23 @@ def read_peak_xml(spark: SparkSession, path: str) -> DataFrame:
 CV = {"time": "MS:1000016", "ms_level": "MS:1000511", "tic": "MS:1000285", "positive": "MS:1000130", "negative": "MS:1000129", "profile": "MS:1000128", "centroid": "MS:1000127", "precursor": "MS:1000744", "window_low": "MS:1000501", "window_high": "MS:1000500", "text": "MS:1000512", "zlib": "MS:1000574", "float64": "MS:1000523", "mz_array": "MS:1000514", "intensity_array": "MS:1000515"}
 
 
-def spectrum_of(xml: str) -> dict:
-    """Scan fields and arrays of one mzML spectrum element."""
+def scan_number(identifier: str, index: str | None) -> int:
+    """The scan of a native id: ``scan=7``, ``spectrum=7``, ``scanId=7``, a number alone, or one more than the index."""
+    found = re.search(r"(?:scan|spectrum|scanId)=(\d+)", identifier) or re.fullmatch(r"(\d+)", identifier.strip())
+    return int(found[1]) if found else int(index or 0) + 1
+
+
+def spectrum_of(xml: str, groups: dict[str, list[str]] | None = None) -> dict:
+    """Scan fields and arrays of one mzML spectrum element. ``groups``: parameters that elements may refer to, by name."""
     root = ET.fromstring(re.sub(r'\sxmlns="[^"]*"', "", xml))
+    for ref in [*root.iter("referenceableParamGroupRef")]:
+        root.extend(ET.fromstring(p) for p in (groups or {}).get(ref.get("ref"), ()))
     params = {p.get("accession"): p for p in root.iter("cvParam")}
 
     def value(name: str) -> str | None:
         return params[CV[name]].get("value") if CV[name] in params else None
 
-    out = {"scan": int(root.get("id", "scan=0").rpartition("scan=")[2].split()[0] or 0), "ms_level": int(value("ms_level") or 1), "tic": float(value("tic") or 0), "scan_text": value("text")}
+    out = {"scan": scan_number(root.get("id", ""), root.get("index")), "ms_level": int(value("ms_level") or 1), "tic": float(value("tic") or 0), "scan_text": value("text")}
     rt = value("time")
     minutes = 1.0 if rt is None or "minute" in (params[CV["time"]].get("unitName") or "minute") else 1 / 60
     out |= {"rt": float(rt) * minutes if rt else None, "precursor_mz": float(value("precursor")) if value("precursor") else None, "window_low": float(value("window_low") or "nan"), "window_high": float(value("window_high") or "nan")}
@@ -124,9 +132,13 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     names = [x.split()[0] for x in MZML.split(", ")]
     elements = spark.read.text(path, lineSep="</spectrum>").where(F.col("value").contains("<spectrum ")).select(F.concat(F.regexp_extract("value", r"(?s)(<spectrum .*)$", 1), F.lit("</spectrum>")).alias("xml"), F.input_file_name().alias("sample"))
 
+    # The file's head, before its first spectrum, names groups of parameters.
+    head = spark.read.text(path, lineSep="<spectrum ").select(F.regexp_extract("value", r"(?s)(<referenceableParamGroupList.*</referenceableParamGroupList>)", 1).alias("x"), F.input_file_name().alias("sample")).where("x != ''")
+    groups = {r["sample"]: {g.get("id"): [ET.tostring(p, "unicode") for p in g] for g in ET.fromstring(r["x"])} for r in head.collect()}
+
     def run(batches):
         for pdf in batches:
-            rows = [spectrum_of(x) for x in pdf.xml]
+            rows = [spectrum_of(x, groups.get(sample)) for x, sample in zip(pdf.xml, pdf["sample"])]
             out = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
             yield out.assign(sample=pdf["sample"].to_numpy())
 
