@@ -149,12 +149,6 @@ def released() -> None:
         pass  # another C library
 
 
-def tidied(spark: SparkSession) -> None:
-    """Give the driver's memory of finished steps back: Python's, then the JVM's, whose cleaner then frees their shuffles and shared values too."""
-    released()
-    spark.sparkContext._jvm.System.gc()
-
-
 def in_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow over bounded slices; a task's memory is given back at its end."""
 

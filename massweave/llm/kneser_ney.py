@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import WORD, checked_join, crc_mod, documents, dropped, filtered, in_slices, map_rows, shared, table, tidied, written
+from massweave.llm.common import WORD, checked_join, crc_mod, documents, dropped, filtered, in_slices, map_rows, released, shared, table, written
 
 FOLDS, HELD_OUT = 5, 0
 #: Symbols are code points; three stand in ``lo``, the last one lowest, those before them in ``hi``.
@@ -93,13 +94,14 @@ def key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 
 
 class Ratios:
-    """Sorted hashes with a value each; ``find`` gives the values of others, and whether they are there."""
+    """Hashes, given in order, with a value each; ``find`` gives the values of others, and whether they are there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.values = np.append(keys[order], np.uint64(2**64 - 1)), np.append(values[order], np.float32(0))
-        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
-        self.first = np.searchsorted(self.keys, np.arange(1 << int(np.uint64(64) - self.shift), dtype=np.uint64) << self.shift)
+        self.keys, self.values = np.append(keys, np.uint64(2**64 - 1)), np.append(values, np.float32(0))
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        counts = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.cumsum(counts) - counts
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.first[(wanted >> self.shift).astype(np.int64)]
@@ -237,12 +239,29 @@ def ratios(counts: DataFrame, in_task: int = TASK_GRAMS) -> DataFrame:
 
 
 def held_in_memory(found: DataFrame, rows: int = MODEL_ROWS):
-    """The broadcast pair of look-ups, or None where the model is larger than ``rows``."""
+    """The broadcast hashes and ratios by kind, or None where the model is larger than ``rows``."""
     if found.count() > rows:
         return None
-    got = found.toArrow()
-    kind, hi, lo, ratio = (got.column(c).to_numpy() for c in ("kind", "hi", "lo", "ratio"))
-    return shared(found.sparkSession, tuple(Ratios(key(hi[kind == k], lo[kind == k]), ratio[kind == k]) for k in (0, 1)))
+    rows = in_slices(found.select("kind", "hi", "lo", "ratio"), hashed_rows, "kind int, k long, ratio float").toArrow()
+    packed = []
+    for kind in (0, 1):
+        own = rows.filter(pa.compute.equal(rows.column("kind"), kind))
+        keys = own.column("k").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        packed.append((keys[order], own.column("ratio").to_numpy()[order]))
+    return shared(found.sparkSession, tuple(packed))
+
+
+def hashed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, k (hash of the n-gram), ratio: what a look-up needs."""
+    for batch in batches:
+        k = key(batch.column("hi").to_numpy(), batch.column("lo").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(k.view(np.int64)), batch.column("ratio")], names=["kind", "k", "ratio"])
+
+
+def look_ups(packed: tuple) -> tuple[Ratios, Ratios]:
+    """The look-ups of a broadcast model, which is sorted; a task only indexes it."""
+    return tuple(Ratios(*own) for own in packed)
 
 
 def log_ratio(model: tuple[Ratios, Ratios], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +353,7 @@ def evidence(texts: DataFrame, found: DataFrame, lookups) -> DataFrame:
         return joined_evidence(texts, found)
 
     def task():
-        scorer = Scorer(lookups.value)
+        scorer = Scorer(look_ups(lookups.value))
         return lambda x: {"th": x["th"], "x": scorer.evidence(x["text"]).tolist()}
 
     return map_rows(texts.select("th", "text"), task, "th long, x array<double>")
@@ -388,11 +407,11 @@ def train(docs: DataFrame, labels: DataFrame, rows_in_memory: int = MODEL_ROWS,
     weights, bias = curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES), y.astype(np.float64), each[y])
     if lookups is not None:
         lookups.unpersist()
-    tidied(docs.sparkSession)
+    released()
     found = ratios(counts, in_task)
     dropped(part, counts)
     model = {"found": found, "lookups": held_in_memory(found, rows_in_memory), "weights": weights, "bias": bias}
-    tidied(docs.sparkSession)
+    released()
     return model
 
 
@@ -419,7 +438,7 @@ def rate(docs: DataFrame, model: dict | None) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th")).join(text_scores(docs, model), "th").select("doc_id", "score")
 
     def task():
-        scorer = Scorer(lookups.value)
+        scorer = Scorer(look_ups(lookups.value))
         return lambda x: {"doc_id": x["doc_id"], "score": chance(scorer.evidence(x["text"]), weights, bias).tolist()}
 
     return map_rows(docs.select("doc_id", "text"), task, "doc_id long, score double")
@@ -435,7 +454,7 @@ def harmless(docs: DataFrame, model: dict | None, limit: float = 0.5) -> DataFra
         return docs.join(toxic, F.xxhash64(docs["text"]) == F.col(th), "left_anti")
 
     def task():
-        scorer = Scorer(lookups.value)
+        scorer = Scorer(look_ups(lookups.value))
         return lambda batch: chance(scorer.evidence(batch.column("text").to_pylist()), weights, bias) < limit
 
     return filtered(docs, task)

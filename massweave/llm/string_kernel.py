@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import checked_join, crc_mod, documents, filtered, map_rows, shared, tidied, written
+from massweave.llm.common import checked_join, crc_mod, documents, filtered, map_rows, released, shared, written
 
 DIMS, ORDERS, LANDMARKS, PER_LANG, RIDGE, SHARPNESS = 1 << 14, 4, 256, 500, 1e-2, 6.0
 FOLDS, HELD_OUT = 4, 2
@@ -168,7 +168,7 @@ def identified(docs: DataFrame, model: dict | None, least: float) -> DataFrame:
 def train(docs: DataFrame) -> dict | None:
     rows = sample(docs)
     model = fit_bits(list(rows.bits), list(rows.lang))
-    tidied(docs.sparkSession)
+    released()
     return model
 
 

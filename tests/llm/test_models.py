@@ -58,7 +58,7 @@ def texts():
 @pytest.mark.parametrize("in_task", [k.TASK_GRAMS, 0])
 def test_ratios_by_dictionaries(spark, texts, in_task):
     found = k.ratios(k.count_grams(spark.createDataFrame(texts, "text string, label int")), in_task)
-    model = k.held_in_memory(found).value
+    model = k.look_ups(k.held_in_memory(found).value)
     plain = plain_ratio(texts)
     words = sorted({w for t, _ in texts for w in t.split()}) + ["zzz", "abx", "É", "a"]
     got, size = k.log_ratio(model, words)
