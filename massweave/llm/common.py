@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,6 +150,27 @@ def released() -> None:
         pass  # another C library
 
 
+def driver_released(spark: SparkSession) -> None:
+    """Give the driver's memory back between the steps of a long job, its JVM's heap and native memory too.
+
+    The collection also lets Spark's cleaner drop what ended plans left on the executors: it follows weak references,
+    and a driver with little garbage of its own would seldom collect.
+    """
+    released()
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    jvm.java.lang.System.gc()
+    # The server's class isn't open to calls from outside its module, its interface is.
+    server = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+    invoke = next(m for m in server.getMethods() if m.getName() == "invoke")
+    call = gateway.new_array(jvm.java.lang.Object, 4)
+    call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    except Py4JJavaError:
+        pass  # a JVM without this command
+
+
 def in_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow over bounded slices; a task's memory is given back at its end."""
 

@@ -36,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import WORD, checked_join, crc_mod, documents, dropped, filtered, in_slices, map_rows, released, shared, table, written
+from massweave.llm.common import WORD, checked_join, crc_mod, documents, driver_released, dropped, filtered, in_slices, map_rows, shared, table, written
 
 FOLDS, HELD_OUT = 5, 0
 #: Symbols are code points; three stand in ``lo``, the last one lowest, those before them in ``hi``.
@@ -407,11 +407,11 @@ def train(docs: DataFrame, labels: DataFrame, rows_in_memory: int = MODEL_ROWS,
     weights, bias = curve(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES), y.astype(np.float64), each[y])
     if lookups is not None:
         lookups.unpersist()
-    released()
+    driver_released(docs.sparkSession)
     found = ratios(counts, in_task)
     dropped(part, counts)
     model = {"found": found, "lookups": held_in_memory(found, rows_in_memory), "weights": weights, "bias": bias}
-    released()
+    driver_released(docs.sparkSession)
     return model
 
 

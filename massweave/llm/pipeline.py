@@ -11,35 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from massweave.llm import best_fit_packing, kneser_ney, pii_bootstrap, string_kernel, t_occurrence
-from massweave.llm.common import documents, released, scope, table, written
+from massweave.llm.common import documents, driver_released, scope, table, written
 
 #: Scores from which a document is toxic, and up to which its language isn't told.
 TOXIC, LEAST_LANGUAGE_SCORE = 0.5, 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    released()
+    driver_released(spark)
     labels = table(spark, sf_dir, "labels")
     return kneser_ney.harmless(docs, kneser_ney.train(docs, labels), TOXIC)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    released()
+    driver_released(spark)
     return string_kernel.identified(docs, string_kernel.train(docs), LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    released()
+    driver_released(spark)
     return t_occurrence.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    released()
+    driver_released(spark)
     return pii_bootstrap.masked(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    released()
+    driver_released(spark)
     return best_fit_packing.pack(docs)
 
 

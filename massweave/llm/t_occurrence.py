@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import WORD, checked_join, documents, dropped, in_slices, released, written
+from massweave.llm.common import WORD, checked_join, documents, driver_released, dropped, in_slices, written
 from massweave.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -376,7 +376,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     alone = needed.select("cid", F.col("cid").alias("c"), F.col("cid").alias("g"))
     near = written(search(queries, alone, tokens, percent), "found")
     dropped(queries)
-    released()
+    driver_released(docs.sparkSession)
     # Then against the groups that the links found make.
     placed = written(placement(needed.select("cid"), near), "placed")
     queries = written(meetings(lists, placed, percent), "queries")
@@ -384,7 +384,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     dropped(queries, near, placed)
     ends = components(links)
     dropped(tokens, needed, lists)
-    released()
+    driver_released(docs.sparkSession)
     named = checked_join(classes, ends.withColumnRenamed("v", "cid"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     lowest = named.groupBy("c").agg(F.min("low").alias("component"))
     named = written(checked_join(named, lowest, "c").select("h1", "h2", "component"), "named")
