@@ -132,6 +132,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: CRC-32 of half bytes (fixed values of the polynomial).
+CRC_NIBBLES = [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a text's UTF-8, which it has no function for."""
+    nibbles = f"list_transform(range(2 * strlen({text})), lambda i: (strpos('0123456789ABCDEF', substr(hex({text}), i + 2 * ((i + 1) % 2), 1)) - 1)::BIGINT)"
+    step = f"lambda c, b: xor(c >> 4, ({CRC_NIBBLES}::BIGINT[])[(xor(c, b) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {nibbles}), {step}), 4294967295::BIGINT)"
+
+
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches cut to ``SLICE_ROWS`` rows and, by their mean row, ``SLICE_BYTES``."""
     for batch in batches:

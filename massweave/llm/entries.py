@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from massweave.llm import best_fit_packing, html_density, kneser_ney, line_quality, media_wav, pii_bootstrap, piece_sampling, pipeline, string_kernel, t_occurrence, warc_derivatives
+from massweave.llm import best_fit_packing, html_density, importance_resampling, kneser_ney, line_quality, media_wav, pii_bootstrap, piece_sampling, pipeline, string_kernel, t_occurrence, token_counts, variant_grouping, warc_derivatives
 
 QUERIES = {
     "pipeline": pipeline.run,
@@ -16,5 +16,8 @@ QUERIES = {
     "op4_string_kernel": string_kernel.op4_string_kernel,
     "op7_html_density": html_density.op7_html_density,
     "op8_wav_peaks": media_wav.op8_wav_peaks,
+    "op11_variant_grouping": variant_grouping.op11_variant_grouping,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_importance_resampling": importance_resampling.op13_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op6_t_occurrence": t_occurrence.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op6_t_occurrence": t_occurrence.ORACLE_SQL, "op11_variant_grouping": variant_grouping.ORACLE_SQL, "op13_importance_resampling": importance_resampling.ORACLE_SQL}
