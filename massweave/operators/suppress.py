@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 
 import numpy as np
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massweave.storage import shared_folder
+
 
 def gap_components(df: DataFrame, x: str, gap: Column, keys: list[str], out: str = "component") -> DataFrame:
     """Number the runs of rows, in order of x, whose steps stay within ``gap`` (an expression of the lower row)."""
@@ -18,33 +21,101 @@ def gap_components(df: DataFrame, x: str, gap: Column, keys: list[str], out: str
     return stepped.withColumn(out, F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_g")
 
 
-def greedy_suppress(df: DataFrame, dims: dict[str, tuple[float, bool]], priority: str, keys: list[str], tie: list[str]) -> DataFrame:
-    """Keep rows in order of priority unless a kept row is near in every dimension.
+#: Cells of a tile's side and of the rim that it sees of its neighbours; rows of a cell that a round looks at.
+TILE, RIM, DEPTH = 64, 8, 32
 
-    dims: column -> (tolerance, relative to the kept row's value). The first dimension's gaps cut the
-    rows into independent components, each of which is decided on its own.
+
+def greedy_suppress(df: DataFrame, dims: dict[str, tuple[float, bool]], priority: str, keys: list[str], tie: list[str]) -> DataFrame:
+    """Keep rows in order of priority unless a kept row is near in every dimension, as one pass over all rows would.
+
+    dims: column -> (tolerance, relative to the kept row's value). Rows lie in cells of a tolerance's width; a
+    round sends the first ``DEPTH`` rows of each cell to its tile of cells and to tiles whose rim holds it. A tile
+    goes through its rows by priority: one near a kept row is out, one near a cell that holds an undecided row
+    before it waits, others are kept. What waits for a rim or for a cell's deeper rows goes into the next round,
+    after a join has removed all that is near the rows kept. The first row of all is always decided, so rounds end.
+    A task holds one tile's first rows, however dense the data. Rows without a value in some dimension, and
+    negative values of relative ones, are near to nothing. Of equal priority and tie, any one comes first.
     """
-    first, (tol, relative) = next(iter(dims.items()))
-    # The higher row's tolerance may be the larger one where it is relative.
-    gap = F.col(first) * tol / (1 - tol) if relative else F.lit(tol)
-    parts = gap_components(df, first, gap, keys, "_c")
-    fields = [f for f in df.schema.fields]
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.sort_values([priority, *tie], ascending=[False] + [True] * len(tie), kind="stable")
-        values = order[list(dims)].to_numpy(float)
-        alive, kept = np.ones(len(order), bool), []
-        for i in range(len(order)):
-            if not alive[i]:
+    shared_folder(df.sparkSession)
+    names = list(dims)
+    rows = df.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    value = {d: F.col(d).cast("double") for d in names}
+    sound = F.lit(True)
+    for d, (_, relative) in dims.items():
+        sound &= value[d].isNotNull() & ~F.isnan(value[d]) & (value[d] >= 0 if relative else F.lit(True))
+
+    def cell(d: str) -> Column:
+        tol, relative = dims[d]
+        if not relative:
+            return F.floor(value[d] / tol) if tol else F.xxhash64(value[d]) % (1 << 40)
+        return F.coalesce(F.floor(F.ln(value[d]) / math.log1p(tol)), F.lit(-(1 << 40)))
+
+    # Cells of a relative dimension are a little narrower than the tolerance below a row.
+    reach = [2 if relative else 1 for _, relative in dims.values()]
+    cells, at = [f"_c{k}" for k in range(len(names))], [f"_v{k}" for k in range(len(names))]
+    order = F.struct(F.coalesce(-F.col(priority).cast("double"), F.lit(math.inf)).alias("p"), *tie, "_id")
+    live = rows.where(sound).select(*keys, "_id", *[value[d].alias(v) for d, v in zip(names, at)], *[cell(d).cast("long").alias(c) for d, c in zip(names, cells)], order.alias("_o"))
+    spread = [F.array(*[F.col(c) + s for s in range(-r, r + 1)]) for c, r in zip(cells, reach)]
+    tols = list(dims.values())
+
+    def near(kept: Column) -> Column:
+        test = kept["o"] < F.col("_o")
+        for v, (tol, relative) in zip(at, tols):
+            test &= F.abs(F.col(v) - kept[v]) <= (kept[v] * tol if relative else F.lit(tol))
+        return test
+
+    live, found = live.checkpoint(), None
+    while not live.isEmpty():
+        kept = tile_winners(live, keys, cells, at, reach, tols).checkpoint()
+        found = kept.select("_id") if found is None else found.union(kept.select("_id"))
+        # Rows kept are apart, so only few of them are near a cell.
+        around = kept
+        for c, s in zip(cells, spread):
+            around = around.withColumn(c, F.explode(s))
+        around = around.groupBy(*keys, *cells).agg(F.collect_list(F.struct(F.col("_o").alias("o"), *at)).alias("_near"))
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cells]
+        live = live.join(kept.select("_id"), "_id", "left_anti").alias("a").join(around.alias("b"), same, "left").where(F.col("_near").isNull() | ~F.exists("_near", near)).select("a.*").checkpoint()
+    out = rows.where(~F.coalesce(sound, F.lit(False)))
+    if found is not None:
+        out = out.union(rows.join(found, "_id", "left_semi").select(rows.columns))
+    return out.select(df.columns)
+
+
+def tile_winners(live: DataFrame, keys: list[str], cells: list[str], at: list[str], reach: list[int], tols: list[tuple[float, bool]]) -> DataFrame:
+    """Live rows that are kept for sure, as their tile sees it."""
+    first = live.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *cells).orderBy("_o"))).where(F.col("_n") <= DEPTH + 1)
+    tiles = [f"_t{k}" for k in range(len(cells))]
+    sent = first.withColumn("_k", F.struct(*[F.col(k) for k in keys])) if keys else first.withColumn("_k", F.lit(0))
+    for c, t in zip(cells, tiles):
+        own, inside = F.floor(F.col(c) / TILE), F.pmod(F.col(c), F.lit(TILE))
+        sent = sent.withColumn(t, F.explode(F.array_compact(F.array(own, F.when(inside < RIM, own - 1), F.when(inside >= TILE - RIM, own + 1)))))
+    offsets = list(itertools.product(*[range(-r, r + 1) for r in reach]))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.iloc[sorted(range(len(pdf)), key=pdf["_rank"].to_numpy().__getitem__)]
+        low = [int(pdf[t].iloc[0]) * TILE for t in tiles]
+        kept: dict[tuple, list[tuple]] = {}
+        waiting: set[tuple] = set()
+        winners = []
+        for i, cell, values, n in zip(range(len(pdf)), zip(*[pdf[c].tolist() for c in cells]), zip(*[pdf[v].tolist() for v in at]), pdf["_n"].tolist()):
+            about = [tuple(a + b for a, b in zip(cell, o)) for o in offsets]
+            if n > DEPTH:  # stands for the cell's deeper rows, which are near to any kept row of the cell
+                if cell not in kept:
+                    waiting.add(cell)
+            elif any(all(abs(x - k) <= (k * t if rel else t) for x, k, (t, rel) in zip(values, other, tols)) for a in about for other in kept.get(a, ())):
                 continue
-            kept.append(i)
-            near = np.ones(len(order), bool)
-            for d, (t, rel) in enumerate(dims.values()):
-                near &= np.abs(values[:, d] - values[i, d]) <= (t * values[i, d] if rel else t)
-            alive &= ~near
-        return order.iloc[kept][[f.name for f in fields]]
-
-    return parts.groupBy(*keys, "_c").applyInPandas(keep, df.schema)
+            elif any(c - r < lo - RIM or c + r >= lo + TILE + RIM for c, lo, r in zip(cell, low, reach)) or not waiting.isdisjoint(about):
+                waiting.add(cell)
+            else:
+                kept.setdefault(cell, []).append(values)
+                if all(lo <= c < lo + TILE for c, lo in zip(cell, low)):
+                    winners.append(i)
+        return pdf.iloc[winners][["_id"]]
+
+    # One number a row tells the order within a tile, whatever the types of the tie.
+    ranked = sent.withColumn("_rank", F.row_number().over(Window.partitionBy("_k", *tiles).orderBy("_o")))
+    ids = ranked.select("_k", *tiles, "_rank", "_n", "_id", *cells, *at).groupBy("_k", *tiles).applyInPandas(decide, "_id long")
+    return live.join(ids, "_id", "left_semi")
 
 
 def chain_average(df: DataFrame, x: str, ppm: float, keys: list[str], aggs: list[Column]) -> DataFrame:

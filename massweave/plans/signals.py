@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from massweave.operators import sequence as seq
 from massweave.operators import spectrum as sp
-from massweave.operators import suppress
+from massweave.operators import persistence, suppress
 from massweave.plans.registry import query, seconds, sig, sig_sql, tables
 
 TRACE = "(SELECT user_id, event_id, event_type, epoch(ts) / 3600.0 AS t, value FROM events)"
@@ -180,9 +180,35 @@ def q_linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("scan").agg(sig(F.regr_slope("abundance", "mz"), "slope"), sig(F.regr_intercept("abundance", "mz"), "intercept"), sig(F.corr("abundance", "mz"), "r"))
 
 
-@query()
+# One pass over the rows of a type by value; ``near`` holds what was kept.
+@query("""WITH RECURSIVE r AS MATERIALIZED (SELECT event_type, event_id, epoch(ts) / 3600.0 AS t, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS i FROM events WHERE value IS NOT NULL),
+k(event_type, i, kept, near) AS (SELECT DISTINCT event_type, 0::BIGINT, NULL::BIGINT, CAST([] AS STRUCT(v DOUBLE, t DOUBLE)[]) FROM r
+ UNION ALL SELECT event_type, n.i, CASE WHEN free THEN n.event_id END, CASE WHEN free THEN list_append(n.near, {'v': n.value, 't': n.t}) ELSE n.near END
+ FROM (SELECT r.*, list_filter(k.near, lambda x: x.v <= r.value + 0.5) AS near, len(list_filter(k.near, lambda x: abs(x.v - r.value) <= 0.5 AND abs(x.t - r.t) <= 24)) = 0 AS free FROM k JOIN r ON r.event_type = k.event_type AND r.i = k.i + 1) n)
+SELECT kept AS event_id, event_type FROM k WHERE kept IS NOT NULL""")
 def q_greedy_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppress.greedy_suppress(trace(spark, sf_dir), {"value": (0.5, False), "t": (24.0, False)}, "value", ["event_type"], ["event_id"]).select("event_id", "event_type")
+    rows = trace(spark, sf_dir).where("value is not null")
+    return suppress.greedy_suppress(rows, {"value": (0.5, False), "t": (24.0, False)}, "value", ["event_type"], ["event_id"]).select("event_id", "event_type")
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities by line number, day and price: a run's intensities by time and m/z."""
+    (lines,) = tables(spark, sf_dir, "lineitem")
+    return lines.select(F.col("l_linenumber").alias("sample"), F.datediff("l_shipdate", F.lit("1990-01-01")).alias("scan"), F.floor(F.col("l_extendedprice") / 2000).alias("cell"), "l_quantity")
+
+
+@query()
+def q_features_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of every sample's day and price grid with birth, death and persistence."""
+    cells = grid(spark, sf_dir).groupBy("sample", "scan", "cell").agg(F.sum("l_quantity").alias("height"))
+    return persistence.features_2d(cells, ["sample"], "scan", "cell", "height")
+
+
+@query()
+def q_mass_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From points to features rolled up within a share of the price and some days."""
+    points = grid(spark, sf_dir).select("sample", ((F.col("cell") + 1) * 2000.0).alias("mz"), F.col("scan").cast("double").alias("rt"), F.col("l_quantity").alias("intensity"))
+    return persistence.find_features(points, ["sample"], "mz", "rt", "intensity", 0.01, 0.05, 0.05, 14.0)
 
 
 @query()
