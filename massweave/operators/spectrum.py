@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,24 +75,6 @@ def nominal_ranges(peaks: DataFrame, keys: list[str]) -> DataFrame:
     return peaks.groupBy(*keys, nominal.alias("nominal")).agg(F.min("peak_idx").alias("first_idx"), F.max("peak_idx").alias("last_idx"), F.count("*").alias("n")).withColumn("odd", F.pmod("nominal", F.lit(2)))
 
 
-def half_height_widths(points: DataFrame, keys: list[str], order: str, value: str, reach: int = 64) -> DataFrame:
-    """Apexes with ``left``, ``right``: where the trace first falls below half the height on either side, on the line
-    between the points about it; ``resolving_power`` is the apex's place over the width. Null where it doesn't within ``reach`` points."""
-    apex = extremes(points, keys, order, value).select(*keys, F.col(order).alias("_at"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    around = lambda a, b: F.collect_list(F.struct(F.col(order).alias("x"), F.col(value).alias("y"))).over(w.rowsBetween(a, b))
-    rows = points.withColumns({"_before": F.reverse(around(-reach, 0)), "_after": around(0, reach)}).join(apex.withColumnRenamed("_at", order), [*keys, order], "left_semi")
-    half = F.col(value) / 2
-
-    def cross(side: str) -> Column:
-        low = F.array_position(F.transform(side, lambda p: p["y"] < half), True).cast("int")
-        out, inner = F.get(F.col(side), low - 1), F.get(F.col(side), low - 2)
-        return F.when(low > 1, out["x"] + (inner["x"] - out["x"]) * (half - out["y"]) / (inner["y"] - out["y"]))
-
-    found = rows.withColumns({"left": cross("_before"), "right": cross("_after")}).drop("_before", "_after")
-    return found.withColumn("resolving_power", F.col(order) / (F.col("right") - F.col("left")))
-
-
 def metric_filter(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
     """All rules {column: {value, operator}} hold; a missing metric fails."""
     ops = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "==": "__eq__", "!=": "__ne__"}
@@ -179,11 +159,3 @@ def iqr_outliers(df: DataFrame, keys: list[str], column: str, out: str) -> DataF
 def to_mz(frequency: Column, a: float, b: float, c: float = 0.0) -> Column:
     """m/z of a cyclotron frequency by the three-term law."""
     return a / frequency + b / (frequency * frequency) + c
-
-
-def line_shape(x: Column, center: Column, width: Column, height: Column, kind: str = "gaussian", share: float = 0.5) -> Column:
-    """A peak of full width ``width`` at half height: gaussian, lorentz or pseudovoigt."""
-    d = (x - center) / width
-    g = height * F.exp(-4 * math.log(2) * d * d)
-    lz = height / (1 + 4 * d * d)
-    return {"gaussian": g, "lorentz": lz, "pseudovoigt": share * lz + (1 - share) * g}[kind]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massweave.operators import calibration as cal
-from massweave.operators import joins, lc
+from massweave.operators import joins, lc, profile
 from massweave.operators import spectrum as sp
 from massweave.plans.registry import query, seconds, sig, sig_sql, tables
 
@@ -112,15 +112,45 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("user_id", "event_id", "event_type", (seconds() / 3600.0).alias("t"), "value")
 
 
+PADDED = """WITH pts AS (SELECT user_id, epoch(ts) / 3600.0 AS x, max(value) AS y FROM events WHERE value IS NOT NULL GROUP BY ALL),
+side AS (SELECT user_id, count(*) AS n, min(x) AS a0, min(x) FILTER (k = 2) AS a1, max(x) AS b0, min(x) FILTER (r = 2) AS b1 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x) AS k, row_number() OVER (PARTITION BY user_id ORDER BY x DESC) AS r FROM pts) GROUP BY user_id),
+every AS (SELECT * FROM pts UNION ALL SELECT user_id, a0 - k * (a1 - a0), 0 FROM side, range(1, 4) g(k) WHERE n > 1 UNION ALL SELECT user_id, b0 + k * (b0 - b1), 0 FROM side, range(1, 4) g(k) WHERE n > 1),
+p AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, lag(y) OVER w AS yp, lead(y) OVER w AS yn, lag(x) OVER w AS xp, lead(x) OVER w AS xn FROM every WINDOW w AS (PARTITION BY user_id ORDER BY x)),
+runs AS MATERIALIZED (SELECT *, max(CASE WHEN yp IS NULL OR NOT y > yp THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS start_i, max(CASE WHEN yp IS NULL OR y < yp THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS left_i,
+ min(CASE WHEN yn IS NULL OR NOT yn < y THEN i END) OVER (PARTITION BY user_id ORDER BY i DESC) AS final_i, min(CASE WHEN yn IS NULL OR yn > y THEN i END) OVER (PARTITION BY user_id ORDER BY i DESC) AS right_i FROM p),
+apex AS MATERIALIZED (SELECT r.*, l.y AS left_y, g.y AS right_y FROM runs r JOIN p l ON l.user_id = r.user_id AND l.i = r.left_i JOIN p g ON g.user_id = r.user_id AND g.i = r.right_i WHERE r.y > r.yp AND r.y > r.yn)"""
+HALVES = """low AS (SELECT a.user_id, a.i, max(p.i) AS j FROM apex a JOIN p ON p.user_id = a.user_id AND p.i < a.i AND p.y < a.y / 2 GROUP BY ALL),
+high AS (SELECT a.user_id, a.i, min(p.i) AS j FROM apex a JOIN p ON p.user_id = a.user_id AND p.i > a.i AND p.y < a.y / 2 GROUP BY ALL),
+wide AS (SELECT a.user_id, a.i, lo.x + (lo.xn - lo.x) * (a.y / 2 - lo.y) / (lo.yn - lo.y) AS left_x, ro.xp + (ro.x - ro.xp) * (a.y / 2 - ro.yp) / (ro.y - ro.yp) AS right_x
+ FROM apex a JOIN low USING (user_id, i) JOIN high h USING (user_id, i) JOIN p lo ON lo.user_id = a.user_id AND lo.i = low.j JOIN p ro ON ro.user_id = a.user_id AND ro.i = h.j)"""
+
+
+@query(f"""{PADDED}, {HALVES},
+low_points AS (SELECT user_id, y FROM (SELECT *, lag(y) OVER w AS b, lead(y) OVER w AS e FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY x)) WHERE y < b AND y <= e),
+noise AS (SELECT user_id, median(y) * 2 AS noise, stddev_pop(y) * 3 AS noise_std FROM low_points GROUP BY user_id), top AS (SELECT user_id, max(y) AS top FROM pts GROUP BY user_id),
+fits AS (SELECT *, (y - yp) / (x - xp) AS d01, ((yn - y) / (xn - x) - (y - yp) / (x - xp)) / (xn - xp) AS curve FROM apex),
+placed AS (SELECT *, CASE WHEN (xp + x) / 2 - d01 / (2 * curve) < 1 OR trunc((xp + x) / 2 - d01 / (2 * curve)) <> trunc(x) THEN x ELSE (xp + x) / 2 - d01 / (2 * curve) END AS mz FROM fits)
+SELECT user_id, i - 3 AS apex_idx, start_i - 3 AS start_idx, final_i - 3 AS final_idx, round(mz, 4) AS mz, {sig_sql("yp + d01 * (mz - xp) + curve * (mz - xp) * (mz - x)", "height")},
+ {sig_sql("CASE WHEN i >= 5 AND n - i >= 5 THEN x / (right_x - left_x) END", "resolving_power")}, {sig_sql("(yp + d01 * (mz - xp) + curve * (mz - xp) * (mz - x)) / nullif(noise_std, 0)", "s2n")}
+FROM placed LEFT JOIN wide USING (user_id, i) JOIN noise USING (user_id) JOIN top USING (user_id)
+WHERE final_i - start_i >= 5 AND y >= noise - 1.0 * noise_std AND (y - greatest(left_y, right_y)) / top * 100 > 0.1""")
+def q_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's trace as a profile spectrum: centroids above the noise of its minima."""
+    points = run(spark, sf_dir).where("value is not null").groupBy("user_id", "t").agg(F.max("value").alias("value"))
+    minima = sp.extremes(points, ["user_id"], "t", "value", minima=True).withColumnRenamed("value", "abundance")
+    out = profile.centroids(points, ["user_id"], "t", "value", sp.minima_noise(minima, ["user_id"]), threshold=-1.0)
+    return out.select("user_id", "apex_idx", "start_idx", "final_idx", F.round("mz", 4).alias("mz"), sig("centroid_abundance", "height"), sig("resolving_power", "resolving_power"), sig("s2n", "s2n"))
+
+
 @query(f"""WITH p AS (SELECT *, row_number() OVER w AS i, lag(value) OVER w AS b, lead(value) OVER w AS e FROM ({RUN}) WINDOW w AS (PARTITION BY user_id ORDER BY t)), a AS (SELECT user_id, i, t, value, event_id FROM p WHERE value > b AND value >= e),
-l AS (SELECT a.event_id, max(p.i) AS j FROM a JOIN p ON p.user_id = a.user_id AND p.i < a.i AND p.i >= a.i - 64 AND p.value < a.value / 2 GROUP BY a.event_id),
-r AS (SELECT a.event_id, min(p.i) AS j FROM a JOIN p ON p.user_id = a.user_id AND p.i > a.i AND p.i <= a.i + 64 AND p.value < a.value / 2 GROUP BY a.event_id),
+l AS (SELECT a.event_id, max(p.i) AS j FROM a JOIN p ON p.user_id = a.user_id AND p.i < a.i AND p.value < a.value / 2 GROUP BY a.event_id),
+r AS (SELECT a.event_id, min(p.i) AS j FROM a JOIN p ON p.user_id = a.user_id AND p.i > a.i AND p.value < a.value / 2 GROUP BY a.event_id),
 x AS (SELECT a.event_id, lo.t + (li.t - lo.t) * (a.value / 2 - lo.value) / (li.value - lo.value) AS left_t, ro.t + (ri.t - ro.t) * (a.value / 2 - ro.value) / (ri.value - ro.value) AS right_t FROM a
  LEFT JOIN l USING (event_id) LEFT JOIN r USING (event_id) LEFT JOIN p lo ON lo.user_id = a.user_id AND lo.i = l.j LEFT JOIN p li ON li.user_id = a.user_id AND li.i = l.j + 1
  LEFT JOIN p ro ON ro.user_id = a.user_id AND ro.i = r.j LEFT JOIN p ri ON ri.user_id = a.user_id AND ri.i = r.j - 1)
 SELECT event_id, round(left_t, 4) AS left_t, round(right_t, 4) AS right_t FROM x""")
 def q_half_height_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sp.half_height_widths(run(spark, sf_dir), ["user_id"], "t", "value")
+    out = profile.half_height_widths(run(spark, sf_dir), ["user_id"], "t", "value")
     return out.select("event_id", F.round("left", 4).alias("left_t"), F.round("right", 4).alias("right_t"))
 
 

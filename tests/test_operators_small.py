@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from massweave.config import Settings
 from massweave.functions import formula as fm
-from massweave.functions import similarity
-from massweave.operators import calibration, gc, joins, lc, report, search, sequence, spectrum
+from massweave.functions import lineshape, similarity
+from massweave.operators import calibration, gc, joins, lc, profile, report, search, sequence, spectrum
 from massweave.sources import libraries, sinks, text
 
 
@@ -57,13 +57,13 @@ def test_peaks_are_parabola_apexes(spark):
     assert spectrum.minima_noise(minima, ["scan"]).first().noise == 4.0
     table = spark.createDataFrame([(1, 0.5, 2.0), (2, None, 3.0), (3, 0.9, 9.0)], "i int, a double, b double")
     assert rows(spectrum.metric_filter(table, {"a": {"value": 0.4, "operator": ">="}, "b": {"value": 5, "operator": "<"}}), "i") == [(1,)]
-    at_half = spark.range(1).select(*[spectrum.line_shape(F.lit(100.5), F.lit(100.0), F.lit(1.0), F.lit(8.0), k).alias(k) for k in ("gaussian", "lorentz", "pseudovoigt")]).first()
+    at_half = spark.range(1).select(*[f(F.lit(100.5), F.lit(100.0), F.lit(1.0), F.lit(8.0)).alias(f.__name__) for f in (lineshape.gaussian, lineshape.lorentzian, lineshape.pseudo_voigt)]).first()
     assert list(at_half) == pytest.approx([4.0, 4.0, 4.0])
 
 
 def test_half_height_width_of_a_triangle(spark):
     rows_ = [(1, float(i), float(10 - abs(i - 10))) for i in range(21)]
-    got = spectrum.half_height_widths(spark.createDataFrame(rows_, "scan int, mz double, abundance double"), ["scan"], "mz", "abundance").first()
+    got = profile.half_height_widths(spark.createDataFrame(rows_, "scan int, mz double, abundance double"), ["scan"], "mz", "abundance").first()
     assert (got.left, got.right, got.resolving_power) == pytest.approx((5.0, 15.0, 1.0))
 
 
