@@ -19,7 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +48,12 @@ LIST_STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tab
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "noise", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "up", "kids", "noise", "depth", "block", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, up: Node | None, noise: bool = False) -> None:
         self.tag, self.up, self.noise, self.kids = tag, up, noise, []
+        self.depth = up.depth + 1 if up else 0
+        self.block = self if up is None or tag in BLOCK else up.block  # the nearest block that it is in, or the root
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -116,13 +118,14 @@ def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
 def parse(page: str) -> Node:
     """The page as a tree; strings are text leaves, still with character references."""
     root = at = Node("#root", None)
-    last, opened = 0, Counter()
+    last = 0
+    opened: defaultdict[str, list[Node]] = defaultdict(list)  # the open elements of each tag, so that none is looked for on the way up
 
     def up_to(node: Node) -> Node:
         """Close all that is open inside the node."""
         here = at
         while here is not node:
-            opened[here.tag] -= 1
+            opened[here.tag].pop()
             here = here.up
         return node
 
@@ -133,12 +136,9 @@ def parse(page: str) -> Node:
         if tag is None:
             continue
         if close:
-            if not opened[tag]:
-                continue
-            up = at
-            while up is not root and up.tag != tag and not (tag not in BLOCK and up.tag in BLOCK):
-                up = up.up
-            if up is not root and up.tag == tag:
+            up = opened[tag][-1] if opened[tag] else None
+            # An inline element's end doesn't cross the block that it stands in.
+            if up is not None and (tag in BLOCK or up.depth > at.block.depth):
                 at = up_to(up.up)
             continue
         if tag == "br":
@@ -149,24 +149,20 @@ def parse(page: str) -> Node:
                 at.kids.append(Node("hr", at))
             continue
         if tag in CLOSES_P:
-            up = at
-            while up is not root and up.tag not in BLOCK:
-                up = up.up
+            up = at.block
             if up.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (up.tag == "p" or tag[0] == "h"):
                 at = up_to(up.up)
             elif up is not at and up.tag in BLOCK:
                 at = up_to(up)  # inline tags left open end with their block
         if tag in LIST_SCOPE:
-            up = at
-            while up is not root and up.tag not in LIST_STOP[tag] and up.tag not in LIST_SCOPE[tag]:
-                up = up.up
+            up = max((opened[t][-1] for t in LIST_STOP[tag] | LIST_SCOPE[tag] if opened[t]), key=lambda x: x.depth, default=root)
             if up.tag in LIST_SCOPE[tag]:
                 at = up_to(up.up)
         if attributes and attributes.rstrip().endswith("/") and tag not in BLOCK and tag != "a":
             continue
-        child = Node(tag, at, noisy(tag, attributes, opened["article"] > 0))
+        child = Node(tag, at, noisy(tag, attributes, bool(opened["article"])))
         at.kids.append(child)
-        opened[tag] += 1
+        opened[tag].append(child)
         at = child
     if last < len(page):
         at.kids.append(page[last:])

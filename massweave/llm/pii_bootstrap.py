@@ -4,9 +4,10 @@ Base entities come from fixed patterns. Each is a seed: the words around it indu
 patterns (kind, words before, words after). Candidates are the unlabelled instances: runs that look like
 an identifier of a kind but fail its rules, and any other word of letters and digits that holds five
 digits or an ``@``, which belongs to no kind until a pattern gives it one. Spark scores the graph of
-patterns and instances in rounds until no pattern changes: a pattern by the share of its instances that
-are trusted, an instance by the patterns that it stands in. Candidates in patterns of high confidence
-are added, so a trusted pattern proposes whatever identifier fills its slot.
+patterns and instances in rounds until no pattern's weight changes: a pattern by the share of its instances
+that are trusted, an instance by the patterns that it stands in. Candidates in patterns of high confidence
+are added, so a trusted pattern proposes whatever identifier fills its slot. A context word is what the
+``CONTEXT_CHARS`` characters beside the span hold of it.
 
 Candidates of a kind are e-mail addresses spelled out (``name (at) host dot org``), dotted numbers that
 aren't an address, digit groups that fail the card check and telephone numbers without a plus.
@@ -19,6 +20,7 @@ confidence. Texts are read whole in linear time; the graph holds only mentions a
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -44,13 +46,13 @@ LOOSE = (
     re.compile(r"(?<![\w.+-])[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}(?:[ .-]?[0-9]{1,3})?(?![\w]|[.-][0-9])"),
     re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\) ?)?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}(?![\w]|[.-][0-9])"),
 )
-#: A filler of no kind: a word of these characters with so many digits, or with an @, and not longer than an identifier.
+#: A filler of no kind: a word of these characters with so many digits, or with an @. Longer instances are keyed by their SHA-256.
 FILLER = re.compile(r"(?<![^\s\"'(<\[=:])[A-Za-z0-9+][A-Za-z0-9@._%+/-]*+(?=[\s\"')>\],;:!?#&*$%]|$)")
-FILLER_DIGITS, FILLER_CHARS, ANY = 5, 64, -1
+FILLER_DIGITS, LONG, ANY = 5, 64, -1
 IN_FILLER, SPACE = re.compile(r"[0-9@]"), re.compile(r"\s|$")
 CONTEXT = re.compile(r"[^\s]+")
-#: A pattern is trusted from this share of trusted instances on, with so many distinct seeds; rounds end when none changes.
-TRUST, SEEDS, MAX_ROUNDS = 0.8, 3, 50
+#: A pattern is trusted from this share of trusted instances on, with so many distinct seeds; weights closer than SETTLED are equal.
+TRUST, SEEDS, SETTLED = 0.8, 3, 1e-6
 CONTEXT_CHARS = 80
 
 
@@ -117,7 +119,7 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
                     start -= 1
                 end = SPACE.search(text, one.end()).start()
                 for m in FILLER.finditer(text, start, end):
-                    if len(m[0]) <= FILLER_CHARS and ("@" in m[0] or len(DIGIT.findall(m[0])) >= FILLER_DIGITS):
+                    if "@" in m[0] or len(DIGIT.findall(m[0])) >= FILLER_DIGITS:
                         yield m.span()
         else:
             for m in LOOSE[k].finditer(text):
@@ -151,6 +153,10 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def instance(text: str) -> str:
+    return text if len(text) <= LONG else hashlib.sha256(text.encode()).hexdigest()
+
+
 def label(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
@@ -174,7 +180,7 @@ def mentions(docs: DataFrame) -> DataFrame:
                 own = base_spans(text)
                 base.append(label(own))
                 every = [(k, s, e, True) for k, s, e in own] + [(k, s, e, False) for k, s, e in loose_spans(text, own)]
-                found.append([{"kind": k, "start": s, "end": e, "seed": seed, "instance": text[s:e].lower(), "patterns": contexts(text, s, e)} for k, s, e, seed in every])
+                found.append([{"kind": k, "start": s, "end": e, "seed": seed, "instance": instance(text[s:e].lower()), "patterns": contexts(text, s, e)} for k, s, e, seed in every])
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(base, pa.string()), pa.array(found, fields)], names=["row", "doc_id", "th", "base", "mentions"])
             row += n
@@ -182,11 +188,11 @@ def mentions(docs: DataFrame) -> DataFrame:
     return in_slices(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), run, SCHEMA)
 
 
-def trusted_patterns(edges: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = MAX_ROUNDS) -> DataFrame:
+def trusted_patterns(edges: DataFrame, trust: float = TRUST, seeds: int = SEEDS, settled: float = SETTLED) -> DataFrame:
     """kind, pattern, weight of the patterns of high confidence, written. ``edges``: distinct kind, pattern, instance, seed.
 
-    An instance of no kind counts in the patterns of every kind. Scores only grow from round to round, as
-    do the trusted patterns, so the rounds end.
+    An instance of no kind counts in the patterns of every kind. Weights and the set of trusted patterns only grow
+    from round to round, and no weight passes 1, so there comes a round in which none grows by ``settled``; it is the last.
     """
     names = edges.where("seed").select("kind", "pattern").distinct()
     # Patterns without a seed can't be trusted and needn't be followed.
@@ -195,31 +201,31 @@ def trusted_patterns(edges: DataFrame, trust: float = TRUST, seeds: int = SEEDS,
     graph = written(here.union(free).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
     per = graph.groupBy("kind", "pattern").agg(F.count("*").alias("all"), F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= seeds)
     per = written(per, "pattern-counts")
-    good, n = None, 0
-    for _ in range(rounds):
+    good = None
+    while True:
         if good is None:
-            sums = per.withColumn("sure", F.col("seeds").cast("double"))
+            sums = per.withColumns({"sure": F.col("seeds").cast("double"), "before": F.lit(None).cast("double")})
         else:
             # An instance outside the seeds is as sure as its patterns together: 1 - prod(1 - weight).
             sure = graph.where(~F.col("seed")).join(good, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("weight"))))).alias("found"))
             more = graph.where(~F.col("seed")).join(sure, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.sum("found").alias("found"))
-            sums = per.join(more, ["kind", "pattern"], "left").withColumn("sure", F.col("seeds") + F.coalesce("found", F.lit(0.0)))
-        now = written(sums.where(F.col("sure") >= trust * F.col("all")).select("kind", "pattern", (F.col("sure") / (F.col("all") + 1)).alias("weight")), "patterns")
+            sums = per.join(more, ["kind", "pattern"], "left").join(good.select("kind", "pattern", F.col("weight").alias("before")), ["kind", "pattern"], "left").withColumn("sure", F.col("seeds") + F.coalesce("found", F.lit(0.0)))
+        now = written(sums.where(F.col("sure") >= trust * F.col("all")).select("kind", "pattern", (F.col("sure") / (F.col("all") + 1)).alias("weight"), "before"), "patterns")
         if good is not None:
             dropped(good)
-        good, before, n = now, n, now.count()
-        if n == before:
+        good = now
+        if not now.where(F.col("before").isNull() | (F.col("weight") - F.col("before") >= settled)).take(1):
             break
     dropped(graph, per)
     return good
 
 
-def extract(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def extract(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, settled: float = SETTLED) -> tuple[DataFrame, DataFrame]:
     """The written mentions of every document, and (row, kind, start, end) of the spans that patterns add."""
     found = written(mentions(docs), "mentions")
     each = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*").withColumn("pattern", F.explode("patterns"))
     edges = written(each.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-edges")
-    good = trusted_patterns(edges, trust, seeds, rounds)
+    good = trusted_patterns(edges, trust, seeds, settled)
     dropped(edges)
     named = good.select(F.col("kind").alias("by"), "pattern", "weight")
     hits = checked_join(each.where(~F.col("seed")), named, "pattern").where((F.col("kind") == F.col("by")) | (F.col("kind") == ANY))
@@ -227,9 +233,9 @@ def extract(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: i
     return found, best.select("row", (-F.col("by")).alias("kind"), "start", "end")
 
 
-def find(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, rounds: int = MAX_ROUNDS) -> DataFrame:
+def find(docs: DataFrame, trust: float = TRUST, seeds: int = SEEDS, settled: float = SETTLED) -> DataFrame:
     """row, doc_id, base (string), spans (array of kind number, start, end) of every document."""
-    found, more = extract(docs, trust, seeds, rounds)
+    found, more = extract(docs, trust, seeds, settled)
     added = more.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     base = F.transform(F.filter("mentions", lambda m: m["seed"]), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     return checked_join(found.select("row", "doc_id", "base", base.alias("own")), added, "row", "left").select(

@@ -11,8 +11,11 @@ Headers in other encodings than UTF-8 are read as Latin-1; names without a value
 missing digests are accepted; chunked and compressed payloads are opened for the text; its encoding is
 the header's, the page's own or UTF-8.
 
+Names of fields are read in any case; a value may hold several records, plain or as gzip members.
+
 Cases: null html is an empty payload, a null url the empty URI. Records that are no response or
-resource, or no records at all, have no derivatives. Pages of one id and equal content have equal identifiers,
+resource have no derivatives, nor do bytes that are no record or a record cut short, which ``unreadable``
+counts; the records about them are still read. Pages of one id and equal content have equal identifiers,
 repeated rows are repeated. Records are made row by row: memory is that of a slice.
 """
 
@@ -35,6 +38,9 @@ from massweave.llm.html_density import visible_text
 DATE = "1970-01-01T00:00:00Z"
 STATUS = ("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8")
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "https://iipc.github.io/warc-specifications/")
+#: Bytes of a gzip member read at a time.
+CHUNK = 1 << 16
+BETWEEN, HEAD_END, NEXT_RECORD = re.compile(rb"[\r\n]*"), re.compile(rb"\r?\n\r?\n"), re.compile(rb"(?<=\n)WARC/[0-9]")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
 
 
@@ -77,17 +83,59 @@ def headers(data: bytes) -> tuple[str, list[tuple[str, str]]]:
     return lines[0].strip(), fields
 
 
-def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """The records of a WARC file's bytes: header fields and block."""
-    out, at = [], 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(headers(data[at:end])[1])
-        n = int(fields["Content-Length"])
-        out.append((fields, data[end + 4 : end + 4 + n]))
-        at = end + 4 + n + 4
+class Fields(dict):
+    """Header fields by name; case doesn't matter."""
+
+    def __init__(self, fields: list[tuple[str, str]]) -> None:
+        super().__init__((k.lower(), v) for k, v in fields)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(str(name).lower())
+
+    def get(self, name: str, default: str | None = None):
+        return super().get(name.lower(), default)
+
+
+def members(data: bytes) -> bytes:
+    """The bytes, or what the gzip members at their start hold; a broken member ends them."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at, view = [], 0, memoryview(data)
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            while at < len(data) and not member.eof:
+                part = view[at : at + CHUNK]
+                out.append(member.decompress(part))
+                at += len(part) - len(member.unused_data)
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
+def parse(data: bytes) -> list[tuple[Fields, bytes] | int]:
+    """The records of a WARC file's bytes, gzip or plain: header fields and block.
+
+    Line ends between records don't matter. Bytes that are no record, or whose record has no length or ends early, are
+    given as their number, and reading goes on at the next line that begins a record.
+    """
+    data, out, at = members(data), [], 0
+    while (m := BETWEEN.match(data, at)) and m.end() < len(data):
+        at = m.end()
+        head = HEAD_END.search(data, at) if data.startswith(b"WARC/", at) else None
+        fields = Fields(headers(data[at : head.start()])[1] if head else [])
+        length = fields.get("content-length", "")
+        if head and length.isascii() and length.isdigit() and head.end() + int(length) <= len(data):
+            out.append((fields, data[head.end() : head.end() + int(length)]))
+            at = head.end() + int(length)
+            continue
+        again = NEXT_RECORD.search(data, at + 1)
+        end = again.start() if again else len(data)
+        out.append(end - at)
+        at = end
     return out
 
 
@@ -136,29 +184,30 @@ def page_text(payload: bytes, content_type: str) -> str:
 
 
 def derive(source: bytes) -> list[tuple[str, bytes]]:
-    """(kind, record) of the metadata and conversion records of a response or resource record; of others nothing."""
+    """(kind, record) of the metadata and conversion records of each response or resource record; of others nothing."""
     return [(kind, record(kind, *parts)) for kind, *parts in derived(source)]
 
 
 def derived(source: bytes) -> list[tuple]:
-    """The arguments of ``record`` for the two records."""
-    try:
-        (fields, block), *_ = parse(source)
-    except (ValueError, KeyError):
-        return []
-    kind = fields.get("WARC-Type", "").lower()
+    """The arguments of ``record`` for the two records of each response."""
+    return [x for one in parse(source) if not isinstance(one, int) for x in derived_of(*one)]
+
+
+def derived_of(fields: Fields, block: bytes) -> list[tuple]:
+    kind = fields.get("warc-type", "").lower()
     if kind not in ("response", "resource"):
         return []
-    uri, date = fields.get("WARC-Target-URI", "").strip("<>"), fields.get("WARC-Date", DATE)
-    refers = fields.get("WARC-Record-ID") or record_id("source", digest(source))
+    uri, date = fields.get("warc-target-uri", "").strip("<>"), fields.get("warc-date", DATE)
+    refers = fields.get("warc-record-id") or record_id("source", uri, date, digest(block))
     status, own, payload = "", [], block
     if kind == "response" and block.startswith(b"HTTP/"):
-        head, _, payload = block.partition(b"\r\n\r\n")
-        status, own = headers(head)
-    elif "Content-Type" in fields:
-        own = [("Content-Type", fields["Content-Type"])]
+        end = HEAD_END.search(block)
+        status, own = headers(block[: end.start()] if end else block)
+        payload = block[end.end() :] if end else b""
+    elif "content-type" in fields:
+        own = [("Content-Type", fields["content-type"])]
     first = {k.lower(): v for k, v in reversed(own)}
-    paid = fields.get("WARC-Payload-Digest") or digest(payload)
+    paid = fields.get("warc-payload-digest") or digest(payload)
     page = page_text(opened(payload, first), first.get("content-type", ""))
     is_text = first.get("content-type", "").lower().startswith("text/plain")
     text = (page if is_text else visible_text(page)).encode("utf-8", "surrogatepass")
@@ -186,7 +235,10 @@ def responses(pages: DataFrame) -> DataFrame:
 
 
 def derivatives(records: DataFrame) -> DataFrame:
-    """Two rows a response, of records (page_id, record) or pages: the derived record's header fields and its bytes."""
+    """Two rows a response, of records (page_id, record) or pages: the derived record's header fields and its bytes.
+
+    ``record`` may hold any number of records, plain or gzip; ``unreadable`` tells what in it is none.
+    """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     made = "record" in records.columns
     rows = records.select("page_id", "record") if made else records.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -206,5 +258,19 @@ def derivatives(records: DataFrame) -> DataFrame:
     return map_rows(rows, task, SCHEMA)
 
 
+def unreadable(records: DataFrame) -> DataFrame:
+    """page_id, runs, n_bytes: of every value of records (page_id, record), the runs of bytes that are no whole record."""
+    rows = records.select("page_id", "record")
+
+    def task():
+        def each(x: dict[str, list]) -> dict:
+            lost = [[p for p in parse(r or b"") if isinstance(p, int)] for r in x["record"]]
+            return {"page_id": x["page_id"], "runs": list(map(len, lost)), "n_bytes": list(map(sum, lost))}
+
+        return each
+
+    return map_rows(rows, task, "page_id long, runs long, n_bytes long")
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(table(spark, sf_dir, "pages")).select(*[x.split()[0] for x in SCHEMA.split(", ")[:-1]], F.sha2("record", 256).alias("record_sha256"))
