@@ -22,19 +22,28 @@ def grid(spark: SparkSession) -> DataFrame:
     return search.candidates(spark, RANGES, (50.0, 600.0), (0.0, 25.0))
 
 
-@query(f"WITH {GRID} SELECT CAST(O AS INTEGER) AS o, CAST(N AS INTEGER) AS n, CAST(S AS INTEGER) AS s, count(*) AS formulas, {sig_sql('sum(mass)', 'mass')}, {sig_sql('avg(dbe)', 'dbe')} FROM f GROUP BY O, N, S")
+@query(f"""WITH {GRID}, p AS (SELECT CAST(floor(l_extendedprice / 100) AS BIGINT) AS nominal, count(*) AS peaks FROM lineitem GROUP BY 1)
+SELECT nominal, any_value(peaks) AS peaks, count(mass) AS formulas, {sig_sql('sum(mass)', 'mass')}, {sig_sql('avg(dbe)', 'dbe')} FROM p LEFT JOIN f ON CAST(floor(mass) AS BIGINT) = nominal GROUP BY nominal""")
 def q_formula_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid(spark).groupBy(F.col("O").alias("o"), F.col("N").alias("n"), F.col("S").alias("s")).agg(F.count("*").alias("formulas"), sig(F.sum("mass"), "mass"), sig(F.avg("dbe"), "dbe"))
+    """Of the nominal mass of every peak: its peaks and the formulas of the grid that it may be searched in."""
+    (lines,) = tables(spark, sf_dir, "lineitem")
+    peaks = lines.groupBy(F.floor(F.col("l_extendedprice") / 100).alias("nominal")).agg(F.count("*").alias("peaks"))
+    own = grid(spark).groupBy(F.floor("mass").alias("nominal")).agg(F.count("*").alias("formulas"), F.sum("mass").alias("mass"), F.avg("dbe").alias("dbe"))
+    return peaks.join(own, "nominal", "left").select("nominal", "peaks", F.coalesce("formulas", F.lit(0)).cast("long").alias("formulas"), sig("mass", "mass"), sig("dbe", "dbe"))
 
 
-@query(f"""WITH {GRID}, i AS (SELECT *, 1 + C - O - S - 0.5 * (H + N) AS ai_top, C - O - S - N AS ai_low, 1 + C - O * 0.5 - S - 0.5 * (H + N) AS am_top, C - O * 0.5 - S - N AS am_low FROM f)
-SELECT C AS c, H AS h, O AS o, N AS n, S AS s, {sig_sql('dbe', 'dbe')}, {sig_sql('4 - (4 * C + H - 3 * N - 2 * O - 2 * S) * 1.0 / C', 'nosc')}, {sig_sql('H * 1.0 / C', 'h_c')},
+@query(f"""WITH f AS (SELECT p_partkey, 1 + p_size AS C, 4 + p_partkey % 59 AS H, p_partkey % 11 AS O, p_partkey % 3 AS N, p_size % 2 AS S FROM part),
+i AS (SELECT *, 1 + C * 1.0 + H * -0.5 + N * 0.5 AS dbe, C * {C} + H * {H} + O * {O} + N * {N} + S * {S} AS mass, 1 + C - O - S - 0.5 * (H + N) AS ai_top, C - O - S - N AS ai_low, 1 + C - O * 0.5 - S - 0.5 * (H + N) AS am_top, C - O * 0.5 - S - N AS am_low FROM f)
+SELECT p_partkey, {sig_sql('dbe', 'dbe')}, {sig_sql('4 - (4 * C + H - 3 * N - 2 * O - 2 * S) * 1.0 / C', 'nosc')}, {sig_sql('H * 1.0 / C', 'h_c')},
 {sig_sql('greatest(0.0, least(1.0, CASE WHEN ai_low = 0 THEN 0 ELSE ai_top / ai_low END))', 'ai')}, {sig_sql('greatest(0.0, least(1.0, CASE WHEN am_low = 0 THEN 0 ELSE am_top / am_low END))', 'ai_mod')},
 {sig_sql(f'mass + {MONO["H"]} - {ELECTRON}', 'protonated')} FROM i""")
 def q_formula_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices and masses of a formula that each part writes."""
+    (part,) = tables(spark, sf_dir, "part")
+    n = {"C": 1 + F.col("p_size"), "H": 4 + F.col("p_partkey") % 59, "O": F.col("p_partkey") % 11, "N": F.col("p_partkey") % 3, "S": F.col("p_size") % 2}
     a = F.col("atoms")
-    rows = grid(spark).select(*[F.col(x).cast("bigint").alias(x.lower()) for x in "CHONS"], "mass", "atoms")
-    return rows.select("c", "h", "o", "n", "s", sig(fm.dbe(a), "dbe"), sig(fm.nosc(a), "nosc"), sig(fm.ratio(a, "H", "C"), "h_c"), sig(fm.aromaticity(a), "ai"), sig(fm.aromaticity(a, True), "ai_mod"), sig(fm.mz(fm.neutral_mass(a), F.lit(1), F.lit("protonated")), "protonated"))
+    rows = part.select("p_partkey", fm.parse(F.concat_ws(" ", *[F.concat(F.lit(x), c.cast("string")) for x, c in n.items()])).alias("atoms"))
+    return rows.select("p_partkey", sig(fm.dbe(a), "dbe"), sig(fm.nosc(a), "nosc"), sig(fm.ratio(a, "H", "C"), "h_c"), sig(fm.aromaticity(a), "ai"), sig(fm.aromaticity(a, True), "ai_mod"), sig(fm.mz(fm.neutral_mass(a), F.lit(1), F.lit("protonated")), "protonated"))
 
 
 @query(f"""WITH {GRID}, b AS (SELECT DISTINCT round(l_extendedprice / 100, 4) AS mz FROM lineitem WHERE l_extendedprice / 100 BETWEEN 50 AND 600),

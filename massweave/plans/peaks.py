@@ -6,7 +6,7 @@ run: hours as retention time, value as m/z, their type as the kind of scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massweave.operators import calibration as cal
@@ -172,11 +172,14 @@ def q_gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.gridded(points(spark, sf_dir), 4.0).select("sample", "scan", F.col("mz").cast("int").alias("cell"), sig("intensity", "intensity"))
 
 
-@query(f"""WITH d AS ({DAYS}), s AS (SELECT DISTINCT sample, scan FROM d WHERE scan % 2 = 0), n AS (SELECT sample, count(*) AS n FROM s GROUP BY sample)
+@query(f"""WITH d AS ({DAYS}), c AS (SELECT sample, scan, count(*) AS n FROM d GROUP BY ALL), s AS (SELECT sample, scan FROM (SELECT *, sum(n) OVER w AS every, count(*) OVER w AS scans FROM c WINDOW w AS (PARTITION BY sample)) WHERE n * scans >= every), n AS (SELECT sample, count(*) AS n FROM s GROUP BY sample)
 SELECT sample, CAST(floor(mz / 4 + 0.5) * 4 AS INTEGER) AS cell, {sig_sql('sum(intensity) / any_value(n)', 'intensity')} FROM d JOIN s USING (sample, scan) JOIN n USING (sample) GROUP BY sample, cell""")
 def q_average_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = points(spark, sf_dir)
-    scans = own.where("scan % 2 = 0").select("sample", "scan").distinct()
+    # The scans with at least the sample's mean number of points.
+    counts = own.groupBy("sample", "scan").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("sample")
+    scans = counts.where("n > 0").withColumns({"every": F.sum("n").over(w), "scans": F.count("*").over(w)}).where("n * scans >= every").select("sample", "scan")
     return lc.average_spectrum(own, scans, 4.0).select("sample", F.col("mz").cast("int").alias("cell"), sig("intensity", "intensity"))
 
 
@@ -218,16 +221,20 @@ def q_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = "SELECT user_id, event_type AS kind, CAST(floor(value / 5) + 1 AS INTEGER) AS mz, sum(value) AS v FROM events GROUP BY ALL"
 
 
-@query(f"""WITH c AS ({_CELLS}), j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.mz, b.mz) AS mz, coalesce(a.v, 0) AS x, coalesce(b.v, 0) AS y FROM (SELECT * FROM c WHERE kind = 'click') a FULL JOIN (SELECT * FROM c WHERE kind = 'view') b ON a.user_id = b.user_id AND a.mz = b.mz),
-o AS (SELECT user_id, mz, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM j WHERE x > 0 AND y > 0 WINDOW w AS (PARTITION BY user_id ORDER BY mz)),
-r AS (SELECT user_id, count(*) AS n, coalesce(sum(least(y / py * px / x, x / px * py / y)), 0) / count(*) AS sr FROM o GROUP BY user_id),
-k AS (SELECT user_id, count(*) FILTER (x > 0) AS nx, sum(sqrt(x * y) * power(mz, 6)) / sqrt(sum(x * power(mz, 6)) * sum(y * power(mz, 6))) AS wc, sum(sqrt(x * y) * power(mz, 2.6)) / sqrt(sum(x * power(mz, 2.6)) * sum(y * power(mz, 2.6))) AS wn FROM j GROUP BY user_id)
-SELECT user_id, {sig_sql('CASE WHEN n IS NULL THEN 0.0 ELSE (nx * wc + n * sr) / (nx + n) END', 'stein_scott')}, {sig_sql('CASE WHEN n IS NULL THEN 0.0 ELSE (nx * wn + n * sr) / (nx + n) END', 'stein_scott_nist')} FROM k LEFT JOIN r USING (user_id)""")
+@query(f"""WITH c AS ({_CELLS}), k AS (SELECT DISTINCT user_id, kind FROM c), g AS (SELECT a.user_id, a.kind AS query, b.kind AS ref FROM k a JOIN k b USING (user_id) WHERE a.kind <> b.kind),
+j AS (SELECT user_id, query, ref, mz, sum(x) AS x, sum(y) AS y FROM (SELECT g.*, mz, v AS x, 0 AS y FROM g JOIN c ON c.user_id = g.user_id AND c.kind = query UNION ALL SELECT g.*, mz, 0, v FROM g JOIN c ON c.user_id = g.user_id AND c.kind = ref) GROUP BY ALL),
+o AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM j WHERE x > 0 AND y > 0 WINDOW w AS (PARTITION BY user_id, query, ref ORDER BY mz)),
+r AS (SELECT user_id, query, ref, count(*) AS n, coalesce(sum(least(y / py * px / x, x / px * py / y)), 0) / count(*) AS sr FROM o GROUP BY ALL),
+t AS (SELECT user_id, query, ref, count(*) FILTER (x > 0) AS nx, sum(sqrt(x * y) * power(mz, 6)) / sqrt(sum(x * power(mz, 6)) * sum(y * power(mz, 6))) AS wc, sum(sqrt(x * y) * power(mz, 2.6)) / sqrt(sum(x * power(mz, 2.6)) * sum(y * power(mz, 2.6))) AS wn FROM j GROUP BY ALL)
+SELECT user_id, query, ref, {sig_sql('CASE WHEN n IS NULL THEN 0.0 ELSE (nx * wc + n * sr) / (nx + n) END', 'stein_scott')}, {sig_sql('CASE WHEN n IS NULL THEN 0.0 ELSE (nx * wn + n * sr) / (nx + n) END', 'stein_scott_nist')} FROM t LEFT JOIN r USING (user_id, query, ref)""")
 def q_stein_scott(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two kinds of a user's events as query and reference."""
     from massweave.functions.similarity import stein_scott
 
     (events,) = tables(spark, sf_dir, "events")
-    cells = events.groupBy("user_id", "event_type", (F.floor(F.col("value") / 5) + 1).cast("int").alias("mz")).agg(F.sum("value").alias("s"))
-    side = lambda kind, name: cells.where(F.col("event_type") == kind).select("user_id", "mz", F.col("s").alias(name))
-    pairs = side("click", "x").join(side("view", "y"), ["user_id", "mz"], "full").fillna(0.0, ["x", "y"])
-    return stein_scott(pairs, ["user_id"]).select("user_id", sig("stein_scott", "stein_scott"), sig("stein_scott_nist", "stein_scott_nist"))
+    cells = events.groupBy("user_id", "event_type", (F.floor(F.col("value") / 5) + 1).cast("int").alias("mz")).agg(F.sum("value").alias("v"))
+    kinds = cells.select("user_id", F.col("event_type").alias("query")).distinct()
+    pairs = kinds.join(kinds.withColumnRenamed("query", "ref"), "user_id").where("query != ref")
+    side = lambda name, x, y: pairs.join(cells.withColumnRenamed("event_type", name), ["user_id", name]).select("user_id", "query", "ref", "mz", x.alias("x"), y.alias("y"))
+    both = side("query", F.col("v"), F.lit(0.0)).union(side("ref", F.lit(0.0), F.col("v"))).groupBy("user_id", "query", "ref", "mz").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return stein_scott(both, ["user_id", "query", "ref"]).select("user_id", "query", "ref", sig("stein_scott", "stein_scott"), sig("stein_scott_nist", "stein_scott_nist"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from massweave.operators import sequence as seq
 from massweave.operators import spectrum as sp
 from massweave.operators import persistence, suppress
-from massweave.plans.registry import query, seconds, sig, sig_sql, tables
+from massweave.plans.registry import ORACLES, query, seconds, sig, sig_sql, tables
 
 TRACE = "(SELECT user_id, event_id, event_type, epoch(ts) / 3600.0 AS t, value FROM events)"
 
@@ -239,17 +239,15 @@ def q_kendrick_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Z = "power(i / 4.0, 2)"
 
 
-@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity AS h, l_extendedprice / 100000.0 AS fwhm, l_extendedprice AS c FROM lineitem WHERE l_quantity >= 45), x AS (SELECT *, unnest(range(-8, 9)) AS i FROM p)
+@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity AS h, l_extendedprice / 100000.0 AS fwhm, l_extendedprice AS c FROM lineitem), x AS (SELECT *, unnest(range(-8, 9)) AS i FROM p)
 SELECT l_orderkey, l_linenumber, {sig_sql("c + fwhm * i / 4", "mz")}, {sig_sql(f"h * exp(-4 * ln(2) * {_Z})", "gaussian")}, {sig_sql(f"h / (1 + 4 * {_Z})", "lorentzian")}, {sig_sql(f"0.5 * h / (1 + 4 * {_Z}) + 0.5 * h * exp(-4 * ln(2) * {_Z})", "pseudo_voigt")} FROM x""")
 def q_line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated profiles of the most abundant peaks at a resolving power of 100,000."""
-    return profiles(spectrum(spark, sf_dir).where("abundance >= 45"))
+    """Simulated profiles of every peak at a resolving power of 100,000."""
+    return profiles(spectrum(spark, sf_dir))
 
 
-@query()
-def q_line_shapes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated profiles of every peak."""
-    return profiles(spectrum(spark, sf_dir))
+#: The name that it had beside a query over part of the table.
+q_line_shapes_all = query(ORACLES["q_line_shapes"], "q_line_shapes_all")(q_line_shapes)
 
 
 def profiles(peaks: DataFrame) -> DataFrame:
