@@ -36,6 +36,8 @@ class Apex:
     left: float | None
     before: tuple[float, float]
     after: tuple[float, float]
+    left_x: float
+    right_x: float | None = None
     right_index: int | None = None
     right_base: float | None = None
     right: float | None = None
@@ -51,6 +53,7 @@ class Scan:
     last: tuple[float, float, tuple] | None = None
     before: tuple[float, float] | None = None
     rise: int = 0  # where the strict rise that the last point ends began
+    rise_x: float = 0.0
     base: float = 0.0  # where the rise that may have level steps began
     stack: list[float] = field(default_factory=list)
     places: list[list] = field(default_factory=list)
@@ -61,7 +64,7 @@ class Scan:
 
     def feed(self, x: float, y: float, row: tuple) -> Iterator[Apex]:
         if self.last is None:
-            self.base = y
+            self.base, self.rise_x = y, x
         else:
             self.step(x, y)
         if self.places:
@@ -80,7 +83,7 @@ class Scan:
         px, py, row = self.last
         if self.before and py > self.before[1] and (py > y if self.strict else py >= y):
             half = py / 2
-            apex = Apex(row, self.n - 1, self.rise, self.base, None, self.before, (x, y))
+            apex = Apex(row, self.n - 1, self.rise, self.base, None, self.before, (x, y), self.rise_x)
             k = bisect_left(self.stack, half) - 1
             if k >= 0:
                 low, (at, nx, ny) = self.stack[k], self.places[k]
@@ -89,14 +92,14 @@ class Scan:
             self.falling = self.sinking = apex
             self.found.append(apex)
         if self.falling and self.falling.index < self.n - 1 and not y < py:
-            self.falling.right_index, self.falling = self.n - 1, self.closed(self.falling)
+            self.falling.right_index, self.falling.right_x, self.falling = self.n - 1, px, self.closed(self.falling)
         if self.sinking and y > py:
             self.sinking.right_base, self.sinking = py, self.closed(self.sinking)
         while self.waiting and -self.waiting[0][0] > y:
             half, _, apex = heapq.heappop(self.waiting)
             apex.right = px + (x - px) * (-half - py) / (y - py)
             self.closed(apex)
-        self.rise = self.rise if y > py else self.n
+        self.rise, self.rise_x = (self.rise, self.rise_x) if y > py else (self.n, x)
         self.base = self.base if y >= py else y
 
     @staticmethod
@@ -105,7 +108,7 @@ class Scan:
 
     def end(self) -> Iterator[Apex]:
         if self.falling:
-            self.falling.right_index = self.n - 1
+            self.falling.right_index, self.falling.right_x = self.n - 1, self.last[0]
         if self.sinking:
             self.sinking.right_base = self.last[1]
         yield from self.found
@@ -230,3 +233,12 @@ def centroids(points: DataFrame, keys: list[str], mz: str = "mz", abundance: str
     kept = found.join(top, keys) if keys else found.crossJoin(top)
     kept = kept.where((F.col("abundance") >= limit) & ((F.col("abundance") - F.col("_base")) / F.col("_top") * 100 > prominence))
     return kept.select(*keys, "mz", "apex_mz", "abundance", "centroid_abundance", "resolving_power", *extra, "start_idx", "apex_idx", "final_idx")
+
+
+def extents(points: DataFrame, keys: list[str], x: str, y: str, least_points: int = 5) -> DataFrame:
+    """keys, apex_x, apex_y, start_x, final_x of every apex that rises and falls strictly over ``least_points`` steps."""
+    own = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    names = ("apex_x", "apex_y", "start_x", "final_x")
+    schema = T.StructType([*(own.schema[k] for k in keys), *(T.StructField(n, T.DoubleType()) for n in names), T.StructField("_steps", T.LongType())])
+    out = lambda a, _: (*a.row, a.left_x, a.right_x, a.right_index - a.left_index)
+    return scanned(own, keys, "_x", "_y", 0, True, out, schema).where(F.col("_steps") >= least_points).drop("_steps")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from massweave.operators import sequence as seq
 from massweave.operators import spectrum as sp
-from massweave.operators import persistence, suppress
+from massweave.operators import deconvolution, persistence, suppress
 from massweave.plans.registry import ORACLES, query, seconds, sig, sig_sql, tables
 
 TRACE = "(SELECT user_id, event_id, event_type, epoch(ts) / 3600.0 AS t, value FROM events)"
@@ -211,6 +211,16 @@ def q_mass_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persistence.find_features(points, ["sample"], "mz", "rt", "intensity", 0.01, 0.05, 0.05, 14.0)
 
 
+@query()
+def q_gc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compounds of every line number's weekly price cells: entities with their chromatograms' peaks."""
+    (lines,) = tables(spark, sf_dir, "lineitem")
+    week = F.floor(F.datediff("l_shipdate", F.lit("1990-01-01")) / 7).cast("double")
+    points = lines.select(F.col("l_linenumber").alias("sample"), week.alias("rt"), F.floor(F.col("l_extendedprice") / 5000).cast("int").alias("mz"), F.col("l_quantity").alias("intensity"))
+    entities, _ = deconvolution.deconvolved(points, 2.0, 3, 0.01, 0.01, 8.0)
+    return entities.select("sample", "rt", sig("tic", "tic"), "start_rt", "final_rt", sig("area", "area"), "n_ions")
+
+
 @query()
 def q_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress.persistence0(trace(spark, sf_dir), ["user_id"], "t", "value")
