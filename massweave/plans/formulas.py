@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from massweave.functions import formula as fm
 from massweave.functions.chem import ELECTRON, MONO
-from massweave.operators import report, search
+from massweave.operators import priority, report, search
 from massweave.plans.registry import query, sig, sig_sql, tables
 
 RANGES = [("C", 1, 30), ("H", 4, 62), ("O", 0, 10), ("N", 0, 2), ("S", 0, 1)]
@@ -151,3 +151,16 @@ def q_grid_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     (part,) = tables(spark, sf_dir, "part")
     pairs = search.atom_grid(spark, [("c", 1, 40), ("h", 4, 82)]).where("h <= 2 * c + 2").select(F.col("c").cast("bigint").alias("c"), F.col("h").cast("bigint").alias("h"))
     return pairs.exceptAll(part.select(F.col("p_size").cast("bigint").alias("c"), (2 * F.col("p_size")).cast("bigint").alias("h")).distinct()).distinct()
+
+
+@query()
+def q_priority_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line number a spectrum whose peaks are the formulas its parts write, off by a few ppm: classes assigned in turns."""
+    lines, part = tables(spark, sf_dir, "lineitem", "part")
+    n = {"C": 1 + F.col("p_size") % 30, "H": 4 + F.col("p_partkey") % 47, "O": F.col("p_partkey") % 11, "N": F.col("p_size") % 2}
+    mass = fm.mz(fm.neutral_mass(F.create_map(*[x for k, c in n.items() for x in (F.lit(k), c.cast("int"))])), F.lit(1), F.lit("protonated"))
+    off = lines.groupBy(F.col("l_linenumber").alias("spectrum"), F.col("l_partkey").alias("p_partkey")).agg(F.avg(F.col("l_discount") - F.col("l_tax")).alias("_off"), F.sum("l_quantity").alias("abundance"))
+    peaks = off.join(part.select("p_partkey", mass.alias("_mz")), "p_partkey").select("spectrum", F.col("p_partkey").alias("peak_idx"), (F.col("_mz") * (1 + F.col("_off") * 4e-5)).alias("mz"), "abundance")
+    forms = search.candidates(spark, [("C", 1, 30), ("H", 4, 62), ("O", 0, 10), ("N", 0, 1)], (50.0, 600.0), (0.0, 25.0))
+    got = priority.assigned(peaks, forms, ["spectrum"], [("protonated", None)], 1, (-5.0, 5.0), 3.0, 3)
+    return got.select("spectrum", "peak_idx", fm.text(F.col("atoms")).alias("formula"), "class", "turn", "best", sig(F.round("error_ppm", 3), "error_ppm"))
