@@ -1,33 +1,18 @@
-"""Calibration by least squares from sums: every spectrum's fit is one aggregate, solved in closed form."""
+"""Calibration by least squares: the terms of every spectrum's fit come from aggregates."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from massweave.operators.recalibration import orthogonal_fit
+
 #: Frequencies are divided by it, so that the sums' matrix is well scaled.
 SCALE = 1e5
 
 
-def determinant(m: list[list[Column]]) -> Column:
-    if len(m) == 1:
-        return m[0][0]
-    out = F.lit(0.0)
-    for k, first in enumerate(m[0]):
-        minor = [row[:k] + row[k + 1 :] for row in m[1:]]
-        out = out + (-1 if k % 2 else 1) * first * determinant(minor)
-    return out
-
-
-def least_squares(points: DataFrame, keys: list[str], terms: list[Column], y: Column, names: list[str]) -> DataFrame:
-    """keys and one coefficient a term (null where the points don't determine them), by Cramer's rule on the normal equations."""
-    n = len(terms)
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = points.groupBy(*keys).agg(*[F.sum(terms[i] * terms[j]).alias(f"_s{i}{j}") for i, j in pairs], *[F.sum(t * y).alias(f"_y{i}") for i, t in enumerate(terms)])
-    m = [[F.col(f"_s{min(i, j)}{max(i, j)}") for j in range(n)] for i in range(n)]
-    whole = F.nullif(determinant(m), F.lit(0.0))
-    with_y = lambda k: [[F.col(f"_y{i}") if j == k else m[i][j] for j in range(n)] for i in range(n)]
-    return sums.select(*keys, *[(determinant(with_y(k)) / whole).alias(name) for k, name in enumerate(names)])
+#: Coefficients by orthogonal terms; null where the points don't determine them.
+least_squares = orthogonal_fit
 
 
 def frequency_terms(kind: str) -> tuple[list[Column], list[str]]:
@@ -48,6 +33,14 @@ def frequency_calibrated(peaks: DataFrame, fit: DataFrame, keys: list[str]) -> D
     return peaks.join(fit, keys, "left").withColumn("mz_cal", F.col("a") * u + F.col("b") * u * u + F.col("c")).drop("a", "b", "c")
 
 
+def frequency_recalibrated(peaks: DataFrame, points: DataFrame, keys: list[str], kind: str = "ledford") -> DataFrame:
+    """``mz_cal`` of peaks (mz, frequency) where the fit to points (mz, frequency, mz_calc) lowers their error, else the m/z."""
+    fit = frequency_fit(points, keys, kind)
+    after = frequency_calibrated(points, fit, keys).groupBy(*keys).agg(rms_ppm("mz").alias("_before"), rms_ppm().alias("_after"))
+    out = frequency_calibrated(peaks, fit, keys).join(after, keys, "left")
+    return out.withColumn("mz_cal", F.when(F.col("_after") < F.col("_before"), F.col("mz_cal")).otherwise(F.col("mz"))).drop("_before", "_after")
+
+
 def rms_ppm(mz: str = "mz_cal", calc: str = "mz_calc") -> Column:
     error = (F.col(mz) - F.col(calc)) / F.col(calc) * 1e6
     return F.sqrt(F.avg(error * error))

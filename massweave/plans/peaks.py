@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massweave.operators import calibration as cal
-from massweave.operators import joins, lc, profile
+from massweave.operators import fits, joins, lc, profile
+from massweave.operators import recalibration as rc
 from massweave.operators import spectrum as sp
 from massweave.plans.registry import query, seconds, sig, sig_sql, tables
 
@@ -238,3 +239,66 @@ def q_stein_scott(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda name, x, y: pairs.join(cells.withColumnRenamed("event_type", name), ["user_id", name]).select("user_id", "query", "ref", "mz", x.alias("x"), y.alias("y"))
     both = side("query", F.col("v"), F.lit(0.0)).union(side("ref", F.lit(0.0), F.col("v"))).groupBy("user_id", "query", "ref", "mz").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     return stein_scott(both, ["user_id", "query", "ref"]).select("user_id", "query", "ref", sig("stein_scott", "stein_scott"), sig("stein_scott_nist", "stein_scott_nist"))
+
+
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks off their reference by parts of a discount and a tax."""
+    mz = F.col("mz")
+    return spectra(spark, sf_dir).withColumns({"ref_mz": mz * (1 + F.col("l_tax") * 1e-5), "mz": mz * (1 + F.col("l_discount") * 1e-5)}).withColumn("error_ppm", (F.col("mz") - F.col("ref_mz")) / F.col("ref_mz") * 1e6)
+
+
+_SHIFTED = f"SELECT scan, l_orderkey, mz * (1 + l_discount * 1e-5) AS mz, mz * (1 + l_tax * 1e-5) AS ref_mz FROM ({SPECTRUM})"
+
+
+@query(f"""WITH p AS ({_SHIFTED}), w AS (SELECT scan, mz / 1000 AS x, ref_mz - mz AS d, 1 / (ref_mz * ref_mz) AS w FROM p WHERE mz BETWEEN 300 AND 700),
+m AS (SELECT scan, sum(w * x) / sum(w) AS mx, sum(w * d) / sum(w) AS md FROM w GROUP BY scan), b AS (SELECT scan, any_value(mx) AS mx, any_value(md) AS md, sum(w * (x - mx) * (d - md)) / sum(w * (x - mx) * (x - mx)) AS k FROM w JOIN m USING (scan) GROUP BY scan)
+SELECT scan, l_orderkey, round(CASE WHEN mz BETWEEN 300 AND 700 THEN mz + md + k * (mz / 1000 - mx) ELSE mz END, 6) AS mz_cal FROM p LEFT JOIN b USING (scan)""")
+def q_recalibrate_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of least ppm error between 300 and 700, for the peaks there."""
+    points = shifted(spark, sf_dir)
+    fit = rc.mz_fit(points.where(F.col("mz").between(300, 700)), ["scan"])
+    return rc.mz_calibrated(points, fit, ["scan"], (300, 700)).select("scan", "l_orderkey", F.round("mz_cal", 6).alias("mz_cal"))
+
+
+@query()
+def q_recalibrate_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error ranges from each spectrum's density of errors; the points inside make the fit, outliers of which go in rounds."""
+    points = shifted(spark, sf_dir)
+    ranges = rc.error_ranges(points, ["scan"])
+    fit = rc.robust_fit(rc.chosen(points, ranges, ["scan"]), ["scan"], 2)
+    return rc.mz_calibrated(points, fit, ["scan"]).select("scan", "l_orderkey", F.round("mz_cal", 5).alias("mz_cal"))
+
+
+@query(f"""WITH p AS (SELECT scan, mz, avg(mz * (1 + l_tax * 1e-5)) AS mz_calc, 1e8 / (mz * (1 + avg(l_discount) * 1e-5)) AS f FROM ({SPECTRUM}) GROUP BY scan, mz), o AS (SELECT *, 1e5 / f AS u, row_number() OVER (PARTITION BY scan ORDER BY mz) - 1 AS i, count(*) OVER (PARTITION BY scan) AS n FROM p),
+g AS (SELECT *, (n - 1 - 400) // 400 AS top, unnest(CASE WHEN i % 400 = 0 THEN [i // 400, i // 400 - 1] ELSE [i // 400] END) AS b FROM o WHERE n > 400), k AS (SELECT * FROM g WHERE b >= 0 AND b <= top AND i <= (b + 1) * 400),
+s AS (SELECT scan, b, (sum(u * mz_calc) * sum(power(u, 4)) - sum(u * u * mz_calc) * sum(power(u, 3))) / (sum(u * u) * sum(power(u, 4)) - power(sum(power(u, 3)), 2)) AS c1,
+ (sum(u * u) * sum(u * u * mz_calc) - sum(power(u, 3)) * sum(u * mz_calc)) / (sum(u * u) * sum(power(u, 4)) - power(sum(power(u, 3)), 2)) AS c2 FROM k GROUP BY scan, b)
+SELECT scan, round(mz, 4) AS mz, round(coalesce(c1 * u + c2 * u * u, mz), 3) AS mz_cal FROM o LEFT JOIN s ON s.scan = o.scan AND s.b = least(o.i // 400, (n - 1 - 400) // 400)""".replace("SELECT scan, round(mz, 4)", "SELECT o.scan, round(mz, 4)"))
+def q_step_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits over 400 consecutive points each."""
+    points = spectra(spark, sf_dir).groupBy("scan", "mz").agg(F.avg(F.col("mz") * (1 + F.col("l_tax") * 1e-5)).alias("mz_calc"), F.avg("l_discount").alias("_d"))
+    points = points.withColumn("frequency", 1e8 / (F.col("mz") * (1 + F.col("_d") * 1e-5))).drop("_d")
+    out = rc.step_calibrated(points.select("scan", "mz", "frequency"), points, ["scan"], 400)
+    return out.select("scan", F.round("mz", 4).alias("mz"), F.round("mz_cal", 3).alias("mz_cal"))
+
+
+@query(f"""WITH v AS (SELECT scan, (mz - ref_mz) / ref_mz * 1e6 AS v FROM ({_SHIFTED})), s AS (SELECT scan, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * power(count(*)::DOUBLE, -0.2) AS b FROM v GROUP BY scan),
+g AS (SELECT *, unnest(range(200)) AS place FROM s), x AS (SELECT *, lo - 3 * b + place * (hi - lo + 6 * b) / 199 AS x FROM g)
+SELECT scan, CAST(place AS INTEGER) AS place, {sig_sql("sum(exp(-0.5 * power((x - v) / b, 2))) / any_value(n * b * sqrt(2 * pi()))", "density")} FROM x JOIN v USING (scan) GROUP BY scan, place""")
+def q_error_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rc.density(shifted(spark, sf_dir), ["scan"], "error_ppm").select("scan", "place", sig("density", "density"))
+
+
+@query()
+def q_power_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of a resolving power that is usual in their spectrum."""
+    peaks = spectra(spark, sf_dir).withColumn("resolving_power", 1e8 * (1 + F.col("l_tax") * F.col("abundance") / 50) / F.col("mz"))
+    return rc.resolving_power_filter(peaks, ["scan"], 1.5).select("scan", "l_orderkey", sig("resolving_power", "resolving_power"))
+
+
+@query()
+def q_peak_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's fortnight as a peak over hours: pseudo-Voigt shapes."""
+    points = run(spark, sf_dir).withColumn("fortnight", F.floor(F.col("t") / 336))
+    got = fits.fitted(points, ["user_id", "fortnight"], "t", "value", "pseudo_voigt")
+    return got.select("user_id", "fortnight", *[sig(c, c) for c in ("centre", "fwhm", "height", "gamma", "rms")])
