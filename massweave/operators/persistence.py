@@ -179,6 +179,19 @@ def features_2d(cells: DataFrame, keys: list[str], x: str, y: str, height: str,
     return joined.select(*[F.col(f"f.{k}") for k in keys], x, y, "birth", death.alias("death"), (F.col("birth") - death).alias("persistence"))
 
 
+def features_1d(points: DataFrame, keys: list[str], x: str, height: str, tile: int = 8192) -> DataFrame:
+    """keys, x, birth, death and persistence of the peaks of a sampled line: a grid of one row, whose index is the order of x.
+
+    Points of one x are taken in the order of their heights. Rows with a null x or a null or NaN height are left out.
+    """
+    shared_folder(points.sparkSession)
+    rows = points.select(*keys, x, F.col(height).cast("double").alias("_h")).where(F.col(x).isNotNull() & F.col("_h").isNotNull() & ~F.isnan("_h"))
+    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(x, "_h")) - 1).checkpoint()
+    found = features_2d(placed.withColumn("_j", F.lit(0)), keys, "_i", "_j", "_h", tile)
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys] + [F.col("f._i") == F.col("p._i")]
+    return found.alias("f").join(placed.alias("p"), same).select(*[F.col(f"f.{k}") for k in keys], F.col(f"p.{x}"), "birth", "death", "persistence")
+
+
 def ranked(points: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
     """The place, from 0, of a column's value among the distinct values of its keys: the index of a grid's axis."""
     axis = points.select(*keys, column).distinct()

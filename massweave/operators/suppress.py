@@ -123,43 +123,6 @@ def chain_average(df: DataFrame, x: str, ppm: float, keys: list[str], aggs: list
     return gap_components(df, x, F.col(x) * ppm * 1e-6, keys, "_c").groupBy(*keys, "_c").agg(F.avg(x).alias(x), F.count("*").alias("n"), *aggs).drop("_c")
 
 
-def persistence0(df: DataFrame, keys: list[str], x: str, height: str) -> DataFrame:
-    """Zero-dimensional persistence of a sampled line: birth height, death height of every local maximum."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x, kind="stable")
-        h = pdf[height].to_numpy(float)
-        n = len(h)
-        parent, birth, out = [-1] * n, [0.0] * n, []
-
-        def find(a: int) -> int:
-            while parent[a] != a:
-                parent[a] = parent[parent[a]]
-                a = parent[a]
-            return a
-
-        for i in sorted(range(n), key=lambda k: (-h[k], k)):
-            parent[i], birth[i] = i, h[i]
-            for j in (i - 1, i + 1):
-                if 0 <= j < n and parent[j] >= 0:
-                    a, b = find(i), find(j)
-                    if a != b:
-                        if (birth[a], -a) < (birth[b], -b):
-                            a, b = b, a
-                        if birth[b] > h[i]:
-                            out.append((b, birth[b], h[i]))
-                        parent[b] = a
-        if n:
-            top = int(np.argmax(h))
-            out.append((top, h[top], h.min()))
-        got = pd.DataFrame(out, columns=["_i", "birth", "death"])
-        rows = pdf.iloc[got["_i"].to_numpy(int)][[*keys, x]].reset_index(drop=True)
-        return rows.assign(birth=got.birth, death=got.death, persistence=got.birth - got.death)
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, x]) + ", birth double, death double, persistence double")
-
-
 def dbscan(df: DataFrame, keys: list[str], dims: list[str], eps: float, min_points: int, scale: bool = True) -> DataFrame:
     """Cluster numbers within each group, -1 for noise; dimensions are standardised first if asked."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)

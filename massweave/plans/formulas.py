@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from massweave.functions import formula as fm
 from massweave.functions.chem import ELECTRON, MONO
-from massweave.operators import priority, report, search
+from massweave.operators import filters, priority, report, search
 from massweave.plans.registry import query, sig, sig_sql, tables
 
 RANGES = [("C", 1, 30), ("H", 4, 62), ("O", 0, 10), ("N", 0, 2), ("S", 0, 1)]
@@ -164,3 +164,16 @@ def q_priority_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = search.candidates(spark, [("C", 1, 30), ("H", 4, 62), ("O", 0, 10), ("N", 0, 1)], (50.0, 600.0), (0.0, 25.0))
     got = priority.assigned(peaks, forms, ["spectrum"], [("protonated", None)], 1, (-5.0, 5.0), 3.0, 3)
     return got.select("spectrum", "peak_idx", fm.text(F.col("atoms")).alias("formula"), "class", "turn", "best", sig(F.round("error_ppm", 3), "error_ppm"))
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT l_linenumber AS scan, row_number() OVER (PARTITION BY l_linenumber ORDER BY mz) - 1 AS i, mz FROM (SELECT DISTINCT l_linenumber, l_extendedprice / 100.0 AS mz FROM lineitem)),
+m AS (SELECT a.scan, a.i, b.i AS j, abs(b.mz - (a.mz + {filters.CH2})) AS gap FROM p a JOIN p b ON a.scan = b.scan AND b.mz BETWEEN a.mz + {filters.CH2} - 0.002 AND a.mz + {filters.CH2} + 0.002),
+u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY scan, i ORDER BY gap, j) = 1), l AS MATERIALIZED (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY scan, j ORDER BY gap, i) = 1),
+w(scan, chain, i, place) AS (SELECT scan, i, i, 0::BIGINT FROM p WHERE (scan, i) NOT IN (SELECT (scan, j) FROM l) UNION ALL SELECT w.scan, w.chain, l.j, w.place + 1 FROM w JOIN l ON l.scan = w.scan AND l.i = w.i)
+SELECT scan, i AS peak_idx, chain, place, count(*) OVER (PARTITION BY scan, chain) AS length FROM w""")
+def q_kendrick_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of a line number one CH2 apart, chained."""
+    (lines,) = tables(spark, sf_dir, "lineitem")
+    peaks = lines.select(F.col("l_linenumber").alias("scan"), (F.col("l_extendedprice") / 100.0).alias("mz")).distinct()
+    peaks = peaks.withColumn("peak_idx", (F.row_number().over(Window.partitionBy("scan").orderBy("mz")) - 1).cast("long"))
+    return filters.kendrick_chains(peaks, ["scan"], tolerance=0.002)

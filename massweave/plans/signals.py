@@ -221,9 +221,14 @@ def q_gc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.select("sample", "rt", sig("tic", "tic"), "start_rt", "final_rt", sig("area", "area"), "n_ions")
 
 
-@query()
+@query(f"""WITH p AS MATERIALIZED (SELECT user_id, t, value AS h, row_number() OVER (PARTITION BY user_id ORDER BY t, value) AS i FROM {TRACE} WHERE value IS NOT NULL),
+ends AS (SELECT a.user_id, a.i, max(b.i) FILTER (b.i < a.i) AS l, min(b.i) FILTER (b.i > a.i) AS r FROM p a JOIN p b ON a.user_id = b.user_id AND (b.h > a.h OR b.h = a.h AND b.i < a.i) GROUP BY ALL),
+lows AS (SELECT e.user_id, e.i, min(p.h) FILTER (p.i BETWEEN l AND e.i) AS left_low, min(p.h) FILTER (p.i BETWEEN e.i AND r) AS right_low FROM ends e JOIN p ON p.user_id = e.user_id GROUP BY ALL)
+SELECT p.user_id, round(t, 4) AS t, h AS birth, coalesce(greatest(left_low, right_low), least_h) AS death, h - coalesce(greatest(left_low, right_low), least_h) AS persistence
+FROM p LEFT JOIN lows USING (user_id, i) JOIN (SELECT user_id, min(h) AS least_h FROM p GROUP BY user_id) USING (user_id) WHERE greatest(left_low, right_low) IS NULL OR greatest(left_low, right_low) < h""")
 def q_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppress.persistence0(trace(spark, sf_dir), ["user_id"], "t", "value")
+    found = persistence.features_1d(trace(spark, sf_dir), ["user_id"], "t", "value")
+    return found.select("user_id", F.round("t", 4).alias("t"), "birth", "death", "persistence")
 
 
 @query()
