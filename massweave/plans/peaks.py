@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massweave.operators import calibration as cal
-from massweave.operators import fits, joins, lc, profile
+from massweave.operators import fits, joins, lc, profile, workflow
 from massweave.operators import recalibration as rc
 from massweave.operators import spectrum as sp
 from massweave.plans.registry import query, seconds, sig, sig_sql, tables
@@ -302,3 +302,16 @@ def q_peak_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = run(spark, sf_dir).withColumn("fortnight", F.floor(F.col("t") / 336))
     got = fits.fitted(points, ["user_id", "fortnight"], "t", "value", "pseudo_voigt")
     return got.select("user_id", "fortnight", *[sig(c, c) for c in ("centre", "fwhm", "height", "gamma", "rms")])
+
+
+@query()
+def q_lc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of event a run over days: features with the bounds, area and width of their peaks."""
+    (events,) = tables(spark, sf_dir, "events")
+    day = F.floor(seconds() / 86400)
+    rows = events.where("value is not null").select(F.col("event_type").alias("sample"), day.alias("scan"), (100.0 + F.floor(F.col("value") / 10) * 10).alias("mz"), F.col("value").alias("intensity"))
+    scans = rows.select("sample", "scan", F.col("scan").cast("double").alias("rt")).distinct()
+    points = rows.groupBy("sample", "scan", "mz").agg(F.sum("intensity").alias("intensity"))
+    found = workflow.features(points, scans, 0.01, 0.05, 0.02, 2.0)
+    whole = workflow.integrated(found, points, scans, 1000.0, 3, drop_if_fail=False)
+    return whole.select("sample", "mf_id", "mz", "rt", sig("intensity", "intensity"), "start_rt", "final_rt", sig("area", "area"), sig("half_height_width", "half_height_width"))
