@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massweave.operators import fits
 from massweave.operators.recalibration import orthogonal_fit
 
 #: Frequencies are divided by it, so that the sums' matrix is well scaled.
@@ -59,3 +60,15 @@ def error_corrected(peaks: DataFrame, fit: DataFrame, keys: list[str]) -> DataFr
     names = [c for c in fit.columns if c not in keys]
     error = F.coalesce(sum((F.col(c) * F.pow(x, F.lit(int(c[1:]))) for c in names), F.lit(0.0)), F.lit(0.0))
     return peaks.join(fit, keys, "left").withColumn("mz_cal", F.col("mz") / (1 + error * 1e-6)).drop(*names)
+
+
+def magnetron_frequency(peaks: DataFrame, keys: list[str], most: float = 50.0, bins: int = 300) -> DataFrame:
+    """keys, magnetron_frequency: the centre of the Gaussian fitted to the histogram of steps below ``most`` between neighbouring peaks' frequencies."""
+    step = F.col("frequency") - F.lag("frequency").over(Window.partitionBy(*keys).orderBy("frequency"))
+    steps = peaks.select(*keys, step.alias("_d")).where(F.col("_d") < most)
+    span = steps.groupBy(*keys).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).where("_hi > _lo")
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    counts = steps.join(span, keys).groupBy(*keys, F.least(F.floor((F.col("_d") - F.col("_lo")) / width), F.lit(bins - 1)).alias("_bin")).agg(F.count("*").alias("_n"))
+    every = span.withColumn("_bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")))).join(counts, [*keys, "_bin"], "left")
+    places = every.select(*keys, (F.col("_lo") + F.col("_bin") * width).alias("_x"), F.coalesce("_n", F.lit(0)).cast("double").alias("_y"))
+    return fits.fitted(places, keys, "_x", "_y").select(*keys, F.col("centre").alias("magnetron_frequency"))

@@ -225,3 +225,11 @@ def find_features(points: DataFrame, keys: list[str], mz: str, rt: str, intensit
     named = found.join(grid.select(*keys, "_x", "_y", mz, rt, "_top"), [*keys, "_x", "_y"]).where(F.col("persistence") > persistence * F.col("_top"))
     named = named.select(*keys, mz, rt, F.col("birth").alias(intensity), "persistence")
     return greedy_suppress(named, {mz: (mz_tolerance, True), rt: (rt_tolerance, False)}, "persistence", keys, [mz, rt])
+
+
+def find_features_centroid(points: DataFrame, keys: list[str], mz: str, rt: str, intensity: str, least: float, mz_tolerance: float, rt_tolerance: float) -> DataFrame:
+    """Features of centroided runs: points above ``least`` of the sample's highest intensity, of which the most intense within an
+    m/z (relative) and time tolerance stays; its intensity is its persistence."""
+    top = points.where(F.col(intensity).isNotNull()).withColumn("_top", F.max(intensity).over(Window.partitionBy(*keys)))
+    own = top.where(F.col(intensity) > least * F.col("_top")).drop("_top").withColumn("persistence", F.col(intensity).cast("double"))
+    return greedy_suppress(own, {mz: (mz_tolerance, True), rt: (rt_tolerance, False)}, "persistence", keys, [mz, rt])

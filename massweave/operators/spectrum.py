@@ -159,3 +159,10 @@ def iqr_outliers(df: DataFrame, keys: list[str], column: str, out: str) -> DataF
 def to_mz(frequency: Column, a: float, b: float, c: float = 0.0) -> Column:
     """m/z of a cyclotron frequency by the three-term law."""
     return a / frequency + b / (frequency * frequency) + c
+
+
+def noise_region(points: DataFrame, keys: list[str], half: float = 100.0) -> DataFrame:
+    """The part of each spectrum about its weight-average m/z, where noise is estimated."""
+    a, mz = F.col("abundance"), F.col("mz")
+    centre = points.groupBy(*keys).agg(F.try_divide(F.sum(mz * mz * a), F.sum(mz * a)).alias("_centre"))
+    return points.join(centre, keys).where(F.abs(mz - F.col("_centre")) <= half).select(points.columns)

@@ -22,7 +22,7 @@ def gap_components(df: DataFrame, x: str, gap: Column, keys: list[str], out: str
 
 
 #: Cells of a tile's side and of the rim that it sees of its neighbours; rows of a cell that a round looks at.
-TILE, RIM, DEPTH = 64, 8, 32
+TILE, RIM, DEPTH = 256, 16, 32
 
 
 def greedy_suppress(df: DataFrame, dims: dict[str, tuple[float, bool]], priority: str, keys: list[str], tie: list[str]) -> DataFrame:
@@ -84,11 +84,11 @@ def greedy_suppress(df: DataFrame, dims: dict[str, tuple[float, bool]], priority
 def tile_winners(live: DataFrame, keys: list[str], cells: list[str], at: list[str], reach: list[int], tols: list[tuple[float, bool]]) -> DataFrame:
     """Live rows that are kept for sure, as their tile sees it."""
     first = live.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *cells).orderBy("_o"))).where(F.col("_n") <= DEPTH + 1)
-    tiles = [f"_t{k}" for k in range(len(cells))]
+    tiles, rim = [f"_t{k}" for k in range(len(cells))], min(RIM, TILE)  # only neighbours are seen
     sent = first.withColumn("_k", F.struct(*[F.col(k) for k in keys])) if keys else first.withColumn("_k", F.lit(0))
     for c, t in zip(cells, tiles):
         own, inside = F.floor(F.col(c) / TILE), F.pmod(F.col(c), F.lit(TILE))
-        sent = sent.withColumn(t, F.explode(F.array_compact(F.array(own, F.when(inside < RIM, own - 1), F.when(inside >= TILE - RIM, own + 1)))))
+        sent = sent.withColumn(t, F.explode(F.array_compact(F.array(own, F.when(inside < rim, own - 1), F.when(inside >= TILE - rim, own + 1)))))
     offsets = list(itertools.product(*[range(-r, r + 1) for r in reach]))
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +104,7 @@ def tile_winners(live: DataFrame, keys: list[str], cells: list[str], at: list[st
                     waiting.add(cell)
             elif any(all(abs(x - k) <= (k * t if rel else t) for x, k, (t, rel) in zip(values, other, tols)) for a in about for other in kept.get(a, ())):
                 continue
-            elif any(c - r < lo - RIM or c + r >= lo + TILE + RIM for c, lo, r in zip(cell, low, reach)) or not waiting.isdisjoint(about):
+            elif any(c - r < lo - rim or c + r >= lo + TILE + rim for c, lo, r in zip(cell, low, reach)) or not waiting.isdisjoint(about):
                 waiting.add(cell)
             else:
                 kept.setdefault(cell, []).append(values)

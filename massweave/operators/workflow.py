@@ -58,6 +58,31 @@ def integrated(found: DataFrame, points: DataFrame, scans: DataFrame, ppm: float
     return found.join(made, FEATURE, "inner" if drop_if_fail else "left")
 
 
+def deconvoluted(found: DataFrame, points: DataFrame, scans: DataFrame, mz_tolerance: float = 5e-6, least: float = 0.8) -> DataFrame:
+    """sample, mf_id, mz, correlation, abundance: the peaks of each feature's apex scan whose traces follow the feature's own.
+
+    ``found`` has start_rt and final_rt. Points between them count for the nearest of these peaks within a relative tolerance; traces are zero in
+    scans where others of them have points; ``is_parent`` tells whether the feature's own peak is the most abundant of those kept.
+    """
+    own = found.select(*FEATURE, F.col("mz").alias("_mz"), "apex_scan", "start_rt", "final_rt").where("start_rt is not null")
+    peaks = own.join(points.select("sample", F.col("scan").alias("apex_scan"), F.col("mz").alias("target"), F.col("intensity").alias("abundance")), ["sample", "apex_scan"]).drop("apex_scan")
+    timed = points.join(scans.select("sample", "scan", "rt"), ["sample", "scan"])
+    met = band_join(timed, peaks, "mz", "target", mz_tolerance * 1e6, ppm=True, on=["sample"]).where(F.col("rt").between(F.col("start_rt"), F.col("final_rt")))
+    near = Window.partitionBy(*FEATURE, "scan", "mz").orderBy(F.abs(F.col("mz") - F.col("target")), "target")
+    met = met.withColumn("_n", F.row_number().over(near)).where("_n = 1")
+    sums = met.groupBy(*FEATURE, "target", "scan").agg(F.sum("intensity").alias("y"), F.first("abundance").alias("abundance"), F.first("_mz").alias("_mz"))
+    first = sums.where(F.col("target") == F.col("_mz")).select(*FEATURE, "scan", F.col("y").alias("x"))
+    n = sums.groupBy(*FEATURE).agg(F.countDistinct("scan").alias("n"))
+    alone = first.groupBy(*FEATURE).agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
+    with_own = sums.join(first, [*FEATURE, "scan"], "left").groupBy(*FEATURE, "target").agg(F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.coalesce(F.col("x") * F.col("y"), F.lit(0.0))).alias("sxy"), F.first("abundance").alias("abundance"))
+    c = F.col
+    r = (c("n") * c("sxy") - c("sx") * c("sy")) / F.sqrt((c("n") * c("sxx") - c("sx") * c("sx")) * (c("n") * c("syy") - c("sy") * c("sy")))
+    kept = with_own.join(n, FEATURE).join(alone, FEATURE).where((c("n") * c("sxx") > c("sx") * c("sx")) & (c("n") * c("syy") > c("sy") * c("sy"))).withColumn("correlation", r).where(c("correlation") > least)
+    kept = kept.join(own.select(*FEATURE, "_mz"), FEATURE)
+    top = F.max_by("target", F.struct("abundance", F.col("target") == F.col("_mz"))).over(Window.partitionBy(*FEATURE))
+    return kept.withColumn("is_parent", top == F.col("_mz")).select(*FEATURE, c("target").alias("mz"), "correlation", "abundance", "is_parent")
+
+
 def ms1_annotations(found: DataFrame, forms: DataFrame, ion_types: list[tuple[str, str | None]], charge: int, ppm: tuple[float, float]) -> DataFrame:
     """sample, mf_id, ms1_formula, ms1_ion_type, ion_formula, mz_calc, error_ppm, mz_score of every candidate formula."""
     hits = searched(found.select(*FEATURE, "mz"), forms, ion_types, charge, ppm)

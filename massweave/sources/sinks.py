@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +30,11 @@ def latest(spark, path: str, version: int = -1) -> DataFrame:
     if version < 0:
         version = df.agg(F.max("version")).first()[0]
     return df.where(F.col("version") == version).drop("version")
+
+
+def spectrum_json(peaks: DataFrame, keys: list[str], columns: list[str], settings: dict | None = None) -> DataFrame:
+    """keys and one JSON document a spectrum: its keys, settings and the columns of its peaks, in the order of the first column."""
+    rows = F.array_sort(F.collect_list(F.struct(*columns)))
+    whole = peaks.groupBy(*keys).agg(rows.alias("peaks"))
+    own = [F.from_json(F.lit(json.dumps(settings)), "map<string,string>").alias("settings")] if settings else []
+    return whole.select(*keys, F.to_json(F.struct(*keys, *own, F.col("peaks"))).alias("document"))
