@@ -11,8 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Standards of all ladders together, at most.
+#: More standards than any ladder's protocol has: so many rungs are a mistake.
 LADDER_RUNGS = 100_000
 
 
@@ -67,17 +66,48 @@ def window_join(left: DataFrame, right: DataFrame, windows: list[tuple[str, str,
     return out.drop(*[f"_k{i}" for i in range(len(windows))])
 
 
+#: Tolerances of a range that one window of the nearest join covers; ranges of one that has no tolerance.
+RANGE_WIDTHS, RANGES = 64, 200
+
+
 def nearest_join(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: float | None = None, on: list[str] | None = None, upper_tie: bool = True) -> DataFrame:
     """Each left row with the right row of nearest y; at equal distance the upper one if asked.
 
-    One union and two ordered windows. Without ``on`` the order is global; give a coarse key where data is large.
+    Ranges of x are ordered on their own, so no key's rows meet in one task. With a tolerance the right rows near a range's ends stand in
+    both ranges. Without one the ranges are quantiles of y, and each gets the last right row before it and the first behind it, found from one
+    row a range. Rows with a null x or y meet nothing.
     """
     keys = on or []
-    value = F.struct(*[F.col(c) for c in right.columns])
-    a = left.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(x).cast("double").alias("_x"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_a"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_b"))
-    b = right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(y).cast("double").alias("_x"), F.lit(0).alias("_left"), F.lit(None).cast(a.schema["_a"].dataType).alias("_a"), value.alias("_b"))
+    left, right = left.where(F.col(x).isNotNull()), right.where(F.col(y).isNotNull())
+    if tolerance:
+        place = lambda c: F.floor(c / (RANGE_WIDTHS * tolerance))
+        slack = 1e-9 * F.abs(F.col(y)) + 1e-12
+        ranged = right.withColumn("_r", F.explode(F.sequence(place(F.col(y) - tolerance - slack), place(F.col(y) + tolerance + slack))))
+        return _nearest(left.withColumn("_r", place(F.col(x))), ranged, right.columns, x, y, tolerance, keys, upper_tie)
+    cuts = sorted(set(right.select(F.col(y).cast("double").alias(y)).approxQuantile(y, [k / RANGES for k in range(1, RANGES)], 1 / RANGES)))
+    ends = F.array(*map(F.lit, cuts)).cast("array<double>")
+    place = lambda c: F.size(F.filter(ends, lambda e: e <= c.cast("double"))).cast("long")
+    own = right.withColumn("_r", place(F.col(y)))
+    row = F.struct(*right.columns)
+    per = own.groupBy(*keys, "_r").agg(F.min_by(row, y).alias("_first"), F.max_by(row, y).alias("_last"))
+    w = Window.partitionBy(*keys)
+    # Every range of a key that has left rows, one row each, with what its neighbours pass on.
+    none = [F.lit(None).cast(per.schema[c].dataType).alias(c) for c in ("_first", "_last")]
+    spots = per.union(left.select(*keys, place(F.col(x)).alias("_r"), *none)).groupBy(*keys, "_r").agg(F.first("_first", ignorenulls=True).alias("_first"), F.first("_last", ignorenulls=True).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("_first", ignorenulls=True).over(w.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    passed = spots.withColumns({"_before": before, "_after": after}).select("_r", F.explode(F.array_compact(F.array("_before", "_after"))).alias("_b")).select("_b.*", "_r")
+    return _nearest(left.withColumn("_r", place(F.col(x))), own.unionByName(passed), right.columns, x, y, tolerance, keys, upper_tie)
+
+
+def _nearest(left: DataFrame, right: DataFrame, columns: list[str], x: str, y: str, tolerance: float | None, keys: list[str], upper_tie: bool) -> DataFrame:
+    """The nearest join within ranges ``_r``: one union and two ordered windows."""
+    value = F.struct(*columns)
+    same = [*[F.col(k).alias(f"_{k}") for k in keys], F.col("_r")]
+    a = left.select(*same, F.col(x).cast("double").alias("_x"), F.lit(1).alias("_left"), F.struct(*[c for c in left.columns if c != "_r"]).alias("_a"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_b"))
+    b = right.select(*same, F.col(y).cast("double").alias("_x"), F.lit(0).alias("_left"), F.lit(None).cast(a.schema["_a"].dataType).alias("_a"), value.alias("_b"))
     both = a.unionByName(b)
-    w = Window.partitionBy(*[f"_{k}" for k in keys])
+    w = Window.partitionBy(*[f"_{k}" for k in keys], "_r")
     before = F.last("_b", ignorenulls=True).over(w.orderBy("_x", "_left").rowsBetween(Window.unboundedPreceding, 0))
     # Looking back in descending order: a frame to the end of the partition would be read anew for every row.
     after = F.last("_b", ignorenulls=True).over(w.orderBy(F.col("_x").desc(), "_left").rowsBetween(Window.unboundedPreceding, 0))
@@ -85,24 +115,33 @@ def nearest_join(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: f
     down, up = F.col("_x") - F.col(f"_p.{y}"), F.col(f"_n.{y}") - F.col("_x")
     upper = F.col("_p").isNull() | (F.col("_n").isNotNull() & ((up <= down) if upper_tie else (up < down)))
     out = found.select("_a.*", F.when(upper, F.col("_n")).otherwise(F.col("_p")).alias("_m"), F.when(upper, up).otherwise(down).alias("distance"))
-    right_only = [c for c in right.columns if c not in keys]
-    out = out.select(*[F.col(c) for c in left.columns], *[F.col(f"_m.{c}").alias(c) for c in right_only], "distance")
+    out = out.select(*[F.col(c) for c in left.columns if c != "_r"], *[F.col(f"_m.{c}").alias(c) for c in columns if c not in keys], "distance")
     return out if tolerance is None else out.where(F.col("distance") <= tolerance)
 
 
 def ladder(points: DataFrame, rungs: DataFrame, x: str, at: str, value: str, out: str = "ri", on: list[str] | None = None) -> DataFrame:
-    """Linear interpolation of ``value`` between the rungs around x; outside, the nearest two rungs' line goes on."""
+    """Linear interpolation of ``value`` between the rungs around x; outside, the nearest two rungs' line goes on.
+
+    A ladder's range is cut into as many cells as it has rungs, the outer ones without end; a step between two rungs stands in the cells that it
+    touches, twice as many as rungs at most, and points meet it by their cell. Points without a ladder of two rungs are left out; more than ``LADDER_RUNGS`` rungs are refused.
+    """
     keys = on or []
-    w = Window.partitionBy(*keys).orderBy(at)
-    steps = rungs.select(*keys, F.col(at).alias("_l"), F.col(value).alias("_lv"), F.lead(at).over(w).alias("_r"), F.lead(value).over(w).alias("_rv"), F.row_number().over(w).alias("_n"), F.count("*").over(Window.partitionBy(*keys)).alias("_all"))
-    steps = steps.where("_r is not null").select(*keys, F.when(F.col("_n") == 1, F.lit(-math.inf)).otherwise(F.col("_l")).alias("_low"), F.when(F.col("_n") == F.col("_all") - 1, F.lit(math.inf)).otherwise(F.col("_r")).alias("_high"), "_l", "_lv", "_r", "_rv")
-    inside = (F.col(x) >= F.col("_low")) & (F.col(x) < F.col("_high"))
-    # A ladder is a few dozen standards, a fixed protocol and not data that grows: that it is so is checked.
     if rungs.limit(LADDER_RUNGS + 1).count() > LADDER_RUNGS:
         raise ValueError(f"a ladder of more than {LADDER_RUNGS} rungs")
-    joined = points.join(F.broadcast(steps), on=[inside] + [points[k] == steps[k] for k in keys] if keys else inside)
+    w = Window.partitionBy(*keys)
+    ordered = w.orderBy(at)
+    steps = rungs.select(*keys, F.col(at).cast("double").alias("_l"), F.col(value).alias("_lv"), F.lead(F.col(at).cast("double")).over(ordered).alias("_r"), F.lead(value).over(ordered).alias("_rv"), F.row_number().over(ordered).alias("_n"), F.count("*").over(w).alias("_all"), F.min(at).over(w).cast("double").alias("_from"), F.max(at).over(w).cast("double").alias("_to"))
+    steps = steps.where("_r is not null and _to > _from")
+    cell = lambda c: F.greatest(F.lit(0).cast("long"), F.least(F.col("_all") - 1, F.floor((c - F.col("_from")) / (F.col("_to") - F.col("_from")) * F.col("_all"))))
+    spans = steps.select(*keys, "_from", "_to", "_all").distinct()
+    steps = steps.withColumns({"_low": F.when(F.col("_n") == 1, F.lit(-math.inf)).otherwise(F.col("_l")), "_high": F.when(F.col("_n") == F.col("_all") - 1, F.lit(math.inf)).otherwise(F.col("_r"))})
+    steps = steps.withColumn("_cell", F.explode(F.sequence(cell(F.col("_l")), cell(F.col("_r"))))).select(*keys, "_cell", "_low", "_high", "_l", "_lv", "_r", "_rv")
+    # Without keys there is one ladder, one row.
+    placed = points.join(spans, keys) if keys else points.join(F.broadcast(spans))
+    placed = placed.withColumn("_cell", cell(F.col(x).cast("double"))).drop("_from", "_to", "_all")
+    joined = placed.join(steps, [*keys, "_cell"]).where((F.col(x) >= F.col("_low")) & (F.col(x) < F.col("_high")))
     line = F.col("_lv") + (F.col("_rv") - F.col("_lv")) * (F.col(x) - F.col("_l")) / (F.col("_r") - F.col("_l"))
-    return joined.withColumn(out, line).select(*[points[c] for c in points.columns], out)
+    return joined.withColumn(out, line).select(*points.columns, out)
 
 
 def unique_matches(pairs: DataFrame, key: str) -> DataFrame:
