@@ -64,11 +64,15 @@ def full_voigt(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return p[..., 2:3] * voigt(x - p[..., 0:1], np.exp(p[..., 1:2]), np.exp(p[..., 3:4]))
 
 
+def gaussian_on_base(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return gaussian(p, x) + np.maximum(p[..., 3:4], 0)
+
+
 #: Of each shape its function of (centre, log width, height, ...) and the fourth value to begin with, as functions of the
 #: half width at half height 1.
 SHAPES: dict[str, tuple[Callable, list[float]]] = {
     "gaussian": (gaussian, [0.0, -math.log(HALF), 1.0]), "lorentzian": (lorentzian, [0.0, 0.0, 1.0]),
-    "pseudo_voigt": (pseudo_voigt, [0.0, 0.0, 1.0, 0.0]), "voigt": (full_voigt, [0.0, math.log(0.6), 1.0, math.log(0.5)]),
+    "gaussian_on_base": (gaussian_on_base, [0.0, -math.log(HALF), 1.0, 0.01]), "pseudo_voigt": (pseudo_voigt, [0.0, 0.0, 1.0, 0.0]), "voigt": (full_voigt, [0.0, math.log(0.6), 1.0, math.log(0.5)]),
 }
 
 
@@ -122,7 +126,7 @@ def swarm(shape: Callable, p: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.nd
 def width_of(shape: str, p: np.ndarray) -> np.ndarray:
     """Full width at half height."""
     half = np.exp(p[:, 1])
-    if shape == "gaussian":
+    if shape.startswith("gaussian"):
         return 2 * HALF * half
     if shape != "voigt":
         return 2 * half
@@ -135,7 +139,7 @@ def width_of(shape: str, p: np.ndarray) -> np.ndarray:
 
 
 def fit_batch(shape: str, method: str, xs: list, ys: list, seed: int = 0) -> np.ndarray:
-    """centre, fwhm, height, sigma, gamma (or the Lorentzian's share) and rms of every peak; NaN where there are too few points."""
+    """centre, fwhm, height, sigma, gamma (or the Lorentzian's share, or the base) and rms of every peak; NaN where there are too few points."""
     fn, start = SHAPES[shape]
     out = np.full((len(xs), 6), np.nan)
     good = [k for k, (x, y) in enumerate(zip(xs, ys)) if len(x) > len(start) and max(y) > 0 and max(x) > min(x)]
@@ -160,8 +164,8 @@ def fit_batch(shape: str, method: str, xs: list, ys: list, seed: int = 0) -> np.
         raise ValueError(f"no fit by {method}")
     rms = np.sqrt((w * (fn(p, x) - y) ** 2).sum(1) / w.sum(1)) * height
     inner = np.exp(p[:, 1]) * width
-    last = {"gaussian": np.full(len(p), np.nan), "lorentzian": inner, "pseudo_voigt": 1 / (1 + np.exp(-p[:, -1])), "voigt": np.exp(p[:, -1]) * width}[shape]
-    sigma = {"gaussian": inner, "lorentzian": np.full(len(p), np.nan), "pseudo_voigt": inner / HALF, "voigt": inner}[shape]
+    last = {"gaussian": np.full(len(p), np.nan), "lorentzian": inner, "gaussian_on_base": np.maximum(p[:, -1], 0) * height, "pseudo_voigt": 1 / (1 + np.exp(-p[:, -1])), "voigt": np.exp(p[:, -1]) * width}[shape]
+    sigma = {"gaussian": inner, "gaussian_on_base": inner, "lorentzian": np.full(len(p), np.nan), "pseudo_voigt": inner / HALF, "voigt": inner}[shape]
     out[good] = np.stack([centre + p[:, 0] * width, width_of(shape, p) * width, p[:, 2] * height, sigma, last, rms], 1)
     return out
 
@@ -172,7 +176,7 @@ NAMES = ("centre", "fwhm", "height", "sigma", "gamma", "rms")
 def fitted(points: DataFrame, keys: list[str], x: str, y: str, shape: str = "gaussian", method: str = "marquardt", seed: int = 0) -> DataFrame:
     """keys and the fit of each peak, whose points (keys, x, y) are those of one peak and no more.
 
-    Shapes: gaussian, lorentzian, pseudo_voigt (``gamma`` is the Lorentzian's share) and voigt. ``rms`` is the root mean
+    Shapes: gaussian, gaussian_on_base (``gamma`` is the base, not below 0), lorentzian, pseudo_voigt (the Lorentzian's share) and voigt. ``rms`` is the root mean
     square of what the fit leaves. Peaks with no more points than parameters, without height or at one place get
     nulls; points with nulls are left out. The same peaks give the same fit, by swarms too if a batch holds one peak.
     """

@@ -7,11 +7,11 @@ sample with buckets of m/z or time, so runs of any number go through together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massweave.functions import formula as fm
-from massweave.operators import fragment_index, lc, profile, report
+from massweave.operators import fits, fragment_index, lc, profile, report
 from massweave.operators.joins import band_join
 from massweave.operators.persistence import find_features
 from massweave.operators.search import searched
@@ -58,6 +58,50 @@ def integrated(found: DataFrame, points: DataFrame, scans: DataFrame, ppm: float
     return found.join(made, FEATURE, "inner" if drop_if_fail else "left")
 
 
+def peak_shapes(whole: DataFrame, eic: DataFrame, accept_estimated: bool = False) -> DataFrame:
+    """sample, mf_id with half_height_min, half_height_max, tailing_factor and gaussian_similarity of integrated features.
+
+    ``whole`` has start_rt and final_rt, ``eic`` the traces. Widths go by scans: the larger ends at the first scans at or below a share of the apex, the
+    smaller at the scans before these; the apex is the trace's highest scan within the bounds. Where a width reaches beyond the bounds it is
+    cut there and, unless estimates are accepted, null. The tailing factor is that at a twentieth of the height. The similarity is the share of
+    the variance within the bounds that a Gaussian on a base explains, null for fewer than five points or none explained.
+    """
+    w = Window.partitionBy(*FEATURE).orderBy("rt")
+    rows = eic.join(whole.select(*FEATURE, "start_rt", "final_rt").where("start_rt is not null"), FEATURE).withColumns({"_next": F.lead("rt").over(w), "_prev": F.lag("rt").over(w)})
+    inside = F.col("rt").between(F.col("start_rt"), F.col("final_rt"))
+    top = rows.where(inside).groupBy(*FEATURE).agg(F.max(F.struct(F.col("intensity").alias("y"), (-F.col("rt")).alias("x"))).alias("_t"))
+    rows = rows.join(top.select(*FEATURE, F.col("_t.y").alias("_y"), (-F.col("_t.x")).alias("_x")), FEATURE)
+    found = []
+    for name, share in (("half", 0.5), ("tail", 0.05)):
+        low = F.col("intensity") <= share * F.col("_y")
+        # The nearest low scan on either side, else the trace's end; with the scan next to it on the apex's side.
+        found += [
+            F.coalesce(F.max(F.when(low & (F.col("rt") < F.col("_x")), F.struct("rt", F.col("_next").alias("by")))), F.min(F.struct("rt", F.col("_next").alias("by")))).alias(f"{name}_l"),
+            F.coalesce(F.min(F.when(low & (F.col("rt") > F.col("_x")), F.struct("rt", F.col("_prev").alias("by")))), F.max(F.struct("rt", F.col("_prev").alias("by")))).alias(f"{name}_r"),
+        ]
+    ends = rows.groupBy(*FEATURE).agg(*found, F.first("_x").alias("_x"), F.first("start_rt").alias("_from"), F.first("final_rt").alias("_to"))
+    first = rows.where(F.col("rt") == F.col("start_rt")).select(*FEATURE, F.col("_next").alias("_from_by"))
+    last = rows.where(F.col("rt") == F.col("final_rt")).select(*FEATURE, F.col("_prev").alias("_to_by"))
+    ends = ends.join(first, FEATURE).join(last, FEATURE)
+    c = F.col
+
+    def cut(name: str) -> tuple[Column, Column, Column]:
+        left_out, right_out = c(f"{name}_l.rt") < c("_from"), c(f"{name}_r.rt") > c("_to")
+        left, left_by = F.when(left_out, c("_from")).otherwise(c(f"{name}_l.rt")), F.when(left_out, c("_from_by")).otherwise(c(f"{name}_l.by"))
+        right, right_by = F.when(right_out, c("_to")).otherwise(c(f"{name}_r.rt")), F.when(right_out, c("_to_by")).otherwise(c(f"{name}_r.by"))
+        return right_by - left_by, right - left, F.lit(accept_estimated) | ~(left_out | right_out)
+
+    low, high, fine = cut("half")
+    tail_low, tail_high, tail_fine = cut("tail")
+    front = (c("_x") - c("tail_l.rt") + c("_x") - c("tail_l.by")) / 2
+    shapes = ends.select(*FEATURE, F.when(fine, low).alias("half_height_min"), F.when(fine, high).alias("half_height_max"), F.when(tail_fine, F.try_divide((tail_low + tail_high) / 2, 2 * front)).alias("tailing_factor"))
+    part = rows.where(inside)
+    fit = fits.fitted(part, FEATURE, "rt", "intensity", "gaussian_on_base").select(*FEATURE, "rms")
+    spread = part.groupBy(*FEATURE).agg(F.var_pop("intensity").alias("_var"))
+    like = fit.join(spread, FEATURE).select(*FEATURE, (1 - F.try_divide(c("rms") * c("rms"), c("_var"))).alias("_r2"))
+    return shapes.join(like, FEATURE, "left").withColumn("gaussian_similarity", F.when(c("_r2") >= 0, c("_r2"))).drop("_r2")
+
+
 def deconvoluted(found: DataFrame, points: DataFrame, scans: DataFrame, mz_tolerance: float = 5e-6, least: float = 0.8) -> DataFrame:
     """sample, mf_id, mz, correlation, abundance: the peaks of each feature's apex scan whose traces follow the feature's own.
 

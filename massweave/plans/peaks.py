@@ -315,3 +315,14 @@ def q_lc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = workflow.features(points, scans, 0.01, 0.05, 0.02, 2.0)
     whole = workflow.integrated(found, points, scans, 1000.0, 3, drop_if_fail=False)
     return whole.select("sample", "mf_id", "mz", "rt", sig("intensity", "intensity"), "start_rt", "final_rt", sig("area", "area"), sig("half_height_width", "half_height_width"))
+
+
+@query()
+def q_peak_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest peak of every user's trace: widths by scans, tailing and likeness to a Gaussian."""
+    points = run(spark, sf_dir).where("value is not null").groupBy("user_id", F.col("t").alias("rt")).agg(F.max("value").alias("intensity"))
+    trace = points.select(F.lit("all").alias("sample"), F.col("user_id").alias("mf_id"), "rt", "intensity")
+    peaks = profile.extents(trace, ["sample", "mf_id"], "rt", "intensity", 3)
+    best = peaks.groupBy("sample", "mf_id").agg(F.max(F.struct("apex_y", "apex_x", "start_x", "final_x")).alias("p")).select("sample", "mf_id", F.col("p.start_x").alias("start_rt"), F.col("p.final_x").alias("final_rt"))
+    got = workflow.peak_shapes(best, trace, accept_estimated=True)
+    return got.select(F.col("mf_id").alias("user_id"), *[sig(c, c) for c in ("half_height_min", "half_height_max", "tailing_factor", "gaussian_similarity")])

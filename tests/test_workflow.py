@@ -60,3 +60,43 @@ def test_features_without_a_peak(spark, run):
     assert workflow.integrated(odd, run["points"], run["scans"]).count() == 0
     (kept,) = workflow.integrated(odd, run["points"], run["scans"], drop_if_fail=False).collect()
     assert kept.area is None and kept.mf_id == 9
+
+
+def test_shapes_of_peaks(spark):
+    random = __import__("random")
+    random.seed(5)
+    traces, rows, bounds = {}, [], []
+    for k in range(25):
+        at, width, skew = random.uniform(15, 35), random.uniform(2, 5), random.uniform(0.7, 1.6)
+        ys = [round(100 * math.exp(-(((i - at) / (width * (skew if i > at else 1))) ** 2) / 2) + random.random() * 2, 3) for i in range(50)]
+        a, b = max(0, int(at - 2.6 * width)), min(49, int(at + random.choice([1.0, 3.5]) * width * skew))
+        traces[k] = (ys, a, b)
+        rows += [("s", k, i, i * 0.1, y) for i, y in enumerate(ys)]
+        bounds.append(("s", k, a * 0.1, b * 0.1))
+    eic = spark.createDataFrame(rows, "sample string, mf_id long, scan int, rt double, intensity double").repartition(3)
+    whole = spark.createDataFrame([*bounds, ("s", 99, None, None)], "sample string, mf_id long, start_rt double, final_rt double")
+    for accept in (False, True):
+        got = {r.mf_id: r for r in workflow.peak_shapes(whole, eic, accept).collect()}
+        assert set(got) == set(traces)
+        for k, (ys, a, b) in traces.items():
+            apex = max(range(a, b + 1), key=lambda i: (ys[i], -i))
+
+            def ends(share):
+                left = right = apex
+                while ys[left] > ys[apex] * share and left > 0:
+                    left -= 1
+                while ys[right] > ys[apex] * share and right < len(ys) - 1:
+                    right += 1
+                return max(left, a), min(right, b), left < a or right > b, left
+
+            left, right, cut, _ = ends(0.5)
+            if cut and not accept:
+                assert got[k].half_height_max is None
+            else:
+                assert got[k].half_height_max == pytest.approx((right - left) * 0.1) and got[k].half_height_min == pytest.approx((right - left - 2) * 0.1)
+            left, right, cut, outer = ends(0.05)
+            if cut and not accept:
+                assert got[k].tailing_factor is None
+            else:
+                assert got[k].tailing_factor == pytest.approx((right - left - 1) * 0.1 / (2 * (apex - outer - 0.5) * 0.1))
+            assert got[k].gaussian_similarity is not None and 0.8 < got[k].gaussian_similarity <= 1
