@@ -355,7 +355,8 @@ def grouped(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
 def placement(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """cid, c, g, k, main: a text's component, its loose group and that's size, and if the component is the group's largest."""
     both = written(grouped(grouped(nodes, links.where("similar"), "c"), links, "g"), "placed")
-    per = both.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("k"), F.max(F.struct("n", "c"))["c"].alias("main"))
+    # Written: in a stage of its own, the join's rows of a large group can be split.
+    per = written(both.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("k"), F.max(F.struct("n", "c"))["c"].alias("main")), "groups")
     return both.join(per, "g").select("cid", "c", "g", "k", (F.col("c") == F.col("main")).alias("main"))
 
 
