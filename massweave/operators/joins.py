@@ -144,6 +144,12 @@ def ladder(points: DataFrame, rungs: DataFrame, x: str, at: str, value: str, out
     return joined.withColumn(out, line).select(*points.columns, out)
 
 
+def marked(rows: DataFrame, seen: DataFrame, key: str, out: str) -> DataFrame:
+    """The rows with whether their key is among those seen, however often."""
+    found = seen.select(key).distinct().withColumn(out, F.lit(True))
+    return rows.join(found, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
 def unique_matches(pairs: DataFrame, key: str) -> DataFrame:
     """Pairs whose key occurs once only: ambiguous references go, all of them."""
     return pairs.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n = 1").drop("_n")

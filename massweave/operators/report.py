@@ -17,6 +17,11 @@ def atom_columns(assigned: DataFrame, keys: list[str], atoms: list[str] | None =
     return assigned.select(*keys, *[F.coalesce(F.col("atoms")[a], F.lit(0)).alias(a) for a in atoms])
 
 
+def counted(rows: DataFrame, keys: list[str], column: str, names: list[str]) -> DataFrame:
+    """keys and one column a name: how many rows of a key have it in ``column``."""
+    return rows.groupBy(*keys).agg(*[F.count(F.when(F.col(column) == n, 1)).alias(n) for n in names])
+
+
 def spectrum_table(peaks: DataFrame, assigned: DataFrame, keys: list[str], min_score: float = 0.1) -> DataFrame:
     """Peaks with their candidates, matched or not, above a least confidence."""
     best = assigned.where(F.col("confidence") >= min_score)

@@ -114,6 +114,11 @@ def best_candidate(rated: DataFrame, keys: list[str], choice: str, tie: list[str
     return rated.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *tie))).where("_r = 1").drop("_r")
 
 
+def top_candidates(rated: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` candidates of each peak with their ``place`` from 1; ranks are limited before any shuffle."""
+    return rated.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
+
+
 def source_filter(rated: DataFrame, kind: str) -> DataFrame:
     """Candidates that natural samples from air, water or earth allow."""
     n, s, p, o = (fm.element(F.col("atoms"), x) for x in "NSPO")

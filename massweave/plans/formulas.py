@@ -123,8 +123,7 @@ def q_combined_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, CAST(count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS BIGINT) AS a, CAST(count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS BIGINT) AS n, CAST(count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS BIGINT) AS r FROM lineitem GROUP BY l_orderkey""")
 def q_pivot_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     (lines,) = tables(spark, sf_dir, "lineitem")
-    got = lines.groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1)))
-    return got.select("l_orderkey", *[F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias(x.lower()) for x in "ANR"])
+    return report.counted(lines, ["l_orderkey"], "l_returnflag", ["A", "N", "R"]).select("l_orderkey", *[F.col(x).alias(x.lower()) for x in "ANR"])
 
 
 @query(f"""WITH e AS (SELECT event_id, user_id, epoch(ts) AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events)
@@ -132,8 +131,7 @@ SELECT event_id, user_id, CAST(r AS INTEGER) AS place, {sig_sql('value', 'score'
 def q_top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best candidates of every peak: a report of three a peak."""
     (events,) = tables(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")
-    return events.withColumn("place", F.row_number().over(w)).where("place <= 3").select("event_id", "user_id", "place", sig("value", "score"))
+    return search.top_candidates(events, ["user_id"], [F.col("value").desc(), F.col("event_id")], 3).select("event_id", "user_id", "place", sig("value", "score"))
 
 
 @query(f"""WITH o AS (SELECT user_id, event_id, value - 50 AS err, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from massweave.operators import sequence as seq
 from massweave.operators import spectrum as sp
-from massweave.operators import deconvolution, persistence, suppress
+from massweave.operators import deconvolution, lc, persistence, suppress
+from massweave.operators import recalibration as rc
 from massweave.plans.registry import ORACLES, query, seconds, sig, sig_sql, tables
 
 TRACE = "(SELECT user_id, event_id, event_type, epoch(ts) / 3600.0 AS t, value FROM events)"
@@ -159,7 +160,8 @@ def q_chain_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT user_id, event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CAST(floor(value / 10) AS BIGINT) AS cell, count(*) AS n, {sig_sql("sum(value)", "intensity")} FROM events GROUP BY ALL""")
 def q_grid_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = tables(spark, sf_dir, "events")
-    return events.groupBy("user_id", "event_type", F.floor(seconds() / 86400).alias("day"), F.floor(F.col("value") / 10).alias("cell")).agg(F.count("*").alias("n"), sig(F.sum("value"), "intensity"))
+    rows = events.select("user_id", "event_type", F.floor(seconds() / 86400).alias("day"), "value", F.col("value").alias("intensity"))
+    return lc.binned(rows, ["user_id", "event_type", "day"], "value", 10, "intensity").select("user_id", "event_type", "day", "cell", "n", sig("intensity", "intensity"))
 
 
 @query(f"""WITH e AS (SELECT user_id, event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, value FROM events), d AS (SELECT DISTINCT user_id, day FROM e), y AS (SELECT DISTINCT user_id, event_type FROM e),
@@ -169,15 +171,17 @@ def q_eic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ion chromatograms on the grid of all scans of their run, zero where nothing was seen."""
     (events,) = tables(spark, sf_dir, "events")
     rows = events.select("user_id", "event_type", F.floor(seconds() / 86400).alias("day"), "value")
-    grid = rows.select("user_id", "day").distinct().join(rows.select("user_id", "event_type").distinct(), "user_id")
-    sums = rows.groupBy("user_id", "event_type", "day").agg(F.sum("value").alias("v"))
-    return grid.join(sums, ["user_id", "event_type", "day"], "left").select("user_id", "event_type", "day", sig(F.coalesce("v", F.lit(0.0)), "intensity"))
+    traces = rows.groupBy(F.col("user_id").alias("sample"), "event_type", F.col("day").alias("scan")).agg(F.sum("value").alias("intensity"))
+    out = lc.on_scans(traces, traces.select("sample", "scan").distinct(), ["event_type"])
+    return out.select(F.col("sample").alias("user_id"), "event_type", F.col("scan").alias("day"), sig("intensity", "intensity"))
 
 
 @query(f"""SELECT l_linenumber AS scan, {sig_sql("regr_slope(l_quantity, l_extendedprice)", "slope")}, {sig_sql("regr_intercept(l_quantity, l_extendedprice)", "intercept")}, {sig_sql("corr(l_quantity, l_extendedprice)", "r")} FROM lineitem GROUP BY l_linenumber""")
 def q_linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectrum(spark, sf_dir)
-    return rows.groupBy("scan").agg(sig(F.regr_slope("abundance", "mz"), "slope"), sig(F.regr_intercept("abundance", "mz"), "intercept"), sig(F.corr("abundance", "mz"), "r"))
+    fit = rc.orthogonal_fit(rows, ["scan"], [F.lit(1.0), F.col("mz")], F.col("abundance"), ["intercept", "slope"])
+    r = rows.groupBy("scan").agg(F.corr("abundance", "mz").alias("r"))
+    return fit.join(r, "scan").select("scan", sig("slope", "slope"), sig("intercept", "intercept"), sig("r", "r"))
 
 
 # One pass over the rows of a type by value; ``near`` holds what was kept.
