@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massweave.operators import calibration as cal
-from massweave.operators import fits, joins, lc, profile, workflow
+from massweave.operators import fits, joins, lc, overlap, profile, workflow
 from massweave.operators import recalibration as rc
 from massweave.operators import spectrum as sp
 from massweave.plans.registry import query, seconds, sig, sig_sql, tables
@@ -326,3 +326,13 @@ def q_peak_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = peaks.groupBy("sample", "mf_id").agg(F.max(F.struct("apex_y", "apex_x", "start_x", "final_x")).alias("p")).select("sample", "mf_id", F.col("p.start_x").alias("start_rt"), F.col("p.final_x").alias("final_rt"))
     got = workflow.peak_shapes(best, trace, accept_estimated=True)
     return got.select(F.col("mf_id").alias("user_id"), *[sig(c, c) for c in ("half_height_min", "half_height_max", "tailing_factor", "gaussian_similarity")])
+
+
+@query()
+def q_predicted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that neighbours make: prices of a line number and ship month as peaks of a resolving power that falls with m/z."""
+    (lines,) = tables(spark, sf_dir, "lineitem")
+    peaks = lines.select("l_linenumber", F.date_trunc("month", "l_shipdate").alias("month"), (F.col("l_extendedprice") / 1000.0).alias("mz"), "l_quantity")
+    peaks = peaks.groupBy("l_linenumber", "month", "mz").agg(F.sum("l_quantity").alias("abundance")).withColumn("resolving_power", 2e5 / F.col("mz"))
+    got = overlap.predicted(peaks, ["l_linenumber", "month"], 0.25, 0.1, 40)
+    return got.select("l_linenumber", "month", F.round("mz", 5).alias("mz"), F.round("mass_shift_ppm", 2).alias("mass_shift_ppm"), F.round("predicted_error_ppm", 2).alias("predicted_error_ppm"))
