@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +52,7 @@ def searched(peaks: DataFrame, forms: DataFrame, ion_types: list[tuple[str, str
 
 
 def isotopologue_rows(atoms: dict[str, int], least: float) -> list[tuple[dict[str, int], float, float]]:
-    """(atoms, ratio to the main formula, mass shift) of one and two substitutions of a ratio of ``least`` or more."""
+    """(atoms, ratio to the main formula, mass shift) of one and two substitutions of a ratio of ``least`` or more, for a formula at hand."""
     swaps = []
     for name, n in atoms.items():
         for label, mass, share in ISOTOPES.get(name, [])[1:] if name != "H" else ():
@@ -75,16 +74,43 @@ def isotopologue_rows(atoms: dict[str, int], least: float) -> list[tuple[dict[st
     return [({k: v for k, v in m.items() if v}, r, d) for m, r, d in out]
 
 
-def isotopologues(assigned: DataFrame, dynamic_range: float = 1000.0) -> DataFrame:
-    """One row an expected isotopologue of every assignment: iso_atoms, prob_ratio, iso_mz, iso_abundance."""
-    kind = "array<struct<iso_atoms:map<string,int>,prob_ratio:double,shift:double>>"
+#: Single substitutions: element, heavier isotope, its share of the element's main isotope, mass difference.
+SWAPS = [(name, label, share / ABUNDANCE[name], mass - MONO[name]) for name, rows in ISOTOPES.items() if name != "H" for label, mass, share in rows[1:] if label != name]
 
-    @F.pandas_udf(kind)
-    def expand(atoms: pd.Series) -> pd.Series:
-        return atoms.map(lambda a: [{"iso_atoms": m, "prob_ratio": r, "shift": d} for m, r, d in isotopologue_rows(dict(a or {}), 1 / dynamic_range)])
 
-    rows = assigned.withColumn("_i", F.explode(expand("atoms")))
-    return rows.select("*", "_i.iso_atoms", "_i.prob_ratio", (F.col("mz_calc") + F.col("_i.shift")).alias("iso_mz"), (F.col("abundance") * F.col("_i.prob_ratio")).alias("iso_abundance")).drop("_i")
+def isotopologues(assigned: DataFrame, dynamic_range: float = 1000.0) -> DataFrame:
+    """One row an expected isotopologue of every assignment: iso_atoms, prob_ratio, iso_mz, iso_abundance.
+
+    One and two substitutions, as ``isotopologue_rows`` has them of one formula, by expressions over arrays of the formula's own ones.
+    """
+    least, atoms = 1 / dynamic_range, F.col("atoms")
+    every = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(label).alias("label"), F.coalesce(atoms[n], F.lit(0)).alias("n"), F.lit(r).alias("r"), F.lit(d).alias("d")) for n, label, r, d in SWAPS])
+
+    def changed(taken: list[Column], given: list[Column], by: list[Column]) -> Column:
+        """The atoms with isotopes in place of main ones: the counts of what is taken and given are set, the rest stays."""
+        names = F.array(*taken, *given)
+        rest = F.map_filter("atoms", lambda k, n: (n > 0) & ~F.array_contains(names, k))
+        entries = F.filter(F.array(*[F.struct(k.alias("key"), v.alias("value")) for k, v in zip([*taken, *given], by)]), lambda e: e["value"] > 0)
+        return F.map_concat(rest, F.map_from_entries(entries))
+
+    def found(iso: Column, ratio: Column, shift: Column) -> Column:
+        return F.struct(iso.alias("iso_atoms"), ratio.alias("prob_ratio"), shift.alias("shift"))
+
+    n, one = (lambda s: s["n"]), F.lit(1)
+    single = F.transform(F.filter("_swaps", lambda s: n(s) * s["r"] >= least), lambda s: found(changed([s["name"]], [s["label"]], [n(s) - 1, one]), n(s) * s["r"], s["d"]))
+    twice = lambda s: n(s) * (n(s) - 1) / 2 * s["r"] * s["r"]
+    double = F.transform(F.filter("_swaps", lambda s: (n(s) > 1) & (twice(s) >= least)), lambda s: found(changed([s["name"]], [s["label"]], [n(s) - 2, F.lit(2)]), twice(s), 2 * s["d"]))
+
+    def pair(s: Column, t: Column) -> Column:
+        same = s["name"] == t["name"]
+        ratio = n(s) * s["r"] * t["r"] * F.when(same, n(s) - 1).otherwise(n(t))
+        of_one = changed([s["name"]], [s["label"], t["label"]], [n(s) - 2, one, one])
+        of_two = changed([s["name"], t["name"]], [s["label"], t["label"]], [n(s) - 1, n(t) - 1, one, one])
+        return F.when((ratio >= least) & (~same | (n(s) > 1)), found(F.when(same, of_one).otherwise(of_two), ratio, s["d"] + t["d"]))
+
+    both = F.flatten(F.transform("_swaps", lambda s, i: F.transform(F.slice("_swaps", i + 2, F.size("_swaps")), lambda t: pair(s, t))))
+    rows = assigned.withColumn("_swaps", F.filter(every, lambda s: s["n"] > 0)).withColumn("_i", F.explode(F.concat(single, double, F.filter(both, lambda x: x.isNotNull()))))
+    return rows.select("*", "_i.iso_atoms", "_i.prob_ratio", (F.col("mz_calc") + F.col("_i.shift")).alias("iso_mz"), (F.col("abundance") * F.col("_i.prob_ratio")).alias("iso_abundance")).drop("_i", "_swaps")
 
 
 def isotopologue_similarity(expected: DataFrame, peaks: DataFrame, keys: list[str], ppm: float, abundance_percent: float = 100.0) -> DataFrame:
