@@ -175,3 +175,20 @@ def q_kendrick_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks = lines.select(F.col("l_linenumber").alias("scan"), (F.col("l_extendedprice") / 100.0).alias("mz")).distinct()
     peaks = peaks.withColumn("peak_idx", (F.row_number().over(Window.partitionBy("scan").orderBy("mz")) - 1).cast("long"))
     return filters.kendrick_chains(peaks, ["scan"], tolerance=0.002)
+
+
+_SWAPS = ", ".join(f"({k}, '{name}', {r!r}::DOUBLE, {d!r}::DOUBLE)" for k, (name, _, r, d) in enumerate(search.SWAPS) if name in "CHONS")
+
+
+@query(f"""WITH f AS (SELECT p_partkey, 1 + p_size AS C, 4 + p_partkey % 59 AS H, p_partkey % 11 AS O, p_partkey % 3 AS N, p_size % 2 AS S FROM part), w(k, name, r, d) AS (VALUES {_SWAPS}),
+s AS MATERIALIZED (SELECT p_partkey, k, name, r, d, CASE name WHEN 'C' THEN C WHEN 'O' THEN O WHEN 'N' THEN N WHEN 'S' THEN S END AS n FROM f, w), o AS (SELECT * FROM s WHERE n > 0),
+i AS (SELECT p_partkey, n * r AS ratio, d FROM o UNION ALL SELECT p_partkey, n * (n - 1) / 2 * r * r, 2 * d FROM o WHERE n > 1
+ UNION ALL SELECT a.p_partkey, a.n * a.r * b.r * CASE WHEN a.name = b.name THEN a.n - 1 ELSE b.n END, a.d + b.d FROM o a JOIN o b ON a.p_partkey = b.p_partkey AND a.k < b.k WHERE a.name <> b.name OR a.n > 1)
+SELECT p_partkey, count(*) AS n, {sig_sql('sum(ratio)', 'ratio')}, {sig_sql('max(ratio)', 'top')}, {sig_sql('sum(ratio * d)', 'shift')} FROM i WHERE ratio >= 0.0001 GROUP BY p_partkey""")
+def q_isotopologues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected isotopologues of the formula that each part writes: how many, their ratios and mean shift."""
+    (part,) = tables(spark, sf_dir, "part")
+    n = {"C": 1 + F.col("p_size"), "H": 4 + F.col("p_partkey") % 59, "O": F.col("p_partkey") % 11, "N": F.col("p_partkey") % 3, "S": F.col("p_size") % 2}
+    rows = part.select("p_partkey", F.map_filter(F.create_map(*[x for k, c in n.items() for x in (F.lit(k), c.cast("int"))]), lambda _, v: v > 0).alias("atoms"), F.lit(0.0).alias("mz_calc"), F.lit(1.0).alias("abundance"))
+    got = search.isotopologues(rows, 10_000.0)
+    return got.groupBy("p_partkey").agg(F.count("*").alias("n"), sig(F.sum("prob_ratio"), "ratio"), sig(F.max("prob_ratio"), "top"), sig(F.sum(F.col("prob_ratio") * F.col("iso_mz")), "shift"))
