@@ -20,25 +20,32 @@ PLACES, CUT = 200, 3
 COLLINEAR = 1e-20
 
 
+def with_sums(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the one row that ``sums`` has of their keys, null keys too; without keys there is one row for all."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(sums))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return rows.alias("a").join(sums.alias("b"), same).select("a.*", *[F.col(f"b.{c}") for c in sums.columns if c not in keys])
+
+
 def orthogonal_fit(points: DataFrame, keys: list[str], terms: list[Column], y: Column, names: list[str], weight: Column | None = None) -> DataFrame:
     """keys and one coefficient a term by weighted least squares, null where the points don't determine them."""
     n, w = len(terms), F.col("_w")
-    rows = points.select(*keys, *[t.cast("double").alias(f"_t{k}") for k, t in enumerate(terms)], y.cast("double").alias("_y"), (F.lit(1.0) if weight is None else weight).alias("_w")).dropna(subset=[*[f"_t{k}" for k in range(n)], "_y", "_w"])
-    join = lambda a, b: a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in keys]) if keys else a.crossJoin(F.broadcast(b))
-    found = None
+    t = [F.col(f"_t{k}") for k in range(n)]
+    rows = points.select(*keys, *[c.cast("double").alias(f"_t{k}") for k, c in enumerate(terms)], y.cast("double").alias("_y"), (F.lit(1.0) if weight is None else weight).alias("_w"))
+    rows = rows.dropna(subset=[*[f"_t{k}" for k in range(n)], "_y", "_w"])
+    # What each term's square was before the others were taken off it.
+    found = rows.groupBy(*keys).agg(*[F.sum(w * c * c).alias(f"_whole{k}") for k, c in enumerate(t)])
     for k in range(n):
-        own = F.col(f"_t{k}")
-        square = F.sum(w * own * own)
-        first = [F.sum(w * F.col(f"_t{j}") * F.col(f"_t{j}")).alias(f"_whole{j}") for j in range(n)] if found is None else []
-        sums = rows.groupBy(*keys).agg(square.alias("_s"), F.sum(w * own * F.col("_y")).alias("_sy"), *[F.sum(w * own * F.col(f"_t{j}")).alias(f"_s{j}") for j in range(k + 1, n)], *first)
-        whole = F.col(f"_whole{k}")
-        sums = sums if found is None else join(sums, found.select(*keys, f"_whole{k}"))
-        usable = F.when(F.col("_s") > COLLINEAR * whole, F.col("_s"))
-        ratios = sums.select(*keys, F.try_divide("_sy", usable).alias(f"_c{k}"), *[F.try_divide(F.col(f"_s{j}"), usable).alias(f"_r{k}{j}") for j in range(k + 1, n)], *([f"_whole{j}" for j in range(n)] if found is None else []))
-        if k + 1 < n:
-            step = join(rows, ratios.drop(*[f"_whole{j}" for j in range(n)]))
-            rows = step.withColumns({"_y": F.col("_y") - F.col(f"_c{k}") * own, **{f"_t{j}": F.col(f"_t{j}") - F.col(f"_r{k}{j}") * own for j in range(k + 1, n)}}).select(rows.columns)
-        found = ratios if found is None else join(found, ratios)
+        later = range(k + 1, n)
+        sums = rows.groupBy(*keys).agg(F.sum(w * t[k] * t[k]).alias("_s"), F.sum(w * t[k] * F.col("_y")).alias("_sy"), *[F.sum(w * t[k] * t[j]).alias(f"_s{j}") for j in later])
+        usable = F.when(F.col("_s") > COLLINEAR * F.col(f"_whole{k}"), F.col("_s"))
+        ratios = {f"_c{k}": F.try_divide("_sy", usable), **{f"_r{k}{j}": F.try_divide(F.col(f"_s{j}"), usable) for j in later}}
+        found = with_sums(found, sums, keys).withColumns(ratios).drop("_s", "_sy", *[f"_s{j}" for j in later])
+        if later:
+            step = with_sums(rows, found.select(*keys, *ratios), keys)
+            taken = {"_y": F.col("_y") - F.col(f"_c{k}") * t[k], **{f"_t{j}": t[j] - F.col(f"_r{k}{j}") * t[k] for j in later}}
+            rows = step.withColumns(taken).select(rows.columns)
     out: dict[int, Column] = {}
     for k in reversed(range(n)):
         out[k] = F.col(f"_c{k}") - sum((F.col(f"_r{k}{j}") * out[j] for j in range(k + 1, n)), F.lit(0.0))
