@@ -36,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import WORD, checked_join, crc_mod, documents, driver_released, dropped, filtered, in_slices, map_rows, shared, table, written
+from massweave.llm.common import WORD, checked_join, crc_mod, documents, driver_released, dropped, filtered, in_slices, map_rows, released, shared, table, written
 
 FOLDS, HELD_OUT = 5, 0
 #: Symbols are code points; three stand in ``lo``, the last one lowest, those before them in ``hi``.
@@ -55,6 +55,8 @@ WORST = (1, 2, 4, 8)
 FEATURES = len(WORST) + 2
 #: A task keeps so many distinct words before it passes their n-grams on, or forgets their ratios.
 TASK_WORDS = 100_000
+#: What a task works on at a time: texts whose words it lists, words whose symbols it lays out.
+PART_TEXTS, PART_WORDS = 100, 25_000
 WORDS = re.compile(WORD)
 
 
@@ -120,14 +122,15 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
         def passed() -> Iterator[pa.RecordBatch]:
             for label, words in enumerate(seen):
-                if words:
-                    hi, lo, word = grams(*symbols(list(words)))
+                every, counts = list(words), np.fromiter(words.values(), np.float64, len(words))
+                words.clear()
+                for at in range(0, len(every), 2 * PART_WORDS):
+                    hi, lo, word = grams(*symbols(every[at : at + 2 * PART_WORDS]))
                     _, first, place = np.unique(key(hi, lo), return_index=True, return_inverse=True)
-                    n = np.bincount(place, weights=np.fromiter(words.values(), np.float64)[word]).astype(np.int64)
-                    words.clear()
-                    for at in range(0, len(first), 100_000):
-                        own = first[at : at + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), label), pa.int32()), pa.array(hi[own]), pa.array(lo[own]), pa.array(n[at : at + 100_000])], names=["label", "hi", "lo", "n"])
+                    n = np.bincount(place, weights=counts[at + word]).astype(np.int64)
+                    for k in range(0, len(first), 100_000):
+                        own = first[k : k + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), label), pa.int32()), pa.array(hi[own]), pa.array(lo[own]), pa.array(n[k : k + 100_000])], names=["label", "hi", "lo", "n"])
 
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
@@ -297,21 +300,26 @@ class Scorer:
         self.whole, self.size = np.empty(0, np.float32), np.empty(0, np.float32)
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), FEATURES))
+        for at in range(0, len(texts), PART_TEXTS):
+            self.fill(out[at : at + PART_TEXTS], texts[at : at + PART_TEXTS])
+        return out
+
+    def fill(self, out: np.ndarray, texts: list[str | None]) -> None:
         split = [WORDS.findall(t.replace("\x00", " ")) if t else [] for t in texts]
         if len(self.known) > TASK_WORDS:
             self.clear()
+            released()
         known = self.known
         fresh = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(fresh), TASK_WORDS):
-            part = fresh[at : at + TASK_WORDS]
+        for at in range(0, len(fresh), PART_WORDS):
+            part = fresh[at : at + PART_WORDS]
             whole, size = log_ratio(self.model, part)
             known.update(zip(part, range(len(known), len(known) + len(part))))
             self.whole, self.size = np.append(self.whole, whole.astype(np.float32)), np.append(self.size, size.astype(np.float32))
-        out = np.zeros((len(texts), FEATURES))
         for row, words in zip(out, split):
             own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             row[:] = compared(self.whole[own].astype(np.float64), self.size[own])
-        return out
 
 
 def joined_evidence(texts: DataFrame, found: DataFrame) -> DataFrame:
