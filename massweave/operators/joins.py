@@ -155,6 +155,54 @@ def unique_matches(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n = 1").drop("_n")
 
 
+def unique_band_join(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: float, key: str, ppm: bool = False, fits: Column | None = None) -> DataFrame:
+    """As ``unique_matches`` of a band join on a key of the right side, without the pairs of ambiguous keys.
+
+    Distinct values meet each other with their counts, so that a value which many rows share costs one row. ``fits`` is a
+    further condition on x and y.
+    """
+    met = band_join(left.groupBy(x).agg(F.count("*").alias("_n")), right.select(y).distinct(), x, y, tolerance, ppm)
+    met = met if fits is None else met.where(fits)
+    near = met.groupBy(y).agg(F.sum("_n").alias("_n"), F.min(x).alias(x))
+    hits = right.join(near, y).withColumn("_all", F.sum("_n").over(Window.partitionBy(key))).where("_all = 1")
+    return left.join(hits.drop("_n", "_all"), x).select(*left.columns, *right.columns)
+
+
+def nearest_ppm(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: float, tie: str) -> DataFrame:
+    """Each distinct x with the right row of least ppm error within the tolerance, of equal ones that of the smallest ``tie``.
+
+    Of the values below x the highest is nearest and of those above it the lowest, so only these two are looked at.
+    """
+    row = F.struct(tie, *[c for c in right.columns if c != tie])
+    met = band_join(left.select(x).distinct(), right.select(y).distinct(), x, y, tolerance, ppm=True)
+    ends = met.groupBy(x).agg(F.max(F.when(F.col(y) <= F.col(x), F.col(y))).alias("_low"), F.min(F.when(F.col(y) >= F.col(x), F.col(y))).alias("_high"))
+    ends = ends.select(x, F.explode(F.array_distinct(F.array_compact(F.array("_low", "_high")))).alias(y))
+    rated = ends.join(right.groupBy(y).agg(F.min(row).alias("_row")), y)
+    best = rated.groupBy(x).agg(F.min(F.struct(F.abs((F.col(x) - F.col(y)) / F.col(y) * 1e6).alias("e"), F.col("_row"))).alias("_b"))
+    return best.select(x, *[F.col(f"_b._row.{c}").alias(c) for c in right.columns])
+
+
+def neighbour_sums(points: DataFrame, key: str, x: str, tolerance: float) -> DataFrame:
+    """key, n, total: how many rows of other keys lie within the tolerance of a key's rows, and the sum of their x; keys without any are left out.
+
+    Distinct values meet each other with their counts; what rows of the same key add is then taken off.
+    """
+    rows = points.where(F.col(key).isNotNull() & F.col(x).isNotNull()).groupBy(key, x).agg(F.count("*").alias("_c"))
+    values = rows.groupBy(x).agg(F.sum("_c").alias("_m"))
+    met = band_join(values, values.select(F.col(x).alias("_y")), x, "_y", tolerance)
+    near = met.groupBy(F.col("_y").alias(x)).agg(F.sum("_m").alias("_n"), F.sum(F.col(x) * F.col("_m")).alias("_s"))
+    # A key of one value meets its own rows only there.
+    spread = F.min(x).over(Window.partitionBy(key)) < F.max(x).over(Window.partitionBy(key))
+    rows = rows.withColumn("_spread", spread)
+    many = rows.where("_spread")
+    own = band_join(many.select(key, x, F.col("_c").alias("_o")), many.select(key, F.col(x).alias("_y"), "_c"), x, "_y", tolerance, on=[key])
+    own = own.groupBy(key).agg(F.sum(F.col("_c") * F.col("_o")).alias("_n"), F.sum(F.col(x) * F.col("_c") * F.col("_o")).alias("_s"))
+    alone = F.when(F.col("_spread"), F.lit(0)).otherwise(F.col("_c"))
+    gross = rows.join(near, x).select(key, (F.col("_c") * (F.col("_n") - alone)).alias("_n"), (F.col("_c") * (F.col("_s") - F.col(x) * alone)).alias("_s"))
+    every = gross.union(own.select(key, -F.col("_n"), -F.col("_s")))
+    return every.groupBy(key).agg(F.sum("_n").alias("n"), F.sum("_s").alias("total")).where("n > 0")
+
+
 def nominal_bucket(mz: Column, overlay: float = 0.1) -> Column:
     """Integer masses that a peak may belong to: its own, and the neighbour if it lies within ``overlay`` of it."""
     own = F.floor(mz)
