@@ -126,13 +126,12 @@ def picked(points: DataFrame, keys: list[str], min_prominence: float = 0.0) -> D
 
 def calibration_points(peaks: DataFrame, references: DataFrame, ppm: tuple[float, float], s2n: float | None = None) -> DataFrame:
     """Peak and reference pairs within the ppm range, references that match once only."""
-    from massweave.operators.joins import band_join, unique_matches
+    from massweave.operators.joins import unique_band_join
 
     own = peaks if s2n is None else peaks.where(F.col("s2n") >= s2n)
-    wide = max(map(abs, ppm))
-    pairs = band_join(own, references, "mz", "ref_mz", wide, ppm=True)
     error = (F.col("mz") - F.col("ref_mz")) / F.col("ref_mz") * 1e6
-    return unique_matches(pairs.withColumn("error_ppm", error).where((F.col("error_ppm") > ppm[0]) & (F.col("error_ppm") < ppm[1])), "ref_mz")
+    fits = (error > ppm[0]) & (error < ppm[1])
+    return unique_band_join(own, references, "mz", "ref_mz", max(map(abs, ppm)), "ref_mz", ppm=True, fits=fits).withColumn("error_ppm", error)
 
 
 def calibrated(peaks: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
