@@ -38,8 +38,9 @@ def ion_formula(atoms: str, ion_type: str):
 def best_per_feature(annotations: DataFrame) -> DataFrame:
     """The best entropy row of each (feature, reference), with the number of spectra that support it."""
     w = Window.partitionBy("mf_id", "ref_mol_id")
-    counted = annotations.withColumn("n_spectra", F.size(F.collect_set("scan").over(w)))
-    return counted.withColumn("_r", F.row_number().over(w.orderBy(F.col("entropy_similarity").desc(), "scan", "ref_ms_id"))).where("_r = 1").drop("_r")
+    # In this order both windows share one sort.
+    ranked = annotations.withColumn("_r", F.row_number().over(w.orderBy(F.col("entropy_similarity").desc(), "scan", "ref_ms_id")))
+    return ranked.withColumn("n_spectra", F.size(F.collect_set("scan").over(w))).where("_r = 1").drop("_r")
 
 
 def consensus(annotations: DataFrame, tiers: list[str], score: str, tie: str) -> DataFrame:
