@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def gaussian(x: Column, centre: Column, fwhm: Column, height: Column) -> Column:
-    return height * F.exp(-4 * math.log(2) * F.pow((x - centre) / fwhm, F.lit(2.0)))
+    z = (x - centre) / fwhm
+    return height * F.exp(-4 * math.log(2) * (z * z))
 
 
 def lorentzian(x: Column, centre: Column, fwhm: Column, height: Column) -> Column:
-    return height / (1 + 4 * F.pow((x - centre) / fwhm, F.lit(2.0)))
+    z = (x - centre) / fwhm
+    return height / (1 + 4 * (z * z))
 
 
 def pseudo_voigt(x: Column, centre: Column, fwhm: Column, height: Column, fraction: float | Column = 0.5) -> Column:

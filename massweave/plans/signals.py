@@ -9,7 +9,7 @@ from massweave.operators import sequence as seq
 from massweave.operators import spectrum as sp
 from massweave.operators import deconvolution, lc, persistence, suppress
 from massweave.operators import recalibration as rc
-from massweave.plans.registry import ORACLES, query, seconds, sig, sig_sql, tables
+from massweave.plans.registry import ORACLES, query, seconds, sig, sig_columns, sig_sql, tables
 
 TRACE = "(SELECT user_id, event_id, event_type, epoch(ts) / 3600.0 AS t, value FROM events)"
 
@@ -275,10 +275,11 @@ def profiles(peaks: DataFrame) -> DataFrame:
     rows = peaks.withColumn("fwhm", F.col("mz") / 100000.0)
     # Shapes are taken at the offset in widths: the difference of two near m/z values has no digits to spare.
     points = rows.select("l_orderkey", "scan", "mz", "fwhm", "abundance", F.explode(ls.grid(F.lit(0.0), F.lit(1.0))).alias("x"))
-    shapes = [sig(f(F.col("x"), F.lit(0.0), F.lit(1.0), F.col("abundance")), f.__name__) for f in (ls.gaussian, ls.lorentzian, ls.pseudo_voigt)]
-    return points.select("l_orderkey", F.col("scan").alias("l_linenumber"), sig(F.col("mz") + F.col("fwhm") * F.col("x"), "mz"), *shapes)
+    shapes = [f(F.col("x"), F.lit(0.0), F.lit(1.0), F.col("abundance")).alias(f.__name__) for f in (ls.gaussian, ls.lorentzian, ls.pseudo_voigt)]
+    drawn = points.select("l_orderkey", F.col("scan").alias("l_linenumber"), (F.col("mz") + F.col("fwhm") * F.col("x")).alias("mz"), *shapes)
+    return sig_columns(drawn, drawn.columns[2:])
 
 
 @query()
 def q_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppress.ward(trace(spark, sf_dir), ["user_id"], "t", 24.0).select("event_id", "user_id", "cluster")
+    return suppress.ward(trace(spark, sf_dir).select("event_id", "user_id", "t"), ["user_id"], "t", 24.0).select("event_id", "user_id", "cluster")
