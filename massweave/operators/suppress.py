@@ -168,10 +168,10 @@ def ward(df: DataFrame, keys: list[str], x: str, limit: float, out: str = "clust
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     names = df.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x, kind="stable")
-        n = len(pdf)
-        total, size = pdf[x].to_numpy(float).copy(), np.ones(n)
+    def merged(total: list[float]) -> np.ndarray:
+        """Cluster numbers, from 1, of one run's ordered values."""
+        n = len(total)
+        size = [1.0] * n
         left, right, version = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
 
         def entry(i: int) -> tuple:
@@ -180,7 +180,7 @@ def ward(df: DataFrame, keys: list[str], x: str, limit: float, out: str = "clust
 
         heap = [entry(i) for i in range(n - 1)]
         heapq.heapify(heap)
-        gone = np.zeros(n, bool)
+        gone = [False] * n
         while heap:
             d, i, j, vi, vj = heapq.heappop(heap)
             if gone[i] or gone[j] or version[i] != vi or version[j] != vj:
@@ -194,7 +194,30 @@ def ward(df: DataFrame, keys: list[str], x: str, limit: float, out: str = "clust
                 heapq.heappush(heap, entry(i))
             if left[i] >= 0:
                 heapq.heappush(heap, entry(left[i]))
-        return pdf[names].assign(**{out: [f"{c}.{k}" for c, k in zip(pdf["_c"], np.cumsum(~gone))]})
+        return np.cumsum(~np.array(gone))
+
+    def numbered(rows: pd.DataFrame) -> pd.DataFrame:
+        starts = [*np.flatnonzero(rows["_n"].to_numpy() == 1).tolist(), len(rows)]
+        values = rows[x].to_numpy(float).tolist()
+        numbers = np.concatenate([merged(values[a:b]) for a, b in zip(starts, starts[1:])])
+        return rows[names].assign(**{out: [f"{c}.{k}" for c, k in zip(rows["_c"].tolist(), numbers.tolist())]})
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            starts = np.flatnonzero(pdf["_n"].to_numpy() == 1)
+            if not len(starts):
+                held.append(pdf)
+                continue
+            # The last run may go on in the next batch.
+            whole = pd.concat([*held, pdf.iloc[: starts[-1]]], ignore_index=True)
+            held = [pdf.iloc[starts[-1] :]]
+            if len(whole):
+                yield numbered(whole)
+        if held:
+            yield numbered(pd.concat(held, ignore_index=True))
 
     parts = gap_components(df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))), x, F.lit(limit), keys, "_c")
-    return parts.groupBy(*keys, "_c").applyInPandas(run, f"{fields}, `{out}` string")
+    # Tasks get many runs, each in order of x, and number them as they come.
+    ordered = parts.repartition(*keys, "_c").withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(x)))
+    return ordered.mapInPandas(run, f"{fields}, `{out}` string")
