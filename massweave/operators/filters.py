@@ -14,6 +14,16 @@ from massweave.storage import shared_folder
 CH2 = 14.01565006446
 
 
+def indexed(peaks: DataFrame, keys: list[str], width: float = 1.0) -> DataFrame:
+    """Peaks with ``peak_idx``, their place by m/z in their spectrum from 0: cells of a width are ordered on their own and counted on."""
+    cells = peaks.withColumn("_cell", F.floor(F.col("mz") / width))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    counts = cells.groupBy(*keys, "_cell").agg(F.count("*").alias("_n")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_cell").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_cell").eqNullSafe(F.col("_at"))]
+    place = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("mz")) - 1
+    return cells.withColumn("_place", place).join(counts, same).select(*peaks.columns, (F.col("_before") + F.col("_place")).alias("peak_idx"))
+
+
 def kendrick_links(peaks: DataFrame, keys: list[str], base: float, tolerance: float) -> DataFrame:
     """keys, peak_idx, next_idx: each peak and the one a base mass above it, nearest of both to each other; ties go to the lower index."""
     low = peaks.select(*keys, "peak_idx", (F.col("mz") + base - tolerance).alias("_lo"), (F.col("mz") + base + tolerance).alias("_hi"), (F.col("mz") + base).alias("_want"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massweave.functions import formula as fm
@@ -173,8 +173,7 @@ def q_kendrick_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of a line number one CH2 apart, chained."""
     (lines,) = tables(spark, sf_dir, "lineitem")
     peaks = lines.select(F.col("l_linenumber").alias("scan"), (F.col("l_extendedprice") / 100.0).alias("mz")).distinct()
-    peaks = peaks.withColumn("peak_idx", (F.row_number().over(Window.partitionBy("scan").orderBy("mz")) - 1).cast("long"))
-    return filters.kendrick_chains(peaks, ["scan"], tolerance=0.002)
+    return filters.kendrick_chains(filters.indexed(peaks, ["scan"]), ["scan"], tolerance=0.002)
 
 
 _SWAPS = ", ".join(f"({k}, '{name}', {r!r}::DOUBLE, {d!r}::DOUBLE)" for k, (name, _, r, d) in enumerate(search.SWAPS) if name in "CHONS")
