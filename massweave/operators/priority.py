@@ -1,20 +1,19 @@
 """Formula assignment by priority: classes of heteroatoms take turns, and each searches only what earlier ones left.
 
-All spectra take their turns at once: the k-th step is the k-th class of every spectrum's own queue. Peaks meet formulas
-once, in one bucketed join within the widest error window; the steps then pass over what is left of these hits, which
-shrinks as peaks are taken. So a step is two small joins, whatever the number of spectra.
+All spectra take their turns at once: the k-th step is the k-th class of every spectrum's own queue. Labels are made once a
+formula, and peaks meet formulas once, in one bucketed join within the widest error window. A peak has one row a turn, with its
+hits of this turn and the errors of its earlier ones: a step reads its own turn's rows, and what earlier steps decided is one
+row a spectrum. So all steps together read every hit a few times, and no task orders a spectrum.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massweave.functions import formula as fm
 from massweave.operators.search import searched
-from massweave.storage import shared_folder
+from massweave.storage import written
 
 #: Abundances this many deviations above the mean are no reference of a series.
 OUTLIER_STD = 7
@@ -22,43 +21,59 @@ OUTLIER_STD = 7
 STEP = 14
 
 
-def best_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each peak (keys, peak_idx) the formula of least error; of equal ones the first by its atoms' text."""
-    w = Window.partitionBy(*keys, "peak_idx").orderBy(F.abs("error_ppm"), fm.text(F.col("atoms")), "ion_type")
-    return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def labelled(forms: DataFrame) -> DataFrame:
+    """Formulas with their text, class, oxygen number and the number of their other heteroatoms: rows of formulas are few, those of hits are not."""
+    atoms = F.col("atoms")
+    oxygen = fm.element(atoms, "O")
+    more = F.aggregate(F.map_values(atoms), F.lit(0), lambda s, n: s + n) - fm.element(atoms, "C") - fm.element(atoms, "H") - oxygen
+    return forms.select("atoms", "mass", fm.text(atoms).alias("_text"), fm.class_label(atoms, F.lit("protonated")).alias("class"), oxygen.alias("O"), more.alias("_more"))
 
 
-def oxygen_series(peaks: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, O, ox_rank: the oxygen classes of each spectrum's main series, the most abundant first.
+def tops(peaks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _nominal, peak_idx, mz, abundance, _order: of each whole mass of a spectrum the most abundant peak; the least _order of a spectrum is its most abundant peak's.
 
-    The series starts at the most abundant peak (without outliers of over ``OUTLIER_STD`` deviations) and its formula of least
-    error among those of carbon, hydrogen and oxygen; its members are the most abundant peaks of the whole masses that
-    are a multiple of 14 away, if they have such a formula. Spectra whose first peak has none have no series.
-    ``peaks``: keys, peak_idx, mz, abundance; ``hits``: all candidates of peaks, with atoms, mz_calc and error_ppm.
+    Outliers of over ``OUTLIER_STD`` deviations count as of no abundance.
     """
-    others = F.aggregate(F.map_values("atoms"), F.lit(0), lambda n, k: n + k) - reduce(lambda a, b: a + b, [fm.element(F.col("atoms"), x) for x in "CHO"])
-    only = best_hits(hits.where((others == 0) & (fm.element(F.col("atoms"), "O") > 0)), keys)
     stats = peaks.groupBy(*keys).agg((F.avg("abundance") + OUTLIER_STD * F.stddev_pop("abundance")).alias("_limit"))
     own = peaks.join(stats, keys).withColumn("_a", F.when(F.col("abundance") <= F.col("_limit"), F.col("abundance")).otherwise(0.0))
-    top = Window.partitionBy(*keys).orderBy(F.col("_a").desc(), "peak_idx")
-    first = own.withColumn("_n", F.row_number().over(top)).where("_n = 1").select(*keys, "peak_idx")
-    start = only.join(first, [*keys, "peak_idx"]).select(*keys, F.floor("mz_calc").alias("_start"))
-    nominal = Window.partitionBy(*keys, "_nominal").orderBy(F.col("_a").desc(), "peak_idx")
-    members = own.join(start, keys).withColumn("_nominal", F.floor("mz")).where((F.col("_nominal") != F.col("_start")) & ((F.col("_nominal") - F.col("_start")) % STEP == 0))
-    members = members.withColumn("_n", F.row_number().over(nominal)).where("_n = 1").select(*keys, "peak_idx", F.col("abundance").alias("_own"))
-    found = only.join(members, [*keys, "peak_idx"]).groupBy(*keys, fm.element(F.col("atoms"), "O").alias("O")).agg(F.max("_own").alias("_own"))
+    # NaN is above all numbers.
+    order = F.struct((~F.isnan("_a")).alias("a"), (-F.col("_a")).alias("b"), F.col("peak_idx").alias("i"))
+    best = own.groupBy(*keys, F.floor("mz").alias("_nominal")).agg(F.min_by(F.struct("peak_idx", "mz", "abundance"), order).alias("_top"), F.min(order).alias("_order"))
+    return best.select(*keys, "_nominal", "_top.*", "_order")
+
+
+def oxygen_series(tops: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, O, ox_rank: the oxygen classes of each spectrum's main series, the most abundant first.
+
+    The series starts at the most abundant peak and its formula of least error among those of carbon, hydrogen and oxygen; its
+    members are the most abundant peaks of the whole masses that are a multiple of 14 away, if they have such a formula. Spectra
+    whose first peak has none have no series. ``hits``: the candidates of ``tops``, with labels, mz_calc and error_ppm.
+    """
+    w = Window.partitionBy(*keys, "peak_idx").orderBy(F.abs("error_ppm"), "_text", "ion_type")
+    only = hits.where("_more = 0 and O > 0").withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*keys, "peak_idx", "mz_calc", "O")
+    rated = tops.join(only, [*keys, "peak_idx"], "left")
+    start = rated.groupBy(*keys).agg(F.floor(F.min_by("mz_calc", "_order")).alias("_start"))
+    members = rated.join(start, keys).where((F.col("_nominal") != F.col("_start")) & ((F.col("_nominal") - F.col("_start")) % STEP == 0) & F.col("O").isNotNull())
+    found = members.groupBy(*keys, "O").agg(F.max("abundance").alias("_own"))
     return found.withColumn("ox_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_own").desc(), "O"))).select(*keys, "O", "ox_rank")
 
 
-def class_queue(series: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+def class_queue(hits: DataFrame, keys: list[str]) -> DataFrame:
     """keys, class, turn: oxygen classes in the order of the series, then those with other heteroatoms beside such an oxygen number, by how many, then by their names and the oxygen's rank."""
-    atoms = F.col("atoms")
-    seen = hits.select(*keys, fm.class_label(atoms, F.lit("protonated")).alias("class"), fm.element(atoms, "O").alias("O"), (F.aggregate(F.map_values("atoms"), F.lit(0), lambda s, n: s + n) - fm.element(atoms, "C") - fm.element(atoms, "H") - fm.element(atoms, "O")).alias("_more")).distinct()
-    own = seen.join(series, [*keys, "O"])
+    seen = hits.select(*keys, "class", "_more", "ox_rank").distinct()
     # A class's name without its oxygen.
     bare = F.trim(F.regexp_replace("class", r"\bO\d+", ""))
     w = Window.partitionBy(*keys).orderBy("_more", bare, "ox_rank")
-    return own.withColumn("turn", F.row_number().over(w)).select(*keys, "class", "turn")
+    return seen.withColumn("turn", F.row_number().over(w)).select(*keys, "class", "turn")
+
+
+def turns(hits: DataFrame, queue: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, peak_idx, class, _errors, _earlier, _hits, turn: one row a peak and turn, its hits of this turn by error, text and ion type, and the errors of its earlier turns."""
+    hit = F.struct(F.abs("error_ppm").alias("_e"), "_text", "ion_type", "error_ppm", "mz", "abundance", "mz_calc", F.map_entries("atoms").alias("atoms"))
+    live = hits.join(queue, [*keys, "class"]).repartition(*keys, "peak_idx")
+    rows = live.groupBy(*keys, "peak_idx", "turn", "class").agg(F.sort_array(F.collect_list(hit)).alias("_hits")).withColumn("_errors", F.col("_hits.error_ppm"))
+    before = Window.partitionBy(*keys, "peak_idx").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_earlier", F.collect_list(F.struct("turn", "_errors")).over(before)).select(*keys, "peak_idx", "class", "_errors", "_earlier", "_hits", "turn")
 
 
 def assigned(peaks: DataFrame, forms: DataFrame, keys: list[str], ion_types: list[tuple[str, str | None]], charge: int, ppm: tuple[float, float], around: float | None = None, min_peaks: int = 0) -> DataFrame:
@@ -68,26 +83,31 @@ def assigned(peaks: DataFrame, forms: DataFrame, keys: list[str], ion_types: lis
     spectrum, and of 0 at first. A class with fewer than ``min_peaks`` peaks in a spectrum gives its peaks back. Returns the
     hits, all of a peak in its class, with class, turn and ``best``: whether of least error among the peak's.
     """
-    shared_folder(peaks.sparkSession)
-    hits = searched(peaks.select(*keys, "peak_idx", "mz", "abundance"), forms, ion_types, charge, ppm).select(*keys, "peak_idx", "mz", "abundance", "atoms", "ion_type", "mz_calc", "error_ppm").checkpoint()
-    queue = class_queue(oxygen_series(peaks, hits, keys), hits, keys)
-    live = hits.withColumn("class", fm.class_label(F.col("atoms"), F.lit("protonated"))).join(queue, [*keys, "class"]).checkpoint()
-    last = live.agg(F.max("turn")).first()[0] or 0
-    means, found = None, None
-    for turn in range(1, last + 1):
-        step = live.where(F.col("turn") == turn)
-        if around is not None:
-            center = F.lit(0.0)
-            if means is not None:
-                step, center = step.join(means, keys, "left"), F.coalesce(F.col("_sum") / F.col("_n"), F.lit(0.0))
-            step = step.where(F.abs(F.col("error_ppm") - center) <= around).drop("_sum", "_n")
-        if min_peaks > 1:
-            step = step.withColumn("_peaks", F.size(F.collect_set("peak_idx").over(Window.partitionBy(*keys)))).where(F.col("_peaks") >= min_peaks).drop("_peaks")
-        order = Window.partitionBy(*keys, "peak_idx").orderBy(F.abs("error_ppm"), fm.text(F.col("atoms")), "ion_type")
-        step = step.withColumn("best", F.row_number().over(order) == 1).checkpoint()
-        sums = step.where("best").groupBy(*keys).agg(F.sum("error_ppm").alias("_sum"), F.count("*").alias("_n"))
-        means = sums if means is None else means.union(sums).groupBy(*keys).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
-        means = means.checkpoint()
-        live = live.where(F.col("turn") > turn).join(step.select(*keys, "peak_idx").distinct(), [*keys, "peak_idx"], "left_anti").checkpoint()
-        found = step if found is None else found.unionByName(step)
-    return live.withColumn("best", F.lit(False)).where(F.lit(False)) if found is None else found
+    near = lambda error, center: F.lit(True) if around is None else F.abs(error - center) <= around
+    peaks, forms = written(peaks.select(*keys, "peak_idx", "mz", "abundance")), labelled(forms)
+    first = written(tops(peaks, keys))
+    series = written(oxygen_series(first, searched(first, forms, ion_types, charge, ppm), keys))
+    # Only spectra with a series have a queue.
+    hits = searched(peaks.join(series.select(*keys).distinct(), keys, "left_semi"), forms, ion_types, charge, ppm).join(series, [*keys, "O"])
+    hits = written(hits.select(*keys, "peak_idx", "mz", "abundance", "atoms", "ion_type", "mz_calc", "error_ppm", "_text", "class", "_more", "ox_rank"))
+    queue = written(class_queue(hits, keys))
+    rows = written(turns(hits, queue, keys), "turn")
+    # Of each spectrum the sum and number of best errors so far, and the centers of the turns that kept their peaks.
+    state = written(queue.select(*keys).distinct().select("*", F.lit(0.0).alias("_sum"), F.lit(0).cast("long").alias("_n"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>")).alias("_centers")))
+    center_of = lambda turn: F.try_element_at("_centers", turn)
+
+    def free(some: DataFrame) -> DataFrame:
+        """Rows of peaks that no earlier turn took."""
+        took = lambda e: center_of(e["turn"]).isNotNull() & F.exists(e["_errors"], lambda x: near(x, center_of(e["turn"])))
+        return some.join(state, keys).where(~F.exists("_earlier", took))
+
+    for turn in range(1, (queue.agg(F.max("turn")).first()[0] or 0) + 1):
+        center: Column = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).otherwise(0.0)
+        # Errors are in order, so the first that is near is the best.
+        step = free(rows.where(F.col("turn") == turn)).withColumn("_center", center).withColumn("_best", F.get(F.filter("_errors", lambda x: near(x, F.col("_center"))), F.lit(0)))
+        sums = step.where(F.col("_best").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_peaks"), F.sum("_best").alias("_step"))
+        kept = F.coalesce(F.col("_peaks") >= min_peaks, F.lit(False))
+        state = written(state.join(sums, keys, "left").select(*keys, F.when(kept, F.col("_sum") + F.col("_step")).otherwise(F.col("_sum")).alias("_sum"), F.when(kept, F.col("_n") + F.col("_peaks")).otherwise(F.col("_n")).alias("_n"), F.when(kept, F.map_concat("_centers", F.create_map(F.lit(turn), center))).otherwise(F.col("_centers")).alias("_centers")))
+    own = free(rows).withColumn("_center", center_of(F.col("turn"))).where(F.col("_center").isNotNull())
+    found = own.select("*", F.posexplode(F.filter("_hits", lambda h: near(h["error_ppm"], F.col("_center")))).alias("_place", "_hit"))
+    return found.select(*keys, "class", "peak_idx", "_hit.mz", "_hit.abundance", F.map_from_entries("_hit.atoms").alias("atoms"), "_hit.ion_type", "_hit.mz_calc", "_hit.error_ppm", "turn", (F.col("_place") == 0).alias("best"))
