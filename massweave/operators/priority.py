@@ -34,7 +34,8 @@ def tops(peaks: DataFrame, keys: list[str]) -> DataFrame:
 
     Outliers of over ``OUTLIER_STD`` deviations count as of no abundance.
     """
-    stats = peaks.groupBy(*keys).agg((F.avg("abundance") + OUTLIER_STD * F.stddev_pop("abundance")).alias("_limit"))
+    # Written, so that few spectra are broadcast: dealt by spectrum, one task would have all peaks of one.
+    stats = written(peaks.groupBy(*keys).agg((F.avg("abundance") + OUTLIER_STD * F.stddev_pop("abundance")).alias("_limit")))
     own = peaks.join(stats, keys).withColumn("_a", F.when(F.col("abundance") <= F.col("_limit"), F.col("abundance")).otherwise(0.0))
     # NaN is above all numbers.
     order = F.struct((~F.isnan("_a")).alias("a"), (-F.col("_a")).alias("b"), F.col("peak_idx").alias("i"))
