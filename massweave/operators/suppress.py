@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massweave.storage import shared_folder
+from massweave.storage import shared_folder, written
 
 
 def gap_components(df: DataFrame, x: str, gap: Column, keys: list[str], out: str = "component") -> DataFrame:
@@ -21,7 +21,7 @@ def gap_components(df: DataFrame, x: str, gap: Column, keys: list[str], out: str
     return stepped.withColumn(out, F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_g")
 
 
-#: Cells of a tile's side and of the rim that it sees of its neighbours; rows of a cell that a round looks at.
+#: Cells of a tile's side and of the rim that it sees of its neighbours; tasks, at least, to which tiles are dealt.
 TILE, RIM, DEPTH = 256, 16, 32
 
 
@@ -29,12 +29,13 @@ def greedy_suppress(df: DataFrame, dims: dict[str, tuple[float, bool]], priority
     """Keep rows in order of priority unless a kept row is near in every dimension, as one pass over all rows would.
 
     dims: column -> (tolerance, relative to the kept row's value). Rows lie in cells of a tolerance's width; a
-    round sends the first ``DEPTH`` rows of each cell to its tile of cells and to tiles whose rim holds it. A tile
-    goes through its rows by priority: one near a kept row is out, one near a cell that holds an undecided row
-    before it waits, others are kept. What waits for a rim or for a cell's deeper rows goes into the next round,
-    after a join has removed all that is near the rows kept. The first row of all is always decided, so rounds end.
-    A task holds one tile's first rows, however dense the data. Rows without a value in some dimension, and
-    negative values of relative ones, are near to nothing. Of equal priority and tie, any one comes first.
+    round sends each row to its tile of cells and to tiles whose rim holds it. A tile goes through its rows by
+    priority: one near a kept row is out, one near a cell that holds an undecided row before it waits, others are
+    kept. What waits for a rim goes into the next round, after a join has removed all that is near the rows kept.
+    The first row of all is always decided, so rounds end; there are as many as tiles that wait for one another,
+    however dense the data. A task streams its tiles' ordered rows and holds the kept ones and the waiting cells.
+    Rows without a value in some dimension, and negative values of relative ones, are near to nothing. Of equal
+    priority and tie, any one comes first.
     """
     shared_folder(df.sparkSession)
     names = list(dims)
@@ -64,9 +65,10 @@ def greedy_suppress(df: DataFrame, dims: dict[str, tuple[float, bool]], priority
             test &= F.abs(F.col(v) - kept[v]) <= (kept[v] * tol if relative else F.lit(tol))
         return test
 
-    live, found = live.checkpoint(), None
+    # Tables, not checkpoints: those carry the estimated sizes of their joins on, whose digits would double every round.
+    live, found = written(live), None
     while not live.isEmpty():
-        kept = tile_winners(live, keys, cells, at, reach, tols).checkpoint()
+        kept = written(tile_winners(live, keys, cells, at, reach, tols))
         found = kept.select("_id") if found is None else found.union(kept.select("_id"))
         # Rows kept are apart, so only few of them are near a cell.
         around = kept
@@ -74,7 +76,7 @@ def greedy_suppress(df: DataFrame, dims: dict[str, tuple[float, bool]], priority
             around = around.withColumn(c, F.explode(s))
         around = around.groupBy(*keys, *cells).agg(F.collect_list(F.struct(F.col("_o").alias("o"), *at)).alias("_near"))
         same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cells]
-        live = live.join(kept.select("_id"), "_id", "left_anti").alias("a").join(around.alias("b"), same, "left").where(F.col("_near").isNull() | ~F.exists("_near", near)).select("a.*").checkpoint()
+        live = written(live.join(kept.select("_id"), "_id", "left_anti").alias("a").join(around.hint("merge").alias("b"), same, "left").where(F.col("_near").isNull() | ~F.exists("_near", near)).select("a.*"))
     out = rows.where(~F.coalesce(sound, F.lit(False)))
     if found is not None:
         out = out.union(rows.join(found, "_id", "left_semi").select(rows.columns))
@@ -83,38 +85,39 @@ def greedy_suppress(df: DataFrame, dims: dict[str, tuple[float, bool]], priority
 
 def tile_winners(live: DataFrame, keys: list[str], cells: list[str], at: list[str], reach: list[int], tols: list[tuple[float, bool]]) -> DataFrame:
     """Live rows that are kept for sure, as their tile sees it."""
-    first = live.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *cells).orderBy("_o"))).where(F.col("_n") <= DEPTH + 1)
     tiles, rim = [f"_t{k}" for k in range(len(cells))], min(RIM, TILE)  # only neighbours are seen
-    sent = first.withColumn("_k", F.struct(*[F.col(k) for k in keys])) if keys else first.withColumn("_k", F.lit(0))
+    sent = live.withColumn("_k", F.struct(*[F.col(k) for k in keys])) if keys else live.withColumn("_k", F.lit(0))
     for c, t in zip(cells, tiles):
         own, inside = F.floor(F.col(c) / TILE), F.pmod(F.col(c), F.lit(TILE))
         sent = sent.withColumn(t, F.explode(F.array_compact(F.array(own, F.when(inside < rim, own - 1), F.when(inside >= TILE - rim, own + 1)))))
-    offsets = list(itertools.product(*[range(-r, r + 1) for r in reach]))
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[sorted(range(len(pdf)), key=pdf["_rank"].to_numpy().__getitem__)]
-        low = [int(pdf[t].iloc[0]) * TILE for t in tiles]
-        kept: dict[tuple, list[tuple]] = {}
-        waiting: set[tuple] = set()
-        winners = []
-        for i, cell, values, n in zip(range(len(pdf)), zip(*[pdf[c].tolist() for c in cells]), zip(*[pdf[v].tolist() for v in at]), pdf["_n"].tolist()):
-            about = [tuple(a + b for a, b in zip(cell, o)) for o in offsets]
-            if n > DEPTH:  # stands for the cell's deeper rows, which are near to any kept row of the cell
-                if cell not in kept:
+    # A row's own cell comes first: in dense data it mostly holds the kept row.
+    offsets = sorted(itertools.product(*[range(-r, r + 1) for r in reach]), key=lambda o: any(o))
+
+    def decide(batches):
+        for pdf in batches:
+            winners = []
+            for i, rank, cell, values in zip(range(len(pdf)), pdf["_rank"].tolist(), zip(*[pdf[c].tolist() for c in cells]), zip(*[pdf[v].tolist() for v in at])):
+                if rank == 1:
+                    low = [int(pdf[t].iloc[i]) * TILE for t in tiles]
+                    kept: dict[tuple, list[tuple]] = {}
+                    waiting: set[tuple] = set()
+                if cell in waiting:  # out or waiting, which changes nothing for those behind it
+                    continue
+                about = (tuple(a + b for a, b in zip(cell, o)) for o in offsets)
+                if any(all(abs(x - k) <= (k * t if rel else t) for x, k, (t, rel) in zip(values, other, tols)) for a in about for other in kept.get(a, ())):
+                    continue
+                if any(c - r < lo - rim or c + r >= lo + TILE + rim for c, lo, r in zip(cell, low, reach)) or any(tuple(a + b for a, b in zip(cell, o)) in waiting for o in offsets):
                     waiting.add(cell)
-            elif any(all(abs(x - k) <= (k * t if rel else t) for x, k, (t, rel) in zip(values, other, tols)) for a in about for other in kept.get(a, ())):
-                continue
-            elif any(c - r < lo - rim or c + r >= lo + TILE + rim for c, lo, r in zip(cell, low, reach)) or not waiting.isdisjoint(about):
-                waiting.add(cell)
-            else:
+                    continue
                 kept.setdefault(cell, []).append(values)
                 if all(lo <= c < lo + TILE for c, lo in zip(cell, low)):
                     winners.append(i)
-        return pdf.iloc[winners][["_id"]]
+            yield pdf.iloc[winners][["_id"]]
 
-    # One number a row tells the order within a tile, whatever the types of the tie.
-    ranked = sent.withColumn("_rank", F.row_number().over(Window.partitionBy("_k", *tiles).orderBy("_o")))
-    ids = ranked.select("_k", *tiles, "_rank", "_n", "_id", *cells, *at).groupBy("_k", *tiles).applyInPandas(decide, "_id long")
+    # Tiles come one after the other, each in order from rank 1, whatever the types of the tie.
+    tasks = max(DEPTH, 2 * live.sparkSession.sparkContext.defaultParallelism)
+    ranked = sent.repartition(tasks, "_k", *tiles).withColumn("_rank", F.row_number().over(Window.partitionBy("_k", *tiles).orderBy("_o")))
+    ids = ranked.select(*tiles, "_rank", "_id", *cells, *at).mapInPandas(decide, "_id long")
     return live.join(ids, "_id", "left_semi")
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from massweave.operators import suppress
+from massweave.storage import written
 
 
 def plain(rows, tols):
@@ -45,3 +46,14 @@ def test_nothing_to_suppress(spark):
     assert got(frame(spark, []), [(1.0, False), (1.0, False)]) == []
     one = spark.createDataFrame([(1, 5.0, 2.0), (2, 5.0, 3.0), (3, 9.0, 1.0)], "id long, x double, p double")
     assert sorted(r.id for r in suppress.greedy_suppress(one, {"x": (1.0, False)}, "p", [], ["id"]).collect()) == [2, 3]
+
+
+def test_dense_cells_take_no_more_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(suppress, "written", lambda df, *by: tables.append(written(df, *by)) or tables[-1])
+    random.seed(2)
+    rows = [(i, "a", (random.uniform(0, 12), 0.0), None) for i in range(3000)]
+    rows = [(i, k, v, v[0]) for i, k, v, _ in rows]
+    assert got(frame(spark, rows), [(1.0, False), (1.0, False)]) == plain(rows, [(1.0, False), (1.0, False)])
+    # One tile: the live rows once, then the kept and the remaining ones of a single round.
+    assert len(tables) == 3
