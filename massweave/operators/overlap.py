@@ -40,23 +40,65 @@ def apex_of(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
     return x[rows, at] + off * step, b - (a - c) * off / 4
 
 
+def too_high(mz: np.ndarray, height: np.ndarray, sigma: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Rows in which one of the valleys surely stays above the limit, at these widths and at all larger ones.
+
+    Within a width of a peak the sum is at least exp(-0.5) of its height. Between these parts both neighbours are convex, so is their
+    sum, which lies above its tangent; the third peak only adds.
+    """
+    out = np.zeros(len(mz), bool)
+    for k in (0, 1):
+        d, s, t, h, g = mz[:, k + 1] - mz[:, k], sigma[:, k], sigma[:, k + 1], height[:, k], height[:, k + 1]
+        low, high = s, d - t
+        with np.errstate(all="ignore"):
+            u = np.clip(d / 2 - s * t * np.log(g / h) / d, low, high)
+            for step in range(3):  # the tangent is nearly level after two steps of Newton's method
+                x, y = u / s, (d - u) / t
+                a, b = h * np.exp(-0.5 * x * x), g * np.exp(-0.5 * y * y)
+                slope = b * y / t - a * x / s
+                if step < 2:
+                    u = np.clip(u - slope / (a * (x * x - 1) / s**2 + b * (y * y - 1) / t**2), low, high)
+            valley = np.where(low < high, a + b - np.abs(slope) * np.maximum(u - low, high - u), np.inf)
+        out |= np.minimum(valley, math.exp(-0.5) * np.minimum(h, g)) > limit * (1 + 1e-9)
+    return out
+
+
+def level(mz: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Rows with a valley of several places where all peaks are zero in double precision: no minimum there, at these widths and at all smaller ones."""
+    step = (mz[:, 2] - mz[:, 0] + REACH * SIGMAS * (sigma[:, 0] + sigma[:, 2])) / (PLACES - 1)
+    ends, starts = np.maximum.accumulate(mz + 39 * sigma, 1), np.minimum.accumulate((mz - 39 * sigma)[:, ::-1], 1)[:, ::-1]
+    return (starts[:, 1:] - ends[:, :-1] > 3 * step[:, None]).any(1)
+
+
 def shifts(mz: np.ndarray, height: np.ndarray, power: np.ndarray, rise: float, valley: float, rounds: int) -> np.ndarray:
-    """Middle apex's place and height, and the factor of the resolving powers at which it was found; NaN where it never was."""
-    out, live = np.full((len(mz), 3), np.nan), np.arange(len(mz))
-    for k in range(rounds + 1):
-        if not len(live):
-            break
-        factor = 1 + k * rise
-        x, y = simulated(mz[live], height[live], power[live] * factor)
+    """Middle apex's place and height, and the factor of the resolving powers at which it was found; NaN where it never was.
+
+    Rounds that surely fail aren't simulated: those before the first in which the valleys may be low enough, and those of level ones.
+    """
+    out = np.full((len(mz), 3), np.nan)
+    limit, sigma = valley * height.max(1), mz / power / SIGMAS
+    live = np.flatnonzero(~too_high(mz, height, sigma / (1 + rounds * rise), limit))
+    first, last = np.zeros(len(mz), int), np.full(len(mz), rounds)
+    while len(part := live[first[live] < last[live]]):
+        k = (first[part] + last[part]) // 2
+        fails = too_high(mz[part], height[part], sigma[part] / (1 + k * rise)[:, None], limit[part])
+        first[part[fails]], last[part[~fails]] = k[fails] + 1, k[~fails]
+    k = first
+    while len(live := live[k[live] <= rounds]):
+        factor = 1 + k[live] * rise
+        on = ~level(mz[live], sigma[live] / factor[:, None])
+        live, factor = live[on], factor[on]
+        x, y = simulated(mz[live], height[live], power[live] * factor[:, None])
         inner = y[:, 1:-1]
         top, low = (inner > y[:, :-2]) & (inner > y[:, 2:]), (inner < y[:, :-2]) & (inner < y[:, 2:])
-        deep = np.where(low, inner, 0).max(1) <= valley * height[live].max(1)
+        deep = np.where(low, inner, 0).max(1) <= limit[live]
         good = np.flatnonzero((top.sum(1) == 3) & (low.sum(1) == 2) & deep)
         if len(good):
             middle = np.array([np.flatnonzero(row)[1] + 1 for row in top[good]])
             place, high = apex_of(x[good], y[good], middle)
-            out[live[good]] = np.stack([place, high, np.full(len(good), factor)], 1)
+            out[live[good]] = np.stack([place, high, factor[good]], 1)
             live = np.delete(live, good)
+        k[live] += 1
     return out
 
 

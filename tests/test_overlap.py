@@ -41,3 +41,36 @@ def test_powers_rise_until_peaks_part():
     assert np.isnan(overlap.shifts(mz, height, np.full((1, 3), 4000.0), 0.1, 0.01, 2)).all()
     place, high, factor = overlap.shifts(mz, height, np.full((1, 3), 4000.0), 0.1, 0.01, 100)[0]
     assert factor > 2 and place == pytest.approx(500.05, abs=1e-6) and high == pytest.approx(10.0, rel=0.02)
+
+
+def plain_shifts(mz, height, power, rise, valley, rounds):
+    """The first round whose simulation has three apexes and two low valleys, a row at a time, no round left out."""
+    out = np.full((len(mz), 3), np.nan)
+    for i in range(len(mz)):
+        for k in range(rounds + 1):
+            x, y = (v[0] for v in overlap.simulated(mz[i : i + 1], height[i : i + 1], power[i : i + 1] * (1 + k * rise)))
+            top = [j for j in range(1, len(y) - 1) if y[j - 1] < y[j] > y[j + 1]]
+            low = [y[j] for j in range(1, len(y) - 1) if y[j - 1] > y[j] < y[j + 1]]
+            if len(top) == 3 and len(low) == 2 and max(low) <= valley * height[i].max():
+                place, high = overlap.apex_of(x[None], y[None], np.array([top[1]]))
+                out[i] = place[0], high[0], 1 + k * rise
+                break
+    return out
+
+
+def test_rounds_left_out_would_fail(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 240
+    width = 10 ** rng.uniform(-5, -3, n)
+    mz = 50 + np.cumsum(np.stack([np.zeros(n), *(width * rng.uniform(0.05, [3, 9, 100] * (n // 3)) for _ in "ab")]), 0).T
+    height = 10 ** rng.uniform(-2, 0, (n, 3))
+    power = mz / width[:, None] / overlap.SIGMAS * 10 ** rng.uniform(-0.4, 0.4, (n, 3)) ** np.resize([0, 1], n)[:, None]
+    simulations = []
+    monkeypatch.setattr(overlap, "simulated", lambda mz, *a, f=overlap.simulated: simulations.append(len(mz)) or f(mz, *a))
+    for valley in (0.01, 0.1, 0.7):
+        simulations.clear()
+        got = overlap.shifts(mz, height, power, 0.25, valley, 12)
+        n_simulated = sum(simulations)
+        want = plain_shifts(mz, height, power, 0.25, valley, 12)
+        assert np.isfinite(want).any() and np.array_equal(got, want, equal_nan=True)
+        assert n_simulated < (sum(simulations) - n_simulated) * 0.7
